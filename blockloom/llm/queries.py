@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import table
+from blockloom.llm.mixing import mix
+from blockloom.llm.sharding import shard_rows
 from blockloom.llm.token_count import token_counts
 
 
@@ -20,5 +22,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return shard_rows(rows).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards}
 ORACLE_SQL: dict[str, str] = {}
