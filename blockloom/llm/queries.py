@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import table
+from blockloom.llm.decontaminate import find_benchmark
 from blockloom.llm.mixing import mix
 from blockloom.llm.sharding import shard_rows
 from blockloom.llm.token_count import token_counts
@@ -34,5 +35,14 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(rows).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards}
+def contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op10_benchmark_decontamination": op10_benchmark_decontamination}
 ORACLE_SQL: dict[str, str] = {}
