@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import table
 from blockloom.llm.decontaminate import find_benchmark
 from blockloom.llm.mixing import mix
+from blockloom.llm.near_dup import near_duplicates
 from blockloom.llm.sharding import shard_rows
 from blockloom.llm.token_count import token_counts
 
@@ -23,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "component_id", "kept")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
@@ -44,5 +49,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op10_benchmark_decontamination": op10_benchmark_decontamination}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op10_benchmark_decontamination": op10_benchmark_decontamination}
 ORACLE_SQL: dict[str, str] = {}
