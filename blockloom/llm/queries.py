@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import table
 from blockloom.llm.decontaminate import find_benchmark
+from blockloom.llm.embedding_dup import near_vectors
 from blockloom.llm.language import identify, train
 from blockloom.llm.licences import licence_sql, licences
 from blockloom.llm.mixing import mix
@@ -42,6 +43,10 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(rows).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
@@ -62,5 +67,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op7_licence_rules": op7_licence_rules, "op9_language_fusion": op9_language_fusion, "op10_benchmark_decontamination": op10_benchmark_decontamination}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op7_licence_rules": op7_licence_rules, "op9_language_fusion": op9_language_fusion, "op10_benchmark_decontamination": op10_benchmark_decontamination}
 ORACLE_SQL: dict[str, str] = {"op7_licence_rules": licence_sql()}
