@@ -65,17 +65,18 @@ class Words:
     """Hashes of words, kept for the words met so far; the store starts anew past a bound."""
 
     def __init__(self, most: int = 500_000):
-        self.most, self.number, self.hashes = most, {}, []
+        self.most, self.number, self.hashes = most, {}, np.empty(1 << 12, U64)
 
     def hash(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > self.most:
-            self.number, self.hashes = {}, []
         number = self.number
-        for w in set(words) - number.keys():
+        if len(number) > self.most:
+            number.clear()
+        for w in {w for w in words if w not in number}:
+            if len(number) == len(self.hashes):
+                self.hashes = np.concatenate((self.hashes, np.empty(len(self.hashes), U64)))
+            self.hashes[len(number)] = xxhash.xxh3_64_intdigest(w)
             number[w] = len(number)
-            self.hashes.append(xxhash.xxh3_64_intdigest(w))
-        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        return np.array(self.hashes, U64)[ids]
+        return self.hashes[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
 
 
 def shingles(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
