@@ -14,6 +14,7 @@ from blockloom.llm.mixing import mix
 from blockloom.llm.near_dup import near_duplicates
 from blockloom.llm.sharding import shard_rows
 from blockloom.llm.token_count import token_counts
+from blockloom.llm.toxicity import fit, fold, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -47,6 +48,12 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select(F.col("key").alias("doc_id"), (fold(F.col("key")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
@@ -67,5 +74,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op7_licence_rules": op7_licence_rules, "op9_language_fusion": op9_language_fusion, "op10_benchmark_decontamination": op10_benchmark_decontamination}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_toxicity_neighbours": op6_toxicity_neighbours, "op7_licence_rules": op7_licence_rules, "op9_language_fusion": op9_language_fusion, "op10_benchmark_decontamination": op10_benchmark_decontamination}
 ORACLE_SQL: dict[str, str] = {"op7_licence_rules": licence_sql()}
