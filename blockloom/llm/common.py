@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,11 @@ def texts_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sample_ids(df: DataFrame, key: Column, most: int) -> DataFrame:
     """The rows of ``df`` whose hashed key is among the ``most`` smallest: a reproducible sample of bounded size.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from blockloom.llm.common import cut, sample_ids, texts_of
+from blockloom.llm.common import cut, let, sample_ids, texts_of
 
 UNKNOWN = "und"
 BITS = 16
@@ -118,9 +118,14 @@ def _evidence(rows: DataFrame, model, names: list[str], text: str, address: str,
     return source.mapInArrow(run, StructType([*kinds, *EVIDENCE]))
 
 
+def _total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+
+
 def _posterior(logs: Column) -> Column:
-    exps = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, y: a + y))
+    """Probabilities from log weights; each step is worked out once."""
+    exps = let(logs, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return let(exps, lambda e: let(_total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -166,7 +171,6 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     domains = _sums(hosts, ["_domain"], n, "_sum").withColumnRenamed("_sum", "_dsum")
     whole = [float(x or 0) for x in hosts.agg(*[F.sum(F.col("_sum")[i]) for i in range(n)]).first()]
     overall = F.array(*[F.lit((x + 1) / (sum(whole) + n)) for x in whole])
-    size = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
     table = cut(hosts.join(domains, "_domain").withColumnRenamed("_sum", "_hsum").join(few_suffixes, "_suffix").select("_host", "_hsum", "_dsum", "_by_suffix"))
     few_hosts = F.broadcast(table) if table.count() <= BROADCAST_HOSTS else table
 
@@ -177,8 +181,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     own = _posterior(_add(F.col("_base"), prior))
     minus = lambda v, p: F.zip_with(F.coalesce(v, nothing), p, lambda x, y: F.greatest(F.lit(0.0), x - y))
     out = out.withColumn("_own", own).withColumn("_d", minus("_dsum", F.col("_own"))).withColumn("_h", minus("_hsum", F.col("_own")))
-    out = out.withColumn("_dp", F.zip_with("_d", overall, lambda s, g: (s + SMOOTH * g) / (size(F.col("_d")) + SMOOTH)))
-    out = out.withColumn("_hp", F.zip_with("_h", "_dp", lambda s, g: F.log((s + SMOOTH * g) / (size(F.col("_h")) + SMOOTH))))
+    out = out.withColumn("_dp", let(_total(F.col("_d")), lambda n: F.zip_with("_d", overall, lambda s, g: (s + SMOOTH * g) / (n + SMOOTH))))
+    out = out.withColumn("_hp", let(_total(F.col("_h")), lambda n: F.zip_with("_h", "_dp", lambda s, g: F.log((s + SMOOTH * g) / (n + SMOOTH)))))
     out = out.withColumn("_p", _posterior(_add(F.col("_base"), F.col("_hp"))))
     best = F.array_max("_p")
     language = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("_p", best).cast("int"))

@@ -14,12 +14,10 @@ each source, whatever the input: with more documents the blocks grow.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cut
+from blockloom.llm.common import cut, let
 
 #: What counts as a word of a text.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,11 +53,6 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return levels.withColumn("target", target).select("source", "source_size", "source_rows", "target", "nr")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def hypergeometric(population: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
     """How many of ``drawn`` items, out of ``population`` with ``marked`` ones, are marked: the quantile of ``uniform``.
 
@@ -79,25 +72,25 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, uniform: C
             return F.log(number((m - k + 1) * (d - k + 1))) - F.log(number(k * (p - m - d + k)))
 
         after = F.when(s["hi"] > s["lo"], F.sequence(s["lo"] + 1, s["hi"])).otherwise(F.expr("array()").cast("array<bigint>"))
-        peak = F.aggregate(after, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("top")), lambda a, k: _let(a["x"] + step(k), lambda x: F.struct(x.alias("x"), F.greatest(a["top"], x).alias("top"))), lambda a: a["top"])
+        peak = F.aggregate(after, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("top")), lambda a, k: let(a["x"] + step(k), lambda x: F.struct(x.alias("x"), F.greatest(a["top"], x).alias("top"))), lambda a: a["top"])
 
         def pick(top: Column) -> Column:
-            total = F.aggregate(after, F.struct(F.lit(0.0).alias("x"), F.exp(-top).alias("sum")), lambda a, k: _let(a["x"] + step(k), lambda x: F.struct(x.alias("x"), (a["sum"] + F.exp(x - top)).alias("sum"))), lambda a: a["sum"])
+            total = F.aggregate(after, F.struct(F.lit(0.0).alias("x"), F.exp(-top).alias("sum")), lambda a, k: let(a["x"] + step(k), lambda x: F.struct(x.alias("x"), (a["sum"] + F.exp(x - top)).alias("sum"))), lambda a: a["sum"])
 
             def search(limit: Column) -> Column:
                 start = F.struct(F.lit(0.0).alias("x"), F.exp(-top).alias("sum"), s["lo"].alias("k"))
                 return F.aggregate(
                     after,
                     start,
-                    lambda a, k: F.when(a["sum"] >= limit, a).otherwise(_let(a["x"] + step(k), lambda x: F.struct(x.alias("x"), (a["sum"] + F.exp(x - top)).alias("sum"), k.alias("k")))),
+                    lambda a, k: F.when(a["sum"] >= limit, a).otherwise(let(a["x"] + step(k), lambda x: F.struct(x.alias("x"), (a["sum"] + F.exp(x - top)).alias("sum"), k.alias("k")))),
                     lambda a: a["k"],
                 )
 
-            return _let(total * uniform, search)
+            return let(total * uniform, search)
 
-        return _let(peak, pick)
+        return let(peak, pick)
 
-    return _let(F.struct(population.alias("p"), marked.alias("m"), drawn.alias("d"), low.alias("lo"), F.greatest(low, high).alias("hi")), found)
+    return let(F.struct(population.alias("p"), marked.alias("m"), drawn.alias("d"), low.alias("lo"), F.greatest(low, high).alias("hi")), found)
 
 
 def _uniform(*of: Column) -> Column:
@@ -119,7 +112,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def draw(acc: Column, x: Column) -> Column:
             u = _uniform(F.lit(seed), F.col("lo"), F.col("hi"), x["nr"])
-            return _let(
+            return let(
                 hypergeometric(acc["pop"], x["q"], acc["want"], u),
                 lambda k: F.struct((acc["pop"] - x["q"]).alias("pop"), (acc["want"] - k).alias("want"), F.concat(acc["out"], F.array(F.struct(x["nr"].alias("nr"), k.alias("q")).cast(item))).alias("out")),
             )

@@ -1,21 +1,24 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A document is a weighted set of its five-word shingles; a shingle weighs its count times the mean inverse document
-frequency of its words. (Frequencies of the shingles themselves would make a large group of near copies lower its own
-weights and so hide the shared part behind the few changed shingles.) Word frequencies are counted over all documents
-in a fixed number of hash buckets, so the table of weights has one size whatever the corpus.
+A document is a weighted set of its five-word shingles; a shingle weighs (1 + log of its count) times the mean inverse
+document frequency of its words. (Plain counts would let one line repeated hundreds of times make documents alike, and
+frequencies of the shingles themselves would make a large group of near copies lower its own weights and so hide the
+shared part behind the few changed shingles.) Word frequencies are counted over all documents in a fixed number of
+hash buckets, so the table of weights has one size whatever the corpus.
 
 Each of ``ROWS * BANDS`` consistent weighted samples of two sets agrees with the probability of their weighted
 Jaccard similarity. Documents that agree in all samples of a band share a bucket. A bucket is not expanded into pairs:
 
-1. every member is held against the bucket's smallest member, the pivot, and pairs at the threshold are links;
+1. every member is held against the bucket's pivot, the member that has most company in all its buckets and so
+   stands in the middle of its near copies; pairs at the threshold are links;
 2. links are joined into components, and only members of a bucket that ended in different components are left;
-3. of those, members that do not match the pivot are held against each other and, unless the triangle inequality
-   of the Jaccard distance rules a link out, against the members that do. In buckets that still hold many members a
-   pair must agree in a second band too.
+3. of those, members that do not match the pivot are compared by their samples, block against block, with the rest of
+   the bucket, unless the triangle inequality of the Jaccard distance rules a link out. The few likeliest partners of
+   each go on to verification; while a member has partners left that were not tried and that are in another component,
+   sixteen times as many are tried next, so in the end none is left out.
 
 Every pair that is held against each other first passes a comparison of samples (a pair at the threshold fails it with
-a chance of about one in a million) and is then verified by the exact weighted Jaccard similarity of the whole texts.
+a chance of about one in ten thousand) and is then verified by the exact weighted Jaccard similarity of whole texts.
 """
 
 from __future__ import annotations
@@ -33,13 +36,15 @@ from blockloom.llm.common import U64, components, cut, mix64, texts_of
 from blockloom.llm.decontaminate import words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-ROWS, BANDS = 5, 18
+ROWS, BANDS = 4, 16
 SAMPLES = ROWS * BANDS
 BUCKETS_BITS = 16
 #: Sample agreement from which a pair is verified, and below which it is taken to be far from the pivot.
 VERIFY_FROM, NEAR_FROM = 0.6, 0.45
-#: Left members of a bucket above which a second band is asked for; nodes up to which their ids are broadcast (16 bytes each).
-CROWD, BROADCAST_NODES = 64, 400_000
+#: Members in a block, rows in a task of small buckets, partners tried at first, factor of the next trials.
+BLOCK, TASK_ROWS, PARTNERS, MORE = 1024, 20_000, 4, 16
+#: Nodes up to which their ids are broadcast (16 bytes each).
+BROADCAST_NODES = 400_000
 LEVELS = 4096
 
 
@@ -94,7 +99,7 @@ def shingles(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     mean = (total[width:] - total[:-width]) / width
     found, first, count = np.unique(mix64(key), return_index=True, return_counts=True)
     # The weight depends on the shingle's words only; rounding makes it the same wherever the shingle stands.
-    return found, count * np.round(mean[first], 6)
+    return found, (1 + np.log(count)) * np.round(mean[first], 6)
 
 
 def samples(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -229,6 +234,59 @@ def _links(pairs: DataFrame, docs: DataFrame, text: str, idf, threshold: float)
     return both.select("a", "b", "_ta", "_tb").mapInArrow(run, "a binary, b binary")
 
 
+LINKED, NEAR, FAR = 0, 1, 2
+
+
+def _left(stated: DataFrame, nodes: DataFrame, found: DataFrame, partners: int) -> tuple[DataFrame, bool]:
+    """Pairs still to be verified, at most ``partners`` for a node in each task, and whether any node has more."""
+    label = stated.join(found.withColumnRenamed("comp", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    other = F.col("state") != LINKED
+    open_ = label.groupBy("band", "bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("n"), F.sum(other.cast("long")).alias("m"), F.sum((F.col("state") == NEAR).cast("long")).alias("near"))
+    open_ = open_.where((F.col("_lo") != F.col("_hi")) & ((F.col("m") > 1) | ((F.col("near") > 0) & (F.col("n") - F.col("m") > 1))))
+    open_ = cut(open_.select("band", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "n"))
+    rows = open_.agg(F.sum("n")).first()[0] or 0
+    every = label.join(open_.drop("n"), ["band", "bucket"]).join(nodes.select("node", "sig"), "node")
+    # Block i of the members that do not match the pivot meets block j of all members.
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("mb"))
+    theirs = F.pmod(F.xxhash64("node", F.lit(2)), F.col("nb"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["band", "bucket", "node", "c", "state", "sig"]
+    one = every.where(other).select(*cols, mine.cast("int").alias("i"), upto("nb").alias("j"), F.lit(0).alias("side"))
+    two = every.select(*cols, upto("mb").alias("i"), theirs.cast("int").alias("j"), F.lit(1).alias("side"))
+    task = F.xxhash64("band", "bucket", "i", "j")
+    slots = max(1, -(-rows // TASK_ROWS))
+    # A task is a pair of blocks; small ones share a group of about TASK_ROWS rows.
+    dealt = one.unionByName(two).withColumn("task", task).withColumn("slot", F.pmod("task", F.lit(slots)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        tasks, side, states = (table.column(c).to_numpy() for c in ("task", "side", "state"))
+        names = np.array(table.column("node").to_pylist(), object)
+        comps = np.array(table.column("c").to_pylist(), object)
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SAMPLES)
+        order = np.lexsort((side, tasks))
+        edges = np.flatnonzero(np.diff(tasks[order])) + 1
+        a, b, more = [], [], []
+        for rows in np.split(order, edges):
+            ones, twos = rows[side[rows] == 0], rows[side[rows] == 1]
+            for k in ones:
+                # A far member cannot match one that matches the pivot; of two that do not match, the smaller name asks.
+                may = np.where(states[twos] == LINKED, states[k] == NEAR, (names[twos] > names[k]).astype(bool)) & (comps[twos] != comps[k]).astype(bool)
+                if not may.any():
+                    continue
+                may = twos[may]
+                agree = (sigs[may] == sigs[k]).mean(1)
+                may, agree = may[agree >= VERIFY_FROM], agree[agree >= VERIFY_FROM]
+                best = np.argsort(-agree, kind="stable")[:partners]
+                a += [names[k]] * len(best)
+                b += names[may[best]].tolist()
+                more += [len(may) > partners] * len(best)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "more": pa.array(more, pa.bool_())})
+
+    got = dealt.select("slot", "task", "side", "node", "c", "state", "sig").groupBy("slot").applyInArrow(compare, "a binary, b binary, more boolean")
+    got = cut(got.groupBy("a", "b").agg(F.max("more").alias("more")))
+    return got.select("a", "b"), bool(got.where("more").take(1))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, node, component_id, kept`` for every row of ``docs``.
 
@@ -242,30 +300,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     signed = cut(_signatures(docs, idf, key, text))
     nodes = cut(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc").alias("first_doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     placed = nodes.where(F.col("bands").isNotNull()).select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where(F.col("n") > 1)
+    shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = cut(placed.join(shared, ["band", "bucket"]))
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    central = members.join(company, "node").groupBy("band", "bucket").agg(F.max(F.struct("company", "node"))["node"].alias("pivot"))
+    members = cut(members.select("band", "bucket", "node").join(central, ["band", "bucket"]))
     to_pivot = members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     tried = cut(_agreement(to_pivot, nodes))
     links = cut(_links(tried.where(F.col("est") >= VERIFY_FROM).select("a", "b"), docs, text, idf, threshold))
-    found = components(links)
-
-    # What is left: members of one bucket in different components.
-    label = members.join(found.withColumnRenamed("comp", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    split = label.groupBy("band", "bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("band", "bucket")
-    near = tried.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "est").join(links.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("linked")), ["node", "pivot"], "left")
-    left = label.join(split, ["band", "bucket"]).join(near, ["node", "pivot"], "left")
-    state = F.when((F.col("node") == F.col("pivot")) | F.coalesce("linked", F.lit(False)), "linked").when(F.col("est") >= NEAR_FROM, "near").otherwise("far")
-    left = left.join(nodes.select("node", "bands"), "node").withColumn("state", state)
-    second = F.filter(F.transform("bands", lambda x, i: F.when(i != F.col("band"), F.xxhash64(i, x))), lambda x: x.isNotNull())
-    left = cut(left.select("band", "bucket", "node", "c", "state", F.explode(F.when(F.col("n") > CROWD, second).otherwise(F.array(F.lit(0).cast("long")))).alias("sub")))
-    place = ["band", "bucket", "sub"]
-    one = left.where(F.col("state") != "linked").select(*place, F.col("node").alias("a"), F.col("c").alias("ca"), F.col("state").alias("sa"))
-    other = left.select(*place, F.col("node").alias("b"), F.col("c").alias("cb"), F.col("state").alias("sb"))
-    may = (F.col("ca") != F.col("cb")) & F.when(F.col("sb") == "linked", F.col("sa") == "near").otherwise(F.col("a") < F.col("b"))
-    pairs = one.join(other, place).where(may).select("a", "b").distinct()
-    late = cut(_agreement(pairs, nodes).where(F.col("est") >= VERIFY_FROM).select("a", "b"))
-    if late.take(1):
-        found = components(links.unionByName(cut(_links(late, docs, text, idf, threshold))))
+    found = cut(components(links))
+
+    verdict = tried.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "est").join(links.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("linked")), ["node", "pivot"], "left")
+    state = F.when((F.col("node") == F.col("pivot")) | F.coalesce("linked", F.lit(False)), LINKED).when(F.col("est") >= NEAR_FROM, NEAR).otherwise(FAR)
+    stated = cut(members.join(verdict, ["node", "pivot"], "left").select("band", "bucket", "node", state.alias("state")))
+    partners = PARTNERS
+    while True:
+        late, more = _left(stated, nodes, found, partners)
+        if not late.take(1):
+            break
+        new = cut(_links(late, docs, text, idf, threshold))
+        if new.take(1):
+            links = links.unionByName(new)
+            found = cut(components(links))
+        if not more:
+            break
+        partners *= MORE
 
     linked = nodes.select("node", "first_doc").join(found, "node")
     least = linked.groupBy("comp").agg(F.min("first_doc").alias("least"))

@@ -12,6 +12,8 @@ from blockloom.llm.language import identify, train
 from blockloom.llm.licences import licence_sql, licences
 from blockloom.llm.mixing import mix
 from blockloom.llm.near_dup import near_duplicates
+from blockloom.llm.pii import KINDS, personal_data
+from blockloom.llm.pii import train as train_pii
 from blockloom.llm.sharding import shard_rows
 from blockloom.llm.token_count import token_counts
 from blockloom.llm.toxicity import fit, fold, toxicity
@@ -59,6 +61,13 @@ def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = personal_data(docs, train_pii(docs))
+    counts = [F.coalesce(F.regexp_count("base", F.lit(f"{k}:")), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return rows.select(F.col("key").alias("doc_id"), *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(table(spark, sf_dir, "documents"))
     rows = identify(table(spark, sf_dir, "pages"), model, text="html", address="url", markup=True)
@@ -74,5 +83,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_toxicity_neighbours": op6_toxicity_neighbours, "op7_licence_rules": op7_licence_rules, "op9_language_fusion": op9_language_fusion, "op10_benchmark_decontamination": op10_benchmark_decontamination}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_toxicity_neighbours": op6_toxicity_neighbours, "op7_licence_rules": op7_licence_rules, "op8_personal_data": op8_personal_data, "op9_language_fusion": op9_language_fusion, "op10_benchmark_decontamination": op10_benchmark_decontamination}
 ORACLE_SQL: dict[str, str] = {"op7_licence_rules": licence_sql()}
