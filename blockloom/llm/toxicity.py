@@ -36,39 +36,42 @@ def fold(key: Column) -> Column:
 
 
 class Index:
-    """Entries (distinct unit vectors with the votes of their examples) in blocks, with block-max weights by term."""
+    """Entries (distinct unit vectors with the votes of their examples) in blocks, with block-max weights by term.
+
+    ``weights`` holds, for each term, the weights of all entries, block by block (the last one filled up with zeros).
+    """
 
     def __init__(self, vectors: np.ndarray, votes: np.ndarray, names: list[list]):
         order = np.lexsort(vectors.T)
+        self.size, n_blocks = len(order), -(-len(order) // BLOCK)
         self.vectors, self.votes, self.names = vectors[order], votes[order], [names[i] for i in order]
-        starts = range(0, len(order), BLOCK)
-        self.block_max = np.array([self.vectors[s : s + BLOCK].max(0) for s in starts]).reshape(-1, vectors.shape[1])
-        self.postings = []
-        for s in starts:
-            part = self.vectors[s : s + BLOCK]
-            used = np.flatnonzero(part.any(0))
-            self.postings.append((used, part[:, used]))
+        self.number = self.votes.sum(1)
+        padded = np.zeros((n_blocks * BLOCK, vectors.shape[1]))
+        padded[: self.size] = self.vectors
+        self.weights = np.ascontiguousarray(padded.T).reshape(vectors.shape[1], n_blocks, BLOCK)
+        self.block_max = self.weights.max(2)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The entries that hold the k nearest examples, and all as near as the k-th, with their cosines."""
-        bound = self.block_max[:, terms] @ weights
-        where, cosines, reached = [], [], -1.0
-        query = np.zeros(self.vectors.shape[1])
-        query[terms] = weights
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] < reached - 1e-9:
-                break
-            used, part = self.postings[b]
-            where.append(np.arange(b * BLOCK, b * BLOCK + len(part)))
-            cosines.append(part @ query[used])
-            every, at = np.concatenate(cosines), np.concatenate(where)
-            near = np.argsort(-every, kind="stable")
-            total = np.cumsum(self.votes[at[near]].sum(1))
-            if total[-1] >= k:
-                reached = every[near[np.searchsorted(total, k)]]
-        every, at = np.concatenate(cosines), np.concatenate(where)
-        chosen = every >= reached - 1e-9
-        return at[chosen], every[chosen]
+        """The entries that hold the k nearest examples, and all as near as the k-th, with their cosines.
+
+        Blocks are opened in order of their bounds, twice as many each time, until the next bound is below the k-th.
+        """
+        bound = weights @ self.block_max[terms]
+        order, at, reached, wave = np.argsort(-bound, kind="stable"), 0, -1.0, 2
+        where, cosines = np.empty(0, np.int64), np.empty(0)
+        while at < len(order) and bound[order[at]] >= reached - 1e-9:
+            blocks = order[at : at + wave]
+            at, wave = at + wave, wave * 2
+            fresh = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            value = np.tensordot(weights, self.weights[np.ix_(terms, blocks)], 1).ravel()
+            keep = (fresh < self.size) & (value >= reached - 1e-9)
+            where, cosines = np.concatenate((where, fresh[keep])), np.concatenate((cosines, value[keep]))
+            near = np.argsort(-cosines, kind="stable")
+            total = np.cumsum(self.number[where[near]])
+            if len(total) and total[-1] >= k:
+                reached = cosines[near[np.searchsorted(total, k)]]
+        chosen = cosines >= reached - 1e-9
+        return where[chosen], cosines[chosen]
 
 
 @dataclass
