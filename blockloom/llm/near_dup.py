@@ -10,12 +10,13 @@ Each of ``ROWS * BANDS`` consistent weighted samples of two sets agrees with the
 Jaccard similarity. Documents that agree in all samples of a band share a bucket. A bucket is not expanded into pairs:
 
 1. every member is held against the bucket's pivot, the member that has most company in all its buckets and so
-   stands in the middle of its near copies; pairs at the threshold are links;
+   stands in the middle of its near copies (of its pivots in all bands, the two likeliest); pairs at the threshold
+   are links;
 2. links are joined into components, and only members of a bucket that ended in different components are left;
 3. of those, members that do not match the pivot are compared by their samples, block against block, with the rest of
    the bucket, unless the triangle inequality of the Jaccard distance rules a link out. The few likeliest partners of
-   each go on to verification; while a member has partners left that were not tried and that are in another component,
-   sixteen times as many are tried next, so in the end none is left out.
+   each go on to verification; of buckets that are still in several components after that, all partners do, within
+   the tasks that compare blocks.
 
 Every pair that is held against each other first passes a comparison of samples (a pair at the threshold fails it with
 a chance of about one in ten thousand) and is then verified by the exact weighted Jaccard similarity of whole texts.
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import U64, components, cut, mix64, texts_of
+from blockloom.llm.common import U64, components, cut, mix64, texts_of, texts_to_python
 from blockloom.llm.decontaminate import words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -41,11 +42,11 @@ SAMPLES = ROWS * BANDS
 BUCKETS_BITS = 16
 #: Sample agreement from which a pair is verified, and below which it is taken to be far from the pivot.
 VERIFY_FROM, NEAR_FROM = 0.6, 0.45
-#: Members in a block, rows in a task of small buckets, partners tried at first, factor of the next trials.
-BLOCK, TASK_ROWS, PARTNERS, MORE = 1024, 20_000, 4, 16
+#: Pivots of a member verified at first, members in a block, rows in a task of small buckets, partners tried next.
+FIRST_PIVOTS, BLOCK, TASK_ROWS, PARTNERS = 2, 2048, 1500, 4
 #: Nodes up to which their ids are broadcast (16 bytes each).
 BROADCAST_NODES = 400_000
-LEVELS = 4096
+LEVELS = 2048
 
 
 def _gamma_levels() -> np.ndarray:
@@ -61,7 +62,7 @@ def _gamma_levels() -> np.ndarray:
 
 _R = _gamma_levels().astype(np.float32)
 _INV_R, _LN_C = (1 / _R).astype(np.float32), np.log(_R).astype(np.float32)
-_SEEDS = mix64(np.arange(1, SAMPLES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_SEEDS = (mix64(np.arange(1, SAMPLES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32)
 _PLACES = mix64(np.arange(1, SHINGLE + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
 _BAND = mix64(np.arange(1, BANDS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 
@@ -103,26 +104,40 @@ def shingles(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def samples(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """One consistent weighted sample (as a 64-bit fingerprint of shingle and level) for each seed."""
+    """``SAMPLES`` consistent weighted samples, each a 64-bit fingerprint of a shingle and its level.
+
+    A shingle's draws for a seed are the parts of one 32-bit hash: eleven bits each choose the two Gamma(2, 1)
+    variables among their quantiles, ten are the uniform one.
+    """
     best = np.full(SAMPLES, np.inf, np.float32)
     out = np.zeros(SAMPLES, U64)
     columns = np.arange(SAMPLES)
-    for at in range(0, len(found), 4096):
-        part, log_w = found[at : at + 4096], np.log(weights[at : at + 4096]).astype(np.float32)
+    key, log_w = (found >> U64(20)).astype(np.uint32), np.log(weights).astype(np.float32)
+    for at in range(0, len(found), 2048):
+        part = slice(at, at + 2048)
         with np.errstate(over="ignore"):
-            x = (part[:, None] ^ _SEEDS[None, :]) * U64(0xFF51AFD7ED558CCD)
-            x ^= x >> U64(32)
-            x *= U64(0xC4CEB9FE1A85EC53)
-        level = (x >> U64(52)).astype(np.int16)
-        beta = ((x >> U64(16)) & U64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(log_w[:, None] * _INV_R[level] + beta)
-        value = _LN_C[((x >> U64(40)) & U64(0xFFF)).astype(np.int16)] - _R[level] * (t - beta + np.float32(1))
-        low = value.argmin(0)
-        value, t = value[low, columns], t[low, columns]
+            x = (key[part, None] ^ _SEEDS[None, :]) * np.uint32(0x85EBCA6B)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0xC2B2AE35)
+            x ^= x >> np.uint32(16)
+        level = x & np.uint32(LEVELS - 1)
+        r = _R[level]
+        beta = (x >> np.uint32(22)).astype(np.float32)
+        beta += np.float32(0.5)
+        beta *= np.float32(2.0**-10)
+        t = log_w[part, None] * _INV_R[level]
+        t += beta
+        np.floor(t, out=t)
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r
+        beta += _LN_C[(x >> np.uint32(11)) & np.uint32(LEVELS - 1)]
+        low = beta.argmin(0)
+        value, t = beta[low, columns], t[low, columns]
         better = value < best
         best[better] = value[better]
         with np.errstate(over="ignore"):
-            out[better] = mix64(part[low[better]] ^ (t[better].astype(np.int64).astype(U64) * U64(0x9E3779B97F4A7C15)))
+            out[better] = mix64(found[part][low[better]] ^ (t[better].astype(np.int64).astype(U64) * U64(0x9E3779B97F4A7C15)))
     return out
 
 
@@ -160,7 +175,7 @@ def word_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1), pa.int32()), pa.array(np.append(counts[there], n), pa.int64())], ["bucket", "n"])
 
-    counted = docs.select(F.col(text).alias("t")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counted = texts_to_python(docs).select(F.col(text).alias("t")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     n, df = 0, np.zeros(1 << BUCKETS_BITS)
     for bucket, count in counted:
         if bucket < 0:
@@ -206,7 +221,27 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "_sa", "_sb").mapInArrow(run, "a binary, b binary, est double")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, text: str, idf, threshold: float) -> DataFrame:
+def _texts(needed: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``node, t``: the texts of the nodes in ``needed``. Only they leave the scan while the list is short."""
+    needed = cut(needed.distinct())
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
+    whole = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("t")).join(few, "node", "left_semi")
+    return cut(whole.groupBy("node").agg(F.first("t").alias("t")))
+
+
+def _vectors(nodes: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """``node, keys, weights`` (raw arrays): the shingle sets of ``nodes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, weights = Words(), idf.value
+        for batch in texts_of(batches):
+            sets = [shingles(store.hash(words_of(t)), weights) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.tobytes() for k, _ in sets], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in sets], pa.binary())], ["node", "keys", "weights"])
+
+    return texts.join(nodes, "node", "left_semi").select("node", "t").mapInArrow(run, "node binary, keys binary, weights binary")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Those of ``pairs (a, b)`` whose whole texts reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +261,6 @@ def _links(pairs: DataFrame, docs: DataFrame, text: str, idf, threshold: float)
             near = [similarity(vector(b[i], tb[i]), vector(a[i], ta[i])) >= threshold for i in range(len(a))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
-    whole = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("t")).join(few, "node", "left_semi")
-    texts = cut(whole.groupBy("node").agg(F.first("t").alias("t")))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("_ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("_tb")), "b")
     return both.select("a", "b", "_ta", "_tb").mapInArrow(run, "a binary, b binary")
 
@@ -237,54 +268,103 @@ def _links(pairs: DataFrame, docs: DataFrame, text: str, idf, threshold: float)
 LINKED, NEAR, FAR = 0, 1, 2
 
 
-def _left(stated: DataFrame, nodes: DataFrame, found: DataFrame, partners: int) -> tuple[DataFrame, bool]:
-    """Pairs still to be verified, at most ``partners`` for a node in each task, and whether any node has more."""
+def _open(stated: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with their components, of buckets that may still hold an unseen link, and their blocks."""
     label = stated.join(found.withColumnRenamed("comp", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    other = F.col("state") != LINKED
-    open_ = label.groupBy("band", "bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("n"), F.sum(other.cast("long")).alias("m"), F.sum((F.col("state") == NEAR).cast("long")).alias("near"))
-    open_ = open_.where((F.col("_lo") != F.col("_hi")) & ((F.col("m") > 1) | ((F.col("near") > 0) & (F.col("n") - F.col("m") > 1))))
-    open_ = cut(open_.select("band", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "n"))
-    rows = open_.agg(F.sum("n")).first()[0] or 0
-    every = label.join(open_.drop("n"), ["band", "bucket"]).join(nodes.select("node", "sig"), "node")
-    # Block i of the members that do not match the pivot meets block j of all members.
+    other = (F.col("state") != LINKED).cast("long")
+    sizes = label.groupBy("band", "bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("n"), F.sum(other).alias("m"), F.sum((F.col("state") == NEAR).cast("long")).alias("near"))
+    sizes = sizes.where((F.col("_lo") != F.col("_hi")) & ((F.col("m") > 1) | ((F.col("near") > 0) & (F.col("n") - F.col("m") > 1))))
+    sizes = sizes.select("band", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+    return cut(label.join(sizes, ["band", "bucket"]).select("band", "bucket", "node", "c", "state", "mb", "nb"))
+
+
+def _dealt(open_: DataFrame, more: DataFrame, cols: list[str]) -> DataFrame:
+    """Open members dealt to tasks: block ``i`` of those that do not match the pivot (side 0) meets block ``j`` of all
+    (side 1); where there is one block of each, a member is sent once (side 2).
+
+    ``more`` has further columns by node. Small tasks share a ``slot`` of about TASK_ROWS rows.
+    """
+    every = open_.join(more, "node")
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("mb"))
     theirs = F.pmod(F.xxhash64("node", F.lit(2)), F.col("nb"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["band", "bucket", "node", "c", "state", "sig"]
-    one = every.where(other).select(*cols, mine.cast("int").alias("i"), upto("nb").alias("j"), F.lit(0).alias("side"))
-    two = every.select(*cols, upto("mb").alias("i"), theirs.cast("int").alias("j"), F.lit(1).alias("side"))
+    cols = ["band", "bucket", "node", "c", "state", *cols]
+    big = F.col("nb") > 1
+    one = every.where(big & (F.col("state") != LINKED)).select(*cols, mine.cast("int").alias("i"), upto("nb").alias("j"), F.lit(0).alias("side"))
+    two = every.select(*cols, upto("mb").alias("i"), theirs.cast("int").alias("j"), F.when(big, 1).otherwise(2).alias("side"))
+    slots = max(1, -(-open_.count() // TASK_ROWS))
     task = F.xxhash64("band", "bucket", "i", "j")
-    slots = max(1, -(-rows // TASK_ROWS))
-    # A task is a pair of blocks; small ones share a group of about TASK_ROWS rows.
-    dealt = one.unionByName(two).withColumn("task", task).withColumn("slot", F.pmod("task", F.lit(slots)))
+    return one.unionByName(two).withColumn("task", task).withColumn("slot", F.pmod("task", F.lit(slots))).drop("bucket", "i", "j")
+
+
+def _questions(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each member that does not match its pivot, with the members it may link to and the agreement of their samples.
+
+    A far member cannot match one that matches the pivot. Of two that do not match, the one with the smaller name asks.
+    """
+    tasks, side, states = (table.column(c).to_numpy() for c in ("task", "side", "state"))
+    names = np.array(table.column("node").to_pylist(), object)
+    comps = np.array(table.column("c").to_pylist(), object)
+    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SAMPLES)
+    order = np.lexsort((side, tasks))
+    for rows in np.split(order, np.flatnonzero(np.diff(tasks[order])) + 1):
+        ones, twos = rows[(side[rows] != 1) & (states[rows] != LINKED)], rows[side[rows] != 0]
+        for k in ones:
+            may = np.where(states[twos] == LINKED, states[k] == NEAR, (names[twos] > names[k]).astype(bool)) & (comps[twos] != comps[k]).astype(bool)
+            if may.any():
+                agree = (sigs[twos[may]] == sigs[k]).mean(1)
+                yield k, twos[may][agree >= VERIFY_FROM], agree[agree >= VERIFY_FROM]
+
+
+def _likeliest(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each open member, its ``PARTNERS`` likeliest partners in each task."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        names = table.column("node").to_pylist()
+        a, b = [], []
+        for k, may, agree in _questions(table):
+            for other in may[np.argsort(-agree, kind="stable")[:PARTNERS]]:
+                a.append(names[k])
+                b.append(names[other])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    dealt = _dealt(open_, nodes.select("node", "sig"), ["sig"])
+    return cut(dealt.groupBy("slot").applyInArrow(compare, "a binary, b binary").distinct())
+
+
+def _settled(open_: DataFrame, nodes: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Links that join the components of all open members: every pair that may be one is verified within its task.
+
+    A pair that shares several buckets is looked at in the first; pairs that links of the task have joined already are
+    left out. So rows are as many as links that join something, not as pairs.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        tasks, side, states = (table.column(c).to_numpy() for c in ("task", "side", "state"))
-        names = np.array(table.column("node").to_pylist(), object)
-        comps = np.array(table.column("c").to_pylist(), object)
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SAMPLES)
-        order = np.lexsort((side, tasks))
-        edges = np.flatnonzero(np.diff(tasks[order])) + 1
-        a, b, more = [], [], []
-        for rows in np.split(order, edges):
-            ones, twos = rows[side[rows] == 0], rows[side[rows] == 1]
-            for k in ones:
-                # A far member cannot match one that matches the pivot; of two that do not match, the smaller name asks.
-                may = np.where(states[twos] == LINKED, states[k] == NEAR, (names[twos] > names[k]).astype(bool)) & (comps[twos] != comps[k]).astype(bool)
-                if not may.any():
-                    continue
-                may = twos[may]
-                agree = (sigs[may] == sigs[k]).mean(1)
-                may, agree = may[agree >= VERIFY_FROM], agree[agree >= VERIFY_FROM]
-                best = np.argsort(-agree, kind="stable")[:partners]
-                a += [names[k]] * len(best)
-                b += names[may[best]].tolist()
-                more += [len(may) > partners] * len(best)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "more": pa.array(more, pa.bool_())})
-
-    got = dealt.select("slot", "task", "side", "node", "c", "state", "sig").groupBy("slot").applyInArrow(compare, "a binary, b binary, more boolean")
-    got = cut(got.groupBy("a", "b").agg(F.max("more").alias("more")))
-    return got.select("a", "b"), bool(got.where("more").take(1))
+        names, comps = table.column("node").to_pylist(), table.column("c").to_pylist()
+        keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
+        weights = [np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("weights").to_pylist()]
+        bands_ = np.array(table.column("bands").to_pylist(), np.int64)
+        band = table.column("band").to_numpy()
+        above: dict[bytes, bytes] = {}
+
+        def top(c: bytes) -> bytes:
+            while c in above:
+                c = above[c]
+            return c
+
+        a, b = [], []
+        for k, may, agree in _questions(table):
+            first = (bands_[may] == bands_[k]).argmax(1) == band[k]
+            for other in may[first][np.argsort(-agree[first], kind="stable")]:
+                x, y = top(comps[k]), top(comps[other])
+                if x != y and similarity((keys[k], weights[k]), (keys[other], weights[other])) >= threshold:
+                    above[max(x, y)] = min(x, y)
+                    a.append(names[k])
+                    b.append(names[other])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    dealt = _dealt(open_, nodes.select("node", "sig", "bands").join(vectors, "node"), ["sig", "bands", "keys", "weights"])
+    return cut(dealt.groupBy("slot").applyInArrow(compare, "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,24 +387,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     members = cut(members.select("band", "bucket", "node").join(central, ["band", "bucket"]))
     to_pivot = members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     tried = cut(_agreement(to_pivot, nodes))
-    links = cut(_links(tried.where(F.col("est") >= VERIFY_FROM).select("a", "b"), docs, text, idf, threshold))
+    near = tried.where(F.col("est") >= NEAR_FROM)
+    texts = _texts(near.select(F.explode(F.array("a", "b")).alias("node")), docs, text)
+    # The likeliest pivots of each member go first; what they leave apart is open still, so nothing is lost by that.
+    likely = Window.partitionBy("a").orderBy(F.desc("est"), "b")
+    best = tried.where(F.col("est") >= VERIFY_FROM).withColumn("_rank", F.row_number().over(likely)).where(F.col("_rank") <= FIRST_PIVOTS)
+    links = cut(_links(best.select("a", "b"), texts, idf, threshold))
     found = cut(components(links))
 
     verdict = tried.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "est").join(links.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("linked")), ["node", "pivot"], "left")
     state = F.when((F.col("node") == F.col("pivot")) | F.coalesce("linked", F.lit(False)), LINKED).when(F.col("est") >= NEAR_FROM, NEAR).otherwise(FAR)
     stated = cut(members.join(verdict, ["node", "pivot"], "left").select("band", "bucket", "node", state.alias("state")))
-    partners = PARTNERS
-    while True:
-        late, more = _left(stated, nodes, found, partners)
-        if not late.take(1):
-            break
-        new = cut(_links(late, docs, text, idf, threshold))
-        if new.take(1):
-            links = links.unionByName(new)
-            found = cut(components(links))
-        if not more:
-            break
-        partners *= MORE
+    def known(wanted: DataFrame) -> DataFrame:
+        """``texts`` and those of the nodes in ``wanted`` that it lacks."""
+        missing = wanted.join(texts, "node", "left_anti")
+        return texts.unionByName(_texts(missing, docs, text)) if missing.take(1) else texts
+
+    # A few partners each, which joins most of what belongs together; then all that is still open.
+    open_ = _open(stated, found)
+    if open_.take(1):
+        pairs = _likeliest(open_, nodes)
+        texts = known(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        links = links.unionByName(cut(_links(pairs, texts, idf, threshold)))
+        found = cut(components(links))
+        open_ = _open(stated, found)
+    if open_.take(1):
+        still = open_.select("node").distinct()
+        late = _settled(open_, nodes, _vectors(still, known(still), idf), threshold)
+        if late.take(1):
+            found = cut(components(links.unionByName(late)))
 
     linked = nodes.select("node", "first_doc").join(found, "node")
     least = linked.groupBy("comp").agg(F.min("first_doc").alias("least"))
