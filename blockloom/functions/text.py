@@ -223,7 +223,8 @@ def truthy(value: Column) -> Column:
 def yaml_scalar(value: Column) -> Column:
     """A JSON string, which YAML reads, with the controls that JSON leaves raw but YAML forbids escaped."""
     quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-    for code in [*range(0x7F, 0xA0), 0xFFFE, 0xFFFF]:
-        quoted = F.replace(quoted, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    bad = "[\\x7F-\\x9F\uFFFE\uFFFF]"
+    escaped = F.array_join(F.transform(F.split(quoted, ""), lambda c: F.when(c.rlike(bad), F.format_string("\\u%04x", F.ascii(c))).otherwise(c)), "")
+    quoted = F.when(quoted.rlike(bad), escaped).otherwise(quoted)
     return F.when(value.isNotNull(), quoted)
 

@@ -16,6 +16,7 @@ from blockloom.operators.markdown import parse_markdown
 from blockloom.operators.normalize import normalized
 from blockloom.operators.records import Parsed, parse_lines
 from blockloom.plans import synth as S
+from blockloom.session import settled
 from blockloom.sources import sinks
 from blockloom.sources.pages import lines_from_pages
 
@@ -150,7 +151,7 @@ def q_markdown_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) AS total, count(*) FILTER (k % 10 > 1) AS success, count(*) FILTER (k % 10 = 2) AS changed, 0 AS with_issues, 0 AS failed, 0 AS sources_added, count(*) FILTER (k % 10 <= 1) AS skipped FROM good""")
 def q_normalize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.normalize_summary(normalized(_readable_files(spark, sf_dir)))
+    return validate.normalize_summary(normalized(settled(_readable_files(spark, sf_dir))))
 
 
 # --- layout -----------------------------------------------------------------------------------------------------------
@@ -264,12 +265,12 @@ def q_unlinked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FORM = "trim(regexp_replace(regexp_replace(upper({}), '[^A-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH needles AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:4], ' ') AS name FROM benchmark),
+@query(f"""WITH needles AS (SELECT DISTINCT array_to_string(string_split(replace(text, 'ß', 'ss'), ' ')[1:4], ' ') AS name FROM benchmark),
 keyed AS (SELECT name, {_FORM.format('name')} AS key FROM needles),
 docs AS (SELECT doc_id, source, dense_rank() OVER (ORDER BY source) AS pos, ' ' || {_FORM.format("replace(text, 'ß', 'ss')")} || ' ' AS t FROM documents)
 SELECT name, arg_min(source, (pos, doc_id)) AS source, arg_min(doc_id, (pos, doc_id)) AS page FROM keyed JOIN docs ON contains(t, ' ' || key || ' ') WHERE key <> '' GROUP BY name""")
 def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("name")).distinct()
+    names = _table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(F.replace("text", F.lit("ß"), F.lit("ss")), " "), 1, 4), " ").alias("name")).distinct()
     docs = _table(spark, sf_dir, "documents")
     order = docs.select("source").distinct().withColumn("pos", F.row_number().over(index.Window.orderBy("source")))
     pages = docs.join(order, "source").select("pos", "source", F.col("doc_id").alias("page"), F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"))
@@ -360,8 +361,8 @@ _BROWSE = """
 browse AS (SELECT k, name, tier, CASE WHEN k % 17 = 0 THEN NULL ELSE type END AS type, difficulty, CASE WHEN modifier LIKE '%d%' THEN NULL ELSE CAST(modifier AS INT) END AS atk_bonus,
   hp, stress, minor AS low_threshold, major AS high_threshold, '1d' || CAST(hp AS STRING) || CASE WHEN k % 2 = 0 THEN ' PHY' ELSE ' mag' END AS damage_dice FROM synth)
 """
-_FILTERS = {"search": "no1", "tier": 2, "atk_bonus": 1, "hp": (">=", 3), "low_threshold": ("<=", 50), "damage_dice": "phy", "type": "", "stress": None}
-_WHERE = "contains(lower(name), 'no1') AND tier = 2 AND coalesce(atk_bonus = 1, false) AND hp >= 3 AND coalesce(low_threshold <= 50, false) AND contains(lower(damage_dice), 'phy')"
+_FILTERS = {"search": "no1", "tier": 2, "atk_bonus": 1, "hp": (">=", 3), "low_threshold": ("<=", 50), "damage_dice": "MAG", "type": "", "stress": None}
+_WHERE = "contains(lower(name), 'no1') AND tier = 2 AND coalesce(atk_bonus = 1, false) AND hp >= 3 AND coalesce(low_threshold <= 50, false) AND contains(lower(damage_dice), 'mag')"
 
 
 @query(f"WITH {_BROWSE} SELECT k, name, atk_bonus, hp FROM browse WHERE {_WHERE}")

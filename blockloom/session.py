@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "blockloom", cores: int | None = None) -> SparkSession:
@@ -19,3 +20,11 @@ def local_session(name: str = "blockloom", cores: int | None = None) -> SparkSes
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, for plans that read a costly result more than once."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint(eager=True)
