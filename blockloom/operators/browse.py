@@ -61,6 +61,8 @@ def counts(rows: DataFrame, filters: dict) -> DataFrame:
 def numeric_columns(rows: DataFrame) -> list[str]:
     """Columns whose values all are numbers or empty; name and damage never are."""
     names = [c for c in rows.columns if c not in V.NEVER_NUMERIC]
+    if not names:
+        return []
     found = rows.agg(*[F.min((_numeric(c).isNotNull() | (_shown(c) == "")).cast("int")).alias(c) for c in names]).first()
     return [c for c in names if found[c] != 0]
 

@@ -15,8 +15,8 @@ WORDS = "source string, page int, page_w double, page_h double, word_no int, tex
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, file, text`` of Markdown files, one row each."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    """``path, file, text`` of Markdown files, one row each; an empty file has none."""
+    rows = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
@@ -27,7 +27,7 @@ def record_files(files: DataFrame) -> DataFrame:
 
 def text_pages(spark: SparkSession, path: str, mark: str = "\f") -> DataFrame:
     """``source, page, text`` of plain-text files whose pages a form feed ends; pages count from 1."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     name = source_from_filename(F.col("_metadata.file_name"))
     return rows.select(name.alias("source"), F.posexplode(F.split("value", mark, -1)).alias("p", "text")).select("source", (F.col("p") + 1).alias("page"), "text")
 

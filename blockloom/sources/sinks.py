@@ -6,7 +6,7 @@ import os
 import shutil
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -35,18 +35,18 @@ def allocate_names(records: DataFrame, order: list[str], taken: DataFrame | None
     keys = [f.name for f in records.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mixed.select("_root", "_base", *order).schema.fields) + ", stem string"
 
-    def settle(rows: pd.DataFrame, reserved: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        seen, out = set(reserved["stem"]), []
-        for stem in rows["_base"]:
+    def settle(rows: pa.Table, reserved: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        seen, out = set(reserved.column("stem").to_pylist()), []
+        for stem in rows.column("_base").to_pylist():
             name, i = stem, 1
             while name in seen:
                 name, i = f"{stem}_{i}", i + 1
             seen.add(name)
             out.append(name)
-        return rows.assign(stem=out)
+        return rows.append_column("stem", pa.array(out, pa.string())).combine_chunks()
 
-    settled = mixed.select("_root", "_base", *order).groupBy("_root").cogroup(held.groupBy("_root")).applyInPandas(settle, schema)
+    settled = mixed.select("_root", "_base", *order).groupBy("_root").cogroup(held.groupBy("_root")).applyInArrow(settle, schema)
     return plain.select(*keys, "stem").unionByName(mixed.join(settled, ["_root", "_base", *order]).select(*keys, "stem"))
 
 
