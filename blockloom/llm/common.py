@@ -72,24 +72,34 @@ def sample_ids(df: DataFrame, key: Column, most: int) -> DataFrame:
     return df.where(rank <= F.lit(top if top is not None else 0))
 
 
+#: Edges up to which a table of minima is broadcast (some 50 bytes each), and edges in a partition of such a graph.
+BROADCAST_EDGES, PART_EDGES = 300_000, 50_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of the undirected ``edges (a, b)``; ``comp`` is the smallest node of its component.
 
     Alternating large-star and small-star steps: every step is two aggregations and two joins on the node, whose
     partial minima are taken before the shuffle, so a node with very many links is no single task's work. The steps
-    halve path lengths, so few are needed; each is checkpointed.
+    halve path lengths, so few are needed; each is checkpointed. While the edges are few (they are counted in every
+    round), the minima are broadcast and the edges kept in few partitions; more are joined by shuffles.
     """
     edges = edges.where(F.col("a") != F.col("b")).select("a", "b")
     state = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _mark(state)
     while True:
+        n = seen[0]
+        few = n <= BROADCAST_EDGES
+        side = F.broadcast if few else (lambda d: d)
+        if few:
+            state = state.coalesce(-(-max(n, 1) // PART_EDGES))
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") > F.col("b")).distinct()
+        large = both.where(F.col("b") > F.col("a")).join(side(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") > F.col("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        small = large.join(side(low), "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        state = small.unionByName(large.groupBy("a").agg(F.min("b").alias("b"))).distinct()
+        state = cut(state.coalesce(-(-max(n, 1) // PART_EDGES)) if few else state)
         now = _mark(state)
         if now == seen:
             break

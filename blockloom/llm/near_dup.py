@@ -367,6 +367,12 @@ def _settled(open_: DataFrame, nodes: DataFrame, vectors: DataFrame, threshold:
     return cut(dealt.groupBy("slot").applyInArrow(compare, "a binary, b binary").distinct())
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that ``found (node, comp)`` and further links make together."""
+    known = found.where(F.col("node") != F.col("comp")).select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    return cut(components(known.unionByName(links)))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, node, component_id, kept`` for every row of ``docs``.
 
@@ -408,14 +414,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     if open_.take(1):
         pairs = _likeliest(open_, nodes)
         texts = known(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        links = links.unionByName(cut(_links(pairs, texts, idf, threshold)))
-        found = cut(components(links))
+        new = cut(_links(pairs, texts, idf, threshold))
+        found = _joined(found, new)
         open_ = _open(stated, found)
     if open_.take(1):
         still = open_.select("node").distinct()
         late = _settled(open_, nodes, _vectors(still, known(still), idf), threshold)
         if late.take(1):
-            found = cut(components(links.unionByName(late)))
+            found = _joined(found, late)
 
     linked = nodes.select("node", "first_doc").join(found, "node")
     least = linked.groupBy("comp").agg(F.min("first_doc").alias("least"))
