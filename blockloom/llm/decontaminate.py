@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from blockloom.llm.common import texts_of
+from blockloom.llm.common import texts_of, texts_to_python
 
 WINDOW = 13
 #: Words of documents in a shard, symbols in one index, distance of the sampled suffix positions.
@@ -235,7 +235,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     result = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(SPAN))]
     rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     blocks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    plain = docs.select(*[F.col(f"`{k}`") for k in keep], F.col(text).alias("_text"))
+    plain = texts_to_python(docs).select(*[F.col(f"`{k}`") for k in keep], F.col(text).alias("_text"))
     for k in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         items = [(r.item, r.text) for r in part.collect()]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from blockloom.llm.common import cut, let, sample_ids, texts_of
+from blockloom.llm.common import cut, let, sample_ids, texts_of, texts_to_python
 
 UNKNOWN = "und"
 BITS = 16
@@ -97,7 +97,7 @@ def _evidence(rows: DataFrame, model, names: list[str], text: str, address: str,
     plain = [F.col(f"`{c}`") for c in rows.columns] if keep else []
     kinds = [f for f in rows.schema.fields] if keep else []
     known = set(names)
-    source = rows.select(*plain, F.col(text).alias("_text"), F.col(address).cast("string").alias("_address"), (F.col(declared).cast("string") if declared else F.lit(None).cast("string")).alias("_declared"))
+    source = texts_to_python(rows).select(*plain, F.col(text).alias("_text"), F.col(address).cast("string").alias("_address"), (F.col(declared).cast("string") if declared else F.lit(None).cast("string")).alias("_declared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = model.value

@@ -67,7 +67,7 @@ RULES = [
 ]
 LAST = [("LicenseRef-all-rights-reserved", ["all-rights"])]
 #: Every known sentence holds one of these, so texts without any are not cut up.
-MARKS = ["licen", "reserved", "permi", "redistribut", "warrant", "free software", "software", "released under", "copyright"]
+MARKS = ["licen", "reserved", "permi", "redistribut", "warrant", "free software", "software", "released under", "copyright", "public domain"]
 
 
 def _plain(sentence: str) -> str:

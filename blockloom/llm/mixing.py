@@ -189,10 +189,11 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
 
 def mixed(rows: DataFrame, text: str = "text") -> DataFrame:
-    """The documents of the mix from ``mix``'s rows: one row a copy, with ``pass, shard, place`` and its words only."""
+    """The documents of the mix from ``mix``'s rows: one row a copy, with ``pass, shard, place`` (columns of
+    these names are replaced) and its words only."""
     each = rows.withColumn("_c", F.explode("copies"))
     shortened = F.when(F.col("_c.words") >= F.col("size"), F.col(text)).otherwise(first_words(F.col(text), F.col("_c.words")))
-    names = [c for c in rows.columns if c not in ("copies", "size", "source_size", "target")]
+    names = [c for c in rows.columns if c not in ("copies", "size", "source_size", "target", "pass", "shard", "place")]
     each = each.withColumn("_short", shortened)
     return each.select(*[F.col("_short").alias(c) if c == text else F.col(f"`{c}`") for c in names], "_c.pass", "_c.shard", "_c.place")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import sample_ids, texts_of
+from blockloom.llm.common import sample_ids, texts_of, texts_to_python
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -256,4 +256,4 @@ def personal_data(docs: DataFrame, field: Field, key: str = "doc_id", text: str
                 spans.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.string()), pa.array(spans, pa.string())], ["key", "base", "spans"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, base string, spans string")
+    return texts_to_python(docs).select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, base string, spans string")

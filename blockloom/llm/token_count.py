@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from blockloom.llm.common import texts_of
+from blockloom.llm.common import texts_of, texts_to_python
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int64).max
@@ -194,4 +194,4 @@ def token_counts(docs: DataFrame, model_file: str, text: str = "text", keep: tup
             sizes = pc.binary_length(column.cast(pa.large_binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes.cast(pa.int64()), pa.array(n, pa.int64())], [*[f.name for f in fields], "n_bytes", "n_tokens"])
 
-    return plain.mapInArrow(run, StructType([*fields, StructField("n_bytes", LongType()), StructField("n_tokens", LongType())]))
+    return texts_to_python(plain).mapInArrow(run, StructType([*fields, StructField("n_bytes", LongType()), StructField("n_tokens", LongType())]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cut, texts_of
+from blockloom.llm.common import cut, texts_of, texts_to_python
 from blockloom.llm.decontaminate import words_of
 
 #: Examples of each class, terms, the chi-squared value a term must reach (chance gives that to one word in twenty
@@ -110,6 +110,7 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Model:
     """A model from at most ``examples`` documents of each class, none of them of the held-out fold."""
+    texts_to_python(docs)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(F.col(key)) != 0)).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("y"))
     known = cut(known)
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -196,4 +197,4 @@ def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 evidence.append(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.string()))], ["key", "score", "evidence"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, score double, evidence array<string>")
+    return texts_to_python(docs).select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, score double, evidence array<string>")
