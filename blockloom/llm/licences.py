@@ -66,8 +66,9 @@ RULES = [
     ("CC0-1.0", ["cc0-notice"]),
 ]
 LAST = [("LicenseRef-all-rights-reserved", ["all-rights"])]
-#: Every known sentence holds one of these, so texts without any are not cut up.
-MARKS = ["licen", "reserved", "permi", "redistribut", "warrant", "free software", "software", "released under", "copyright", "public domain"]
+#: Every known sentence holds one of these, so texts without any are not cut up. Each is within one word, as raw texts
+#: may have anything between two words.
+MARKS = ["licen", "reserved", "permi", "redistribut", "warrant", "software", "released", "copyright", "domain"]
 
 
 def _plain(sentence: str) -> str:

@@ -44,5 +44,25 @@ def test_every_known_sentence_has_a_mark():
     assert all(any(m in s for m in MARKS) for s in known_sentences())
 
 
+def test_wrapped_only_sentence(spark, docs_of):
+    texts = [
+        "Words. Released\nunder CC BY 4.0. More.",
+        "Released  under CC BY-SA 3.0.",
+        "Released\tunder CC0 1.0.",
+        "RELEASED\u00a0under CC BY 2.0.",
+        "This work is released into the public\n  domain under CC0 1.0.",
+        "This work is released into the public - domain under CC0 1.0.",
+    ]
+    assert found(docs_of, *texts) == [["CC-BY-4.0"], ["CC-BY-SA-3.0"], ["CC0-1.0"], ["CC-BY-2.0"], ["CC0-1.0"], ["CC0-1.0"]]
+    assert all(m.isalnum() for m in MARKS)
+
+
+def test_every_form_in_every_wrapping(spark, docs_of):
+    known = sorted(known_sentences())
+    for gap in ("\n", "  ", "\u00a0", " \r\n\t"):
+        rows = licences(docs_of([(i, s.replace(" ", gap), "s") for i, s in enumerate(known)])).orderBy("doc_id").collect()
+        assert [known_sentences()[s] in r.sentence_ids for s, r in zip(known, rows, strict=True)] == [True] * len(known)
+
+
 def test_odd_rows(spark, docs_of):
     assert [r.licences for r in licences(docs_of(ODD)).collect()] == [[]] * len(ODD) and licences(docs_of([])).collect() == []
