@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, from a block-max inverted index.
 
-Examples are a bounded sample of the labelled documents outside the held-out fold. Terms are the words whose presence
-goes with the label in that sample (chi-squared); a document's vector holds their counts times their inverse document
-frequency over all documents, and one constant place, so that one mention differs from many and a text without any
-term has neighbours too. Examples with equal vectors are one entry of the index. Entries stand in blocks; the index
-keeps each term's largest weight in each block, which bounds the cosine of all its entries. Blocks are opened in order
-of their bounds until no bound reaches the k-th nearest example found, so the neighbours are exact.
+Examples are a bounded sample of the labelled documents outside the held-out fold. Terms are all words of that sample.
+A document's vector holds their counts times their inverse document frequency over all documents times how far their
+presence goes with the label in the sample (the phi coefficient, so a word of few examples counts for what it tells),
+and one constant place, so that one mention differs from many and a text without any term has neighbours too. Examples
+with equal vectors are one entry of the index. Entries stand in blocks; the index keeps sparse postings and each term's
+largest weight in each block that has it, which bounds the cosine of all its entries. Blocks are opened in order of
+their bounds until no bound reaches the k-th nearest example found, so the neighbours are exact.
 
 The score is the share of distance-weighted votes for the label, each class counted at its frequency among all
 labelled documents, smoothed by one vote at the overall rate.
@@ -13,9 +14,10 @@ labelled documents, smoothed by one vote at the overall rate.
 
 from __future__ import annotations
 
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,8 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import cut, texts_of, texts_to_python
 from blockloom.llm.decontaminate import words_of
 
-#: Examples of each class, terms, the chi-squared value a term must reach (chance gives that to one word in twenty
-#: million) and in how many distinct examples it must stand.
-EXAMPLES, TERMS, CHI2, SUPPORT = 4096, 512, 30.0, 5
+#: Examples of each class; neighbours, entries of a block, distance at which a vote halves.
+EXAMPLES = 4096
 K, BLOCK, NEAR = 25, 64, 0.02
 
 
@@ -35,37 +36,68 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All integers of the half-open ranges, one range after the other."""
+    n = last - first
+    return np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())
+
+
 class Index:
     """Entries (distinct unit vectors with the votes of their examples) in blocks, with block-max weights by term.
 
-    ``weights`` holds, for each term, the weights of all entries, block by block (the last one filled up with zeros).
+    ``entry`` and ``weight`` are the postings by term and entry; a run is a term's postings within one block.
     """
 
-    def __init__(self, vectors: np.ndarray, votes: np.ndarray, names: list[list]):
-        order = np.lexsort(vectors.T)
-        self.size, n_blocks = len(order), -(-len(order) // BLOCK)
-        self.vectors, self.votes, self.names = vectors[order], votes[order], [names[i] for i in order]
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], places: int, votes: np.ndarray, names: list[list]):
+        # Entries with the same weightiest term stand together; the last place of each vector is the constant.
+        top = np.array([(t[np.argmax(w[:-1])], w[:-1].max()) if len(t) > 1 else (places, 0.0) for t, w in vectors])
+        order = np.lexsort((-top[:, 1], top[:, 0]))
+        self.size, self.n_blocks, self.places = len(order), -(-len(order) // BLOCK), places
+        self.votes, self.names = votes[order], [names[i] for i in order]
         self.number = self.votes.sum(1)
-        padded = np.zeros((n_blocks * BLOCK, vectors.shape[1]))
-        padded[: self.size] = self.vectors
-        self.weights = np.ascontiguousarray(padded.T).reshape(vectors.shape[1], n_blocks, BLOCK)
-        self.block_max = self.weights.max(2)
+        entry = np.repeat(np.argsort(order), [len(t) for t, _ in vectors])
+        term, weight = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        by_term = np.lexsort((entry, term))
+        term, self.entry, self.weight = term[by_term], entry[by_term].astype(np.int32), weight[by_term]
+        run = term * self.n_blocks + self.entry // BLOCK
+        self.start = np.flatnonzero(np.diff(run, prepend=-1))
+        self.end = np.append(self.start[1:], len(run))
+        self.run_block, self.run_max = run[self.start] % self.n_blocks, np.maximum.reduceat(self.weight, self.start)
+        self.runs = np.searchsorted(term[self.start], np.arange(places + 1))
+
+    @property
+    def vectors(self) -> np.ndarray:
+        """All entries as rows of a dense matrix (for small indexes)."""
+        out = np.zeros((self.size, self.places))
+        postings = self.end - self.start
+        out[self.entry, np.repeat(np.repeat(np.arange(self.places), np.diff(self.runs)), postings)] = self.weight
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The entries that hold the k nearest examples, and all as near as the k-th, with their cosines.
 
-        Blocks are opened in order of their bounds, twice as many each time, until the next bound is below the k-th.
+        Blocks are opened in order of their bounds, eight times as many each time, until the next bound is below the k-th.
         """
-        bound = weights @ self.block_max[terms]
-        order, at, reached, wave = np.argsort(-bound, kind="stable"), 0, -1.0, 2
+        first, last = self.runs[terms], self.runs[terms + 1]
+        runs, share = _ranges(first, last), np.repeat(weights, last - first)
+        block = self.run_block[runs]
+        bound = np.bincount(block, share * self.run_max[runs], self.n_blocks)
+        order, at, reached, wave = np.argsort(-bound, kind="stable"), 0, -1.0, 8
         where, cosines = np.empty(0, np.int64), np.empty(0)
         while at < len(order) and bound[order[at]] >= reached - 1e-9:
             blocks = order[at : at + wave]
-            at, wave = at + wave, wave * 2
+            at, wave = at + wave, wave * 8
+            blocks = blocks[bound[blocks] >= reached - 1e-9]
+            opened = np.zeros(self.n_blocks, bool)
+            opened[blocks] = True
+            opened = opened[block]
+            start, end = self.start[runs[opened]], self.end[runs[opened]]
+            posting = _ranges(start, end)
+            value = np.bincount(self.entry[posting], self.weight[posting] * np.repeat(share[opened], end - start), self.size)
             fresh = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            value = np.tensordot(weights, self.weights[np.ix_(terms, blocks)], 1).ravel()
-            keep = (fresh < self.size) & (value >= reached - 1e-9)
-            where, cosines = np.concatenate((where, fresh[keep])), np.concatenate((cosines, value[keep]))
+            fresh = fresh[fresh < self.size]
+            fresh = fresh[value[fresh] >= reached - 1e-9]
+            where, cosines = np.concatenate((where, fresh)), np.concatenate((cosines, value[fresh]))
             near = np.argsort(-cosines, kind="stable")
             total = np.cumsum(self.number[where[near]])
             if len(total) and total[-1] >= k:
@@ -77,22 +109,22 @@ class Index:
 @dataclass
 class Model:
     terms: dict[bytes, int]
-    idf: np.ndarray
+    weights: np.ndarray
     constant: float
     index: Index | None
     rates: np.ndarray
     prior: float
 
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        places = np.array([t for t, _ in counts] + [len(self.idf)], np.int64)
-        weights = np.array([n * self.idf[t] for t, n in counts] + [self.constant])
-        return places, weights / np.linalg.norm(weights)
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        terms, n = counts
+        weights = np.append(n * self.weights[terms], self.constant)
+        return np.append(terms, len(self.weights)), weights / np.linalg.norm(weights)
 
-    def counts(self, words: list[bytes]) -> tuple[tuple[int, int], ...]:
+    def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         terms = self.terms
-        return tuple(sorted(Counter(terms[w] for w in words if w in terms).items()))
+        return np.unique(np.array([terms[w] for w in words if w in terms], np.int64), return_counts=True)
 
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, list]:
+    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
         """The score of a document with these terms, and the keys of the first examples it rests on."""
         if self.index is None:
             return self.prior, []
@@ -133,42 +165,49 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     words = distinct.select("t", F.col("y").cast("int").alias("y")).mapInArrow(present, "word binary, y int").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     a, b, size = F.col("a"), F.col("b"), F.lit(float(m1 + m0))
     chi2 = size * F.pow(a * (m0 - b) - b * (m1 - a), 2) / (F.lit(float(max(1, m1) * max(1, m0))) * (a + b) * F.greatest(size - a - b, F.lit(1.0)))
-    top = words.where(a + b >= SUPPORT).select("word", chi2.alias("chi2")).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).collect() if n1 and n0 else []
-    terms = {bytes(r.word): i for i, r in enumerate(sorted(top, key=lambda r: bytes(r.word)))}
+    chosen_words = words.select("word", F.sqrt(chi2 / F.greatest(size, F.lit(1.0))).alias("phi")).orderBy("word").toArrow() if n1 and n0 else None
+    terms = {w: i for i, w in enumerate(chosen_words["word"].to_pylist())} if chosen_words else {}
+    phi = chosen_words["phi"].to_numpy() if chosen_words else np.empty(0)
+    shared_terms = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = Counter(), 0
+        terms, rows = shared_terms.value, 0
+        df = np.zeros(len(terms), np.int64)
         for batch in texts_of(batches):
             rows += batch.num_rows
             for t in batch.column(0).to_pylist():
-                df.update({terms[w] for w in words_of(t) if w in terms})
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *df], pa.int32()), pa.array([rows, *df.values()], pa.int64())], ["term", "n"])
-
-    df = {r.term: r.n for r in docs.select(F.col(text).alias("t")).mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([1 + np.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) for i in range(len(terms))])
-    model = Model(terms, idf, float(np.median(idf)) if len(idf) else 1.0, None, np.array([totals.get(0, 0) / n0 if n0 else 0.0, totals.get(1, 0) / n1 if n1 else 0.0]), prior)
+                df[[terms[w] for w in set(words_of(t)) if w in terms]] += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, seen), pa.int32()), pa.array(np.append(rows, df[seen]), pa.int64())], ["term", "n"])
+
+    got = docs.select(F.col(text).alias("t")).mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1)
+    df[got["term"].to_numpy()] = got["n"].to_numpy()
+    weights = phi * (1 + np.log((1 + df[-1]) / (1 + df[:-1])))
+    # The constant is a weight typical of those that tell most.
+    constant = float((weights**3).sum() / (weights**2).sum()) if weights.any() else 1.0
+    model = Model(terms, weights, constant, None, np.array([totals.get(0, 0) / n0 if n0 else 0.0, totals.get(1, 0) / n1 if n1 else 0.0]), prior)
     if len(terms):
         scale = model.rates.max()
         model.rates = model.rates / scale if scale > 0 else model.rates
+    shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts_of(batches):
             keys, ts, ys = (c.to_pylist() for c in batch.columns)
-            counts = [model.counts(words_of(t)) for t in ts]
-            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys], pa.string()), pa.array(ys, pa.int32()), pa.array([[t for t, _ in c] for c in counts], pa.list_(pa.int32())), pa.array([[m for _, m in c] for c in counts], pa.list_(pa.int64()))], ["key", "y", "terms", "counts"])
-
-    entries: dict[tuple, tuple[list[int], list]] = {}
-    for r in texts.select("key", "t", F.col("y").cast("int").alias("y")).mapInArrow(vectors, "key string, y int, terms array<int>, counts array<long>").orderBy("key").collect():
-        votes, names = entries.setdefault(tuple(zip(r.terms, r.counts, strict=True)), ([0, 0], []))
-        votes[r.y] += 1
+            counts = [shared_model.value.counts(words_of(t)) for t in ts]
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys], pa.string()), pa.array(ys, pa.int32()), pa.array([t for t, _ in counts], pa.list_(pa.int32())), pa.array([m for _, m in counts], pa.list_(pa.int32()))], ["key", "y", "terms", "counts"])
+
+    entries: dict[bytes, tuple[list[int], list, np.ndarray, np.ndarray]] = {}
+    rows = texts.select("key", "t", F.col("y").cast("int").alias("y")).mapInArrow(vectors, "key string, y int, terms array<int>, counts array<int>").orderBy("key").toArrow()
+    for name, y, t, m in zip(rows["key"], rows["y"], rows["terms"], rows["counts"], strict=True):
+        t, m = t.values.to_numpy().astype(np.int64), m.values.to_numpy()
+        votes, names, _, _ = entries.setdefault(t.tobytes() + m.tobytes(), ([0, 0], [], t, m))
+        votes[y.as_py()] += 1
         if len(names) < 3:
-            names.append(r.key)
+            names.append(name.as_py())
     if entries:
-        dense = np.zeros((len(entries), len(terms) + 1))
-        for row, counts in zip(dense, entries, strict=True):
-            places, weights = model.vector(counts)
-            row[places] = weights
-        model.index = Index(dense, np.array([v for v, _ in entries.values()], float), [names for _, names in entries.values()])
+        model.index = Index([model.vector((t, m)) for _, _, t, m in entries.values()], len(terms) + 1, np.array([v for v, *_ in entries.values()], float), [names for _, names, *_ in entries.values()])
     return model
 
 
@@ -187,12 +226,12 @@ def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         for batch in texts_of(batches):
             scores, evidence = [], []
             for t in batch.column(1).to_pylist():
-                counts = model.counts(words_of(t))
-                if counts not in seen:
-                    seen[counts] = model.score(counts)
+                same = md5((t or "").encode(), usedforsecurity=False).digest()
+                if same not in seen:
+                    seen[same] = model.score(model.counts(words_of(t)))
                     if len(seen) > 20_000:
                         seen.popitem(last=False)
-                score, names = seen[counts]
+                score, names = seen[same]
                 scores.append(score)
                 evidence.append(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.string()))], ["key", "score", "evidence"])

@@ -47,6 +47,34 @@ def test_neighbours_are_exact(data):
         assert set(at.tolist()) == set(np.flatnonzero(full >= kth - 1e-9).tolist())
 
 
+def test_few_toxic_labels(spark):
+    rng = random.Random(7)
+    words, bad = [f"w{i}" for i in range(3000)], [f"insult{i}" for i in range(4)]
+    rows = []
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(rng.randint(20, 60))]
+        rows.append((i, " ".join([*text, *rng.sample(bad, 2)] if i % 10 == 0 else text), int(i % 10 == 0)))
+    keys = {r[0] for r in spark.range(400).where(T.fold(F.col("id")) != 0).select("id").collect()}
+    toxic = [i for i, _, y in rows if y and i in keys][:8]  # each insult stands in about four of them
+    clean = [i for i, _, y in rows if not y and i in keys][:60]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in clean], "doc_id long, toxic int"))
+    assert len(model.terms) > 512 and {w.encode() for w in bad} <= set(model.terms)
+    got = {r.key: r.score for r in T.toxicity(docs, model).collect() if r.key not in toxic + clean}
+    scores = {y: [got[i] for i, _, x in rows if x == y and i in got] for y in (0, 1)}
+    above = np.mean([a > b for a in scores[1] for b in scores[0]])
+    assert above > 0.9
+
+
+def test_few_toxic_labels_of_the_small_table(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = T.fit(docs, labels)
+    rows = T.toxicity(docs, model).join(labels.where("toxic IS NOT NULL"), F.col("key") == F.col("doc_id")).where(T.fold(F.col("key")) == 0).collect()
+    clean = [r.score for r in rows if r.toxic == 0]
+    assert clean and all(r.score > np.median(clean) for r in rows if r.toxic == 1)
+    assert {b"moron", b"scum", b"pathetic"} <= set(model.terms)
+
+
 def test_odd_rows(spark, docs_of, data):
     model = data[2]
     got = T.toxicity(docs_of(ODD), model).collect()
