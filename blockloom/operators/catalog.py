@@ -43,9 +43,9 @@ def attribute(names: DataFrame, pages: DataFrame) -> DataFrame:
     text as whole words exactly if it is one of the text's runs of as many words; runs of the lengths that names have
     are joined with the names on equality. A name without letters or digits matches nothing.
     """
-    wanted = names.where(F.length("name") <= V.NAME_LENGTH).select("name", search_form(F.col("name")).alias("key")).where(F.col("key") != "").distinct()
+    wanted = names.select("name", search_form(F.col("name")).alias("key")).where(F.col("key") != "").distinct()
     keyed = wanted.withColumn("len", F.size(F.split("key", " ")))
-    # Names have few lengths (a name has 120 characters at most, so 60 words): one array of numbers.
+    # Names have few distinct lengths in words: one array of numbers.
     lengths = [r.len for r in keyed.select("len").distinct().collect()]
     words = pages.select("pos", "source", "page", F.split(search_form(F.col("text")), " ").alias("w"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("len")) if lengths else pages.select("pos", "source", "page", F.split("text", " ").alias("w"), F.lit(0).alias("len")).limit(0)
     spans = words.where(F.size("w") >= F.col("len"))

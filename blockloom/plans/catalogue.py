@@ -272,8 +272,8 @@ SELECT name, arg_min(source, (pos, doc_id)) AS source, arg_min(doc_id, (pos, doc
 def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(F.replace("text", F.lit("ß"), F.lit("ss")), " "), 1, 4), " ").alias("name")).distinct()
     docs = _table(spark, sf_dir, "documents")
-    order = docs.select("source").distinct().withColumn("pos", F.row_number().over(index.Window.orderBy("source")))
-    pages = docs.join(order, "source").select("pos", "source", F.col("doc_id").alias("page"), F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"))
+    order = docs.select("source").distinct().withColumn("pos", F.row_number().over(index.Window.orderBy(F.col("source").asc_nulls_last())))
+    pages = docs.join(order.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("pos", "source", F.col("doc_id").alias("page"), F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"))
     return catalog.attribute(names, pages)
 
 

@@ -73,6 +73,22 @@ def test_attribution(spark):
     assert sorted(map(tuple, catalog.attribute(names, pages).collect())) == [("Grey Moth", "A", 2), ("Moths", "A", 3), ("Troll", "B", 1)]
 
 
+def test_attribution_of_long_names(spark):
+    name = " ".join(f"word{i}" for i in range(40))
+    pages = spark.createDataFrame([(0, "A", 1, f"the {name} again"), (1, None, 2, "Troll")], "pos int, source string, page int, text string")
+    names = spark.createDataFrame([(name,), ("Troll",)], "name string")
+    assert sorted(map(tuple, catalog.attribute(names, pages).collect())) == [("Troll", None, 2), (name, "A", 1)]
+
+
+def test_attribution_keeps_documents_without_source(spark, tmp_path):
+    from blockloom.plans import catalogue
+
+    spark.createDataFrame([(1, "the grey moth of dawn", "a"), (2, "one old troll here now", None)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "grey moth of dawn x"), (2, "one old troll here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.QUERIES["q_attribution"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("grey moth of dawn", "a", 1), ("one old troll here", None, 2)]
+
+
 def test_links(spark):
     pages = spark.createDataFrame([('<a href="#define-adversary-grey-moth">x</a><a href="#define-adversary-action">',)], "html string")
     names = spark.createDataFrame([("Grey Moth",), ("Red",)], "name string")
