@@ -17,27 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of whole texts that go to Python at once.
-BATCH_ROWS = 1024
-
-
-def texts_to_python(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches made small enough for rows that carry whole texts."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back, so that a lost executor costs no recomputation.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is set only where that is unset.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, local mode gets a temporary one and a
+    cluster is refused, as its machines would not share it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
 
 
@@ -50,7 +42,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same batches in pieces of at most ``rows`` rows, so that long texts do not pile up in Python."""
+    """The same batches in pieces of at most ``rows`` rows, so that long texts do not pile up in Python.
+
+    Spark bounds the batches themselves by their bytes (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
