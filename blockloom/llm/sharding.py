@@ -1,17 +1,20 @@
 """Reproducible shuffle into equal shards: a Feistel permutation with cycle walking over global row numbers.
 
 Every row gets a number from 0 to N-1, the permutation moves the number, and shard and slot are its remainder and
-quotient by the number of shards: counts differ by at most one, slots have no gaps, and where a row number goes (or
-comes from) can be computed without the table.
+quotient by the number of shards: counts differ by at most one, slots have no gaps, and where a row number goes
+(``permuted``) or which number stands in a place (``original``) can be computed without the table.
 
-The row number is the row's place by (hash bucket of its key, key). Buckets hold some hundred rows however large the
-table is; their offsets are sums of sums, so no task numbers more than one bucket or one thousand bucket sizes.
+The row number is the row's place by (hash bucket, key, hash of all columns). A bucket is chosen by all columns, so a
+key that many rows share is spread; buckets hold some hundred rows however large the table is. Their offsets are sums
+of sums, so no task numbers more than one bucket or one thousand bucket sizes. Only rows that are equal in every column
+share a bucket whatever their number; they are sorted, which spills, and numbered as they stream by.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,33 +27,66 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("long"))
 
 
-def permuted(number: Column, n: int, seed: int) -> Column:
-    """The place of row ``number`` (0 to n-1) in a pseudo-random permutation of 0 to n-1.
+def grid(n: int) -> tuple[int, int]:
+    """Sides of the network's grid, both near sqrt(n), with as few cells past the ``n``-th as can be found.
 
-    The Feistel network works on a grid of about sqrt(n) by sqrt(n) cells, fewer than sqrt(n) + 1 of which are past
-    the end; a number that lands there is sent through again until it comes back. It meets no cell twice, so as many
-    steps as there are cells past the end always suffice, and 64 leave a chance of sqrt(n) ** -64 where those are more.
+    Among widths up to an eighth above the square root, the cells past the end are spread like remainders, so some
+    width leaves about ten whatever ``n`` is.
     """
-    wide = max(1, math.isqrt(max(0, n - 1)) + 1)
-    high = max(1, -(-n // wide))
-    steps = max(1, min(wide * high - n, 64))
+    root = max(1, math.isqrt(max(0, n - 1)) + 1)
+    wide = np.arange(root, root + max(1, min(root // 8, 1 << 22)), dtype=np.int64)
+    width = int(wide[np.argmin((-n) % wide)])
+    return width, max(1, -(-n // width))
+
+
+def _halves(x: Column, wide: int, high: int, seed: int, back: bool) -> Column:
+    """One pass through the network, forwards or backwards."""
+    width, height = F.lit(wide).cast("long"), F.lit(high).cast("long")
+    right = F.pmod(x, height)
+    sign = -1 if back else 1
+
+    def mixed(salt: Column, of: Column, size: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), salt, of), size)
+
+    def half(acc: Column, i: Column) -> Column:
+        if back:
+            r = F.pmod(acc["r"] + sign * mixed(i + 100, acc["l"], height), height)
+            return F.struct(F.pmod(acc["l"] + sign * mixed(i, r, width), width).alias("l"), r.alias("r"))
+        left = F.pmod(acc["l"] + sign * mixed(i, acc["r"], width), width)
+        return F.struct(left.alias("l"), F.pmod(acc["r"] + sign * mixed(i + 100, left, height), height).alias("r"))
+
+    order = range(ROUNDS - 1, -1, -1) if back else range(ROUNDS)
+    return F.aggregate(
+        F.array(*[F.lit(i) for i in order]),
+        F.struct(_div(x - right, high).alias("l"), right.alias("r")),
+        half,
+        lambda acc: acc["l"] * height + acc["r"],
+    )
+
+
+def _walked(number: Column, n: int, seed: int, back: bool) -> Column:
+    wide, high = grid(n)
+    # A number that meets cells past the end meets each at most once, so as many more passes always suffice.
+    more = wide * high - n
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(more)),
+        number,
+        lambda acc, i: F.when((i > 0) & (acc < n), acc).otherwise(_halves(acc, wide, high, seed, back)),
+    )
+
 
-    def network(x: Column) -> Column:
-        right = F.pmod(x, F.lit(high).cast("long"))
-        left = _div(x - right, high)
+def permuted(number: Column, n: int, seed: int) -> Column:
+    """The place of row ``number`` (0 to n-1) in a pseudo-random permutation of 0 to n-1.
 
-        def half(acc: Column, i: Column) -> Column:
-            left = F.pmod(acc["l"] + F.pmod(F.xxhash64(F.lit(seed), i, acc["r"]), F.lit(wide).cast("long")), F.lit(wide).cast("long"))
-            return F.struct(left.alias("l"), F.pmod(acc["r"] + F.pmod(F.xxhash64(F.lit(seed), i + 100, left), F.lit(high).cast("long")), F.lit(high).cast("long")).alias("r"))
+    The Feistel network works on a grid of about sqrt(n) by sqrt(n) cells; a number that lands past the end is sent
+    through again until it comes back.
+    """
+    return _walked(number, n, seed, back=False)
 
-        return F.aggregate(
-            F.array(*[F.lit(i) for i in range(ROUNDS)]),
-            F.struct(left.alias("l"), right.alias("r")),
-            half,
-            lambda acc: acc["l"] * F.lit(high).cast("long") + acc["r"],
-        )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), number, lambda acc, i: F.when((i > 0) & (acc < n), acc).otherwise(network(acc)))
+def original(place: Column, n: int, seed: int) -> Column:
+    """The row number that ``permuted`` sends to ``place``: the network backwards."""
+    return _walked(place, n, seed, back=True)
 
 
 def shard_rows(rows: DataFrame, shards: int = 24, key: tuple[str, ...] = ("doc_id",), seed: int = 7) -> DataFrame:
@@ -64,7 +100,8 @@ def shard_rows(rows: DataFrame, shards: int = 24, key: tuple[str, ...] = ("doc_i
     n = rows.count()
     buckets = max(1, math.ceil(n / BUCKET_ROWS))
     names = [F.col(f"`{c}`") for c in rows.columns]
-    keyed = rows.select(*names, F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(buckets)).alias("_bucket"), F.xxhash64(*names).alias("_tie"))
+    keyed = rows.select(*names, F.xxhash64(*names).alias("_tie"))
+    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key], "_tie"), F.lit(buckets)))
     group = _div(F.col("_bucket"), GROUP_BUCKETS)
     sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", group)
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
