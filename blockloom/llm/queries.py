@@ -35,9 +35,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each shard's draws; ``shards`` lists them as shard:words, in order."""
     rows = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    drawn = F.array_sort(F.transform("copies", lambda c: F.struct(c["shard"].alias("shard"), c["words"].alias("words"))))
+    taken = F.aggregate(drawn, F.lit(0).cast("long"), lambda a, c: a + c["words"])
+    listed = F.array_join(F.transform(drawn, lambda c: F.concat_ws(":", c["shard"], c["words"])), ",")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), listed.alias("shards"))
 
 
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
