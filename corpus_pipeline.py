@@ -18,14 +18,15 @@ from blockloom.llm.near_dup import BROADCAST_NODES, near_duplicates
 from blockloom.llm.sharding import shard_rows
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-SHARDS = 24
+MIX_SHARDS, SHARDS = 16, 24
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of those the corpus declares; ``lang`` becomes the language found.
 
     Rejected: documents without letters (null and empty texts among them) and such whose most probable class is none
-    of the languages, or no class reaches one half.
+    of the languages, or no class reaches one half. Repeated rows agree; equal classes go to the first by name. An
+    empty table, and one that declares no language, gives an empty one; further columns are left out.
     """
     docs = docs.select(*COLUMNS)
     rows = identify(docs, train_language(docs), declared="lang")
@@ -36,7 +37,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates. Of wholly repeated rows one stays.
 
-    The texts do not move unless the rows to drop are too many to broadcast.
+    The texts do not move unless the rows to drop are too many to broadcast. A null text is no copy of anything. An
+    empty table gives an empty one; further columns are left out.
     """
     docs = docs.select(*COLUMNS)
     found = cut(near_duplicates(docs).select("doc", "node", "kept"))
@@ -54,19 +56,32 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lie in passages of the benchmark."""
+    """Documents of which less than a twentieth of the words lie in passages of the benchmark.
+
+    Null and empty texts have no words and stay; repeated rows are judged each for itself. An empty table gives an
+    empty one, an empty benchmark all rows; further columns are left out.
+    """
     rows = find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return rows.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select(*COLUMNS)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: a row for each time one is taken, cut short where only its first words are."""
-    rows = mixed(mix(docs.select(*COLUMNS)))
+    """The documents of the mix, shard by shard in shuffled order: a row for each time one is taken.
+
+    Where the mix takes only a document's first words, it is cut short. Documents without words (null and empty texts)
+    may be taken with none. Wholly equal rows are taken each for itself; ties do not arise. An empty table gives an
+    empty one; further columns are left out.
+    """
+    rows = mixed(mix(docs.select(*COLUMNS), shards=MIX_SHARDS), MIX_SHARDS)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its ``shard`` (row counts at most one apart) and ``slot``."""
+    """Every row with its ``shard`` (row counts at most one apart) and ``slot`` (without gaps).
+
+    Nulls are values like others; rows with equal ids are told apart by their other columns, and wholly equal ones are
+    interchangeable. An empty table gives an empty one; further columns are left out.
+    """
     return shard_rows(docs.select(*COLUMNS), SHARDS)
 
 
