@@ -1,14 +1,18 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds spans.
 
-The field's nodes are a document's tokens with some digits or an at sign. Each has a unary potential from its shape and its
-left neighbour, a chain edge to the next node if no more than two words lie between, and a skip edge to the next node,
-however far, that repeats it: the same characters apart from case and punctuation, or the same last seven digits.
-Loopy sum-product messages let all mentions of one item agree; a node that no base span covers and that most probably
-carries a kind becomes a span. Skip edges join a mention to the next one only, so their number is linear.
+The field's nodes are a document's addresses (tokens with an at sign) and numbers: runs of digit groups with no more
+than a few brackets, dots, dashes, slashes or single spaces between two digits, of ``LEAST_DIGITS`` digits or more. A
+node has a unary potential from its shape and what stands before it, a chain edge to the next node if no more than two
+words lie between, and a skip edge to the next node, however far, that repeats it: the same characters apart from case
+and punctuation, or the same last seven digits. Loopy sum-product messages let all mentions of one item agree; a node
+that no base span covers and that most probably carries a kind becomes a span, whether or not the document has a base
+span or a repeat. Skip edges join a mention to the next one only, so their number is linear.
 
 Base spans are certain. Potentials are trained here: on a bounded sample of documents, with the base spans as labels,
 the unary ones by logistic regression and the edges' by how much oftener than by chance two joined nodes have each
-pair of labels.
+pair of labels. As base spans all bear the mark their pattern asks for (a phone's plus, the dot of an address), each
+also counts ``HIDDEN`` times without it, so that the field learns the shape behind the mark, against all the nodes of
+that shape that are nothing.
 """
 
 from __future__ import annotations
@@ -27,15 +31,16 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Training documents; rounds of messages; probability a node needs; weight of a base span's label.
 SAMPLE_DOCS, ROUNDS, SURE, CERTAIN = 3000, 8, 0.5, 12.0
-#: Digits that make a token without an at sign a node.
-LEAST_DIGITS = 3
+#: Digits that make a number a node; weight in training of a base span without its mark.
+LEAST_DIGITS, HIDDEN = 3, 0.5
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s]+")
+_NODE = re.compile(r"[^\s@]*@[^\s@]*|[+(]?[0-9](?:[().\-/]{0,2}[\x20]?[().\-/+]{0,2}[0-9])*")
 _EDGE = "()[]{}<>.,;:!?\"'*#$%&|"
+_BETWEEN = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -83,14 +88,22 @@ def base_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-# Unary features of a token, each a yes or no.
-FEATURES = ("constant", "at", "plus", "bracket", "dots3", "dot", "dash", "digits>=4", "digits>=7", "digits>=13", "digits>19", "all digits", "letters", "luhn", "after plus", "after bracket", "after digits")
+# Unary features of a node, each a yes or no.
+FEATURES = ("constant", "at", "plus", "dot", "bracket", "dash", "slash", "space", "three dots only", "digits>=7", "digits>=9", "digits>=13", "digits>=16", "digits>19", "digits only", "two groups", "three groups", "more groups", "four digits last", "luhn", "letters around", "parts to 255", "digits 10 or 11")
+_MARK = {k: sum(1 << FEATURES.index(f) for f in marks) for k, marks in ((LABELS.index("phone"), ["plus"]), (LABELS.index("email"), ["dot"]))}
 
 
-def _features(token: str, before: str) -> int:
-    digits = "".join(c for c in token if "0" <= c <= "9")
-    n = len(digits)
-    bits = (True, "@" in token, token.startswith("+"), "(" in token or ")" in token, token.count(".") == 3, "." in token, "-" in token, n >= 4, n >= 7, n >= 13, n > 19, n == len(token) > 0, any(c.isalpha() for c in token), 13 <= n <= 19 and luhn(digits), before.startswith("+"), before.endswith(")"), before[-1:].isdigit())
+def _features(token: str, around: bool) -> int:
+    groups = re.findall("[0-9]+", token)
+    digits = "".join(groups)
+    n, at = len(digits), "@" in token
+    number, domain = not at, token.rpartition("@")[2]
+    dots = number and len(groups) == 4 and token.count(".") == 3 == len(token) - n
+    bits = (
+        True, at, token.startswith("+"), "." in (domain if at else token), "(" in token, number and "-" in token, "/" in token, " " in token, dots, number and n >= 7, number and n >= 9,
+        number and n >= 13, number and n >= 16, number and n > 19, n == len(token), number and len(groups) == 2, number and len(groups) == 3, number and len(groups) > 3,
+        number and len(groups[-1]) == 4, number and 13 <= n <= 19 and luhn(digits), around, dots and all(len(g) <= 3 and int(g) <= 255 for g in groups), number and 10 <= n <= 11,
+    )
     return sum(1 << i for i, b in enumerate(bits) if b)
 
 
@@ -103,27 +116,30 @@ class Graph:
         keys: dict[str, int] = {}
         self.chain, self.skip = [], []
         at, last = 0, None
-        for m in _TOKEN.finditer(text):
+        for m in _NODE.finditer(text):
             start, end = m.span()
             token = m[0]
-            bare = token.strip(_EDGE.replace("(", "").replace(")", ""))
-            if "@" not in bare and sum("0" <= c <= "9" for c in bare) < LEAST_DIGITS:
+            if "@" in token:
+                bare = token.strip(_EDGE)
+                if len(bare) < 2 or bare.endswith("@"):
+                    continue
+                start += token.index(bare)
+                token = bare
+                end = start + len(token)
+            elif sum("0" <= c <= "9" for c in token) < LEAST_DIGITS:
                 continue
-            start += token.index(bare)
-            end = start + len(bare)
             while at < len(covered) and covered[at][1] <= start:
                 at += 1
             label = next((k for s, e, k in covered[at : at + 8] if s < end and start < e), 0)
-            head = text[max(0, start - 24) : start].split()
             node = len(self.spans)
             self.spans.append((start, end))
-            self.features.append(_features(bare, head[-1] if head else ""))
+            self.features.append(_features(token, text[max(0, start - 1) : start].isalpha() or text[end : end + 1].isalpha()))
             self.labels.append(label)
-            if last is not None and start - last <= 24 and text.count(" ", last, start) <= 3:
+            if last is not None and start - last <= 40 and len(_BETWEEN.findall(text, last, start)) <= 2:
                 self.chain.append((node - 1, node))
             last = end
-            digits = "".join(c for c in bare if "0" <= c <= "9")
-            for key in {"=" + "".join(c for c in bare.casefold() if c.isalnum()), "~" + digits[-7:] if len(digits) >= 7 else ""} - {""}:
+            digits = "".join(c for c in token if "0" <= c <= "9")
+            for key in {"=" + "".join(c for c in token.casefold() if c.isalnum()), "~" + digits[-7:] if len(digits) >= 7 else ""} - {""}:
                 if key in keys:
                     self.skip.append((keys[key], node))
                 keys[key] = node
@@ -162,24 +178,14 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
     def added(self, text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
-        """Spans of nodes that most probably carry a kind and that no base span covers; neighbours of a kind are joined."""
+        """Spans of nodes that most probably carry a kind and that no base span covers."""
         out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
         graph = Graph(text, base)
-        if not graph.skip or not any(graph.labels):
+        if not graph.spans:
             return out
         p = self.marginals(graph)
-        previous = None
-        for node, (start, end) in enumerate(graph.spans):
-            kind = int(p[node].argmax())
-            if graph.labels[node] or kind == 0 or p[node, kind] < SURE:
-                previous = None
-                continue
-            spans = out[KINDS[kind - 1]]
-            if previous == (node - 1, kind) and (node - 1, node) in graph.chain:
-                spans[-1] = (spans[-1][0], end)
-            else:
-                spans.append((start, end))
-            previous = (node, kind)
+        for node in np.flatnonzero((p[:, 1:].max(1) >= SURE) & (np.array(graph.labels) == 0)).tolist():
+            out[KINDS[int(p[node, 1:].argmax())]].append(graph.spans[node])
         return out
 
 
@@ -192,7 +198,8 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int =
         for batch in texts_of(batches):
             for t in batch.column(0).to_pylist():
                 graph = Graph(t, base_spans(t))
-                seen = [("node", f, y) for f, y in zip(graph.features, graph.labels, strict=True)]
+                pairs = list(zip(graph.features, graph.labels, strict=True))
+                seen = [("node", f, y) for f, y in pairs] + [("hidden", f & ~_MARK[y], y) for f, y in pairs if y in _MARK]
                 seen += [(sort, graph.labels[a], graph.labels[b]) for sort in ("chain", "skip") for a, b in getattr(graph, sort)]
                 for x in seen:
                     counts[x] = counts.get(x, 0) + 1
@@ -200,14 +207,14 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int =
 
     sample = sample_ids(rows, F.col(key), most).select(F.col(text).alias("t"))
     found = sample.mapInArrow(run, "sort string, a long, b int, n long").groupBy("sort", "a", "b").agg(F.sum("n").alias("n")).orderBy("sort", "a", "b").collect()
-    nodes = [r for r in found if r.sort == "node"]
+    nodes = [r for r in found if r.sort in ("node", "hidden")]
     size = len(LABELS)
     weights = np.zeros((len(FEATURES), size))
     if nodes:
         x = np.array([[(r.a >> i) & 1 for i in range(len(FEATURES))] for r in nodes], float)
         y = np.eye(size)[[r.b for r in nodes]]
-        n = np.array([r.n for r in nodes], float)
-        for _ in range(400):
+        n = np.array([r.n * (HIDDEN if r.sort == "hidden" else 1) for r in nodes], float)
+        for _ in range(2000):
             z = x @ weights
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -248,12 +255,9 @@ def personal_data(docs: DataFrame, field: Field, key: str = "doc_id", text: str
             base, spans = [], []
             for t in batch.column(1).to_pylist():
                 found = base_spans(t)
-                own = listed(found)
-                base.append(own)
-                if own:
-                    more = field.added(t, found)
-                    own = listed({k: found[k] + more[k] for k in KINDS})
-                spans.append(own)
+                more = field.added(t or "", found)
+                base.append(listed(found))
+                spans.append(listed({k: found[k] + more[k] for k in KINDS}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.string()), pa.array(spans, pa.string())], ["key", "base", "spans"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, base string, spans string")

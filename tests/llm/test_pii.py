@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -43,7 +44,33 @@ def test_repeated_mentions_agree():
     assert [text[s:e] for s, e in added["phone"]] == ["(217) 555-0143"] and not added["card"]
 
 
-def test_no_skip_edge_adds_nothing():
+def trained(spark):
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = []
+    for i in range(600):
+        item = rng.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"a{digits(2)}@b{digits(1)}.cd", f"order {digits(8)}", f"in {digits(4)}", f"{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}"])
+        rows.append((i, f"some words {item} and more words {digits(rng.choice([3, 4, 7, 16]))} at the end"))
+    return P.train(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_field_decides_without_base_spans_or_repeats(spark):
+    f = trained(spark)
+    mark = lambda t: [t[s:e] for k in P.KINDS for s, e in f.added(t, P.base_spans(t))[k]]
+    assert mark("ring (217) 555-0143 today") == ["(217) 555-0143"]
+    assert mark("ring (217) 555-0143 today, and many words later ring again (217) 555-0143") == ["(217) 555-0143"] * 2
+    assert mark("order 20240113 of 2024 and 1234567890123456") == [] and mark("no number at all") == []
+    stub = P.Field(np.zeros_like(f.unary), np.zeros((5, 5)), np.zeros((5, 5)))
+    stub.unary[0, 0] = 1.0
+    assert not any(stub.added("ring (217) 555-0143 today", P.base_spans("")).values())
+
+
+def test_numbers_in_small_groups_are_one_node():
+    graph = P.Graph("tel 06 12 34 56 78, room 12 of 2024-01-12", P.base_spans(""))
+    assert [e - s for s, e in graph.spans] == [14, 10]
+
+
+def test_no_mark_adds_nothing_to_an_empty_field():
     assert not any(field().added("mail a@b.cd and 123456 or 999", P.base_spans("mail a@b.cd and 123456 or 999")).values())
 
 
@@ -62,6 +89,26 @@ def test_messages_equal_enumeration_on_a_tree():
     assert np.allclose(f.marginals(graph), np.stack((joint.sum(1), joint.sum(0))), atol=0.02)
 
 
+def test_messages_come_near_enumeration_on_a_cycle():
+    """Chain and skip edges close a ring; weak potentials leave loopy messages close to the exact marginals."""
+    text = "1234567 8888888 1234567 8888888 1234567"
+    graph = P.Graph(text.replace(" ", "; "), P.base_spans(""))
+    assert len(graph.spans) == 5 and len(graph.chain) == 4 and len(graph.skip) >= 3
+    rng = np.random.default_rng(3)
+    chain, skip = 0.3 * rng.normal(size=(5, 5)), 0.3 * rng.normal(size=(5, 5))
+    f = P.Field(0.5 * rng.normal(size=(len(P.FEATURES), 5)), chain, skip)
+    bits = (np.array(graph.features)[:, None] >> np.arange(len(P.FEATURES))) & 1
+    unary = bits @ f.unary
+    exact = np.zeros((5, 5))
+    for y in itertools.product(range(5), repeat=5):
+        e = sum(unary[i, y[i]] for i in range(5)) + sum(chain[y[i], y[j]] for i, j in graph.chain) + sum(skip[y[i], y[j]] for i, j in graph.skip)
+        for i in range(5):
+            exact[i, y[i]] += np.exp(e)
+    exact /= exact.sum(1, keepdims=True)
+    assert np.abs(f.marginals(graph) - exact).max() < 0.03
+    assert np.abs(P.Field(f.unary, 0 * chain, 0 * skip).marginals(graph) - exact).max() > 0.06
+
+
 def test_odd_rows(spark, docs_of):
     trained = P.train(docs_of([*ODD, (9, "mail a@b.cd twice a@b.cd", "s")]))
     got = P.personal_data(docs_of([*ODD, (9, "mail a@b.cd twice a@b.cd", "s")]), trained).collect()
