@@ -16,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from blockloom.llm.common import cut, let, sample_ids, texts_of
+from blockloom.llm.common import cut, let, texts_of
 
 UNKNOWN = "und"
 BITS = 16
-#: Bounds of the training sample and of the languages; weight of a trigram; strength of the smoothing.
-SAMPLE_DOCS, MOST_LANGUAGES, TEMPER, SMOOTH = 4000, 64, 1 / 3, 5.0
-#: Hosts up to which their priors are joined by broadcast (some 150 bytes each).
-BROADCAST_HOSTS = 100_000
+#: Training documents of each language; weight of a trigram; strength of the smoothing.
+SAMPLE_DOCS, TEMPER, SMOOTH = 1000, 1 / 3, 5.0
+#: Hosts up to which their priors are joined by broadcast (some 150 bytes each). Of more, those that have more than
+#: one in ``HOT`` of all rows are, and the others by a shuffle.
+BROADCAST_HOSTS, HOT = 100_000, 1000
 PRIOR_UNKNOWN = 0.02
 _DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _DECLARED = re.compile(r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)")
@@ -59,7 +60,8 @@ def declared_in(page: str | None) -> str | None:
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages, in order, and the log probability of each trigram bucket in each, then in ``und``.
 
-    Trained on at most ``most`` documents, those with the smallest hashed keys, and their most frequent languages.
+    Trained on at most ``most`` documents of each language, those with the smallest hashed keys (rows of equal keys
+    stand or fall together). Every language declared is a class, however many there are; each takes 256 KB.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,16 +73,20 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             there = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array(n[there], pa.int64())], ["lang", "bucket", "n"])
 
-    known = sample_ids(labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), F.col(key), most)
-    rows = known.select(F.lower(lang).alias("lang"), F.col(text).alias("t")).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = cut(rows)
-    names = sorted(r.lang for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
+    rank = F.xxhash64(F.col(key), F.lit(20260101))
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.lower(lang).alias("lang"), F.col(text).alias("t"), rank.alias("h"))
+    # Only the bound of each language's hashes is worked out over all rows; one row a language is broadcast.
+    first = Window.partitionBy("lang").orderBy("h")
+    bound = known.select("lang", "h").distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).groupBy("lang").agg(F.max("h").alias("_top"))
+    chosen = known.join(F.broadcast(cut(bound)), "lang").where(F.col("h") <= F.col("_top")).select("lang", "t")
+    rows = chosen.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(rows["lang"].to_pylist()))
     counts = np.zeros((1 << BITS, len(names) + 1))
-    for lang, bucket, n in rows.where(F.col("lang").isin(names)).collect() if names else []:
-        counts[bucket, names.index(lang)] = n
+    place = {name: i for i, name in enumerate(names)}
+    counts[rows["bucket"].to_numpy(), [place[x] for x in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
     logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * (1 << BITS)))
     logs[:, -1] = -np.log(1 << BITS)
-    return names, logs
+    return names, logs.astype(np.float32)
 
 
 def _host(address: str | None) -> tuple[str, str, str]:
@@ -109,7 +115,7 @@ def _evidence(rows: DataFrame, model, names: list[str], text: str, address: str,
                     t, said = visible(t), declared_in(t) if said is None else said
                 grams = trigrams(t)
                 said = re.split("[-_]", said.strip().lower())[0] if said else "none"
-                row = (np.array([logs[grams[i : i + 65536]].sum(0) for i in range(0, len(grams), 65536)]).sum(0).tolist() if len(grams) else [0.0] * logs.shape[1], len(grams), *_host(a), said if said in known or said == "none" else "other")
+                row = (np.array([logs[grams[i : i + 8192]].sum(0, dtype=np.float64) for i in range(0, len(grams), 8192)]).sum(0).tolist() if len(grams) else [0.0] * logs.shape[1], len(grams), *_host(a), said if said in known or said == "none" else "other")
                 for column, v in zip(out, row, strict=True):
                     column.append(v)
             arrays = [pa.array(c, pa.list_(pa.float64()) if i == 0 else pa.int64() if i == 1 else pa.string()) for i, c in enumerate(out)]
@@ -134,7 +140,28 @@ def _add(a: Column, b: Column) -> Column:
 
 def _sums(rows: DataFrame, by: list[str], n: int, of: str = "_p") -> DataFrame:
     """Sums of the vectors ``of`` by group: one aggregate a place, so partial sums are taken before the shuffle."""
-    return rows.groupBy(*by).agg(*[F.sum(F.col(of)[i]).alias(f"_s{i}") for i in range(n)]).select(*by, F.array(*[f"_s{i}" for i in range(n)]).alias("_sum"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(F.col(of)[i]).alias(f"_s{i}") for i in range(n)]).select(*by, "_rows", F.array(*[f"_s{i}" for i in range(n)]).alias("_sum"))
+
+
+def _with(rows: DataFrame, table: DataFrame, key: str, salt: Column) -> DataFrame:
+    """``rows`` left-joined with ``table``, one row a ``key`` with ``_rows``, the number of rows that have the key.
+
+    A short table is broadcast. Of a long one, keys of many rows (fewer than ``HOT``) are broadcast and the rows that
+    have them are spread by ``salt``, so no task of the shuffle gets more than about one in ``HOT`` rows of one key.
+    """
+    names = [c for c in table.columns if c not in (key, "_rows")]
+    n, total = table.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    if n <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(table.drop("_rows")), key, "left")
+    is_hot = F.col("_rows") * HOT > F.lit(total)
+    hot = table.where(is_hot).select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot{c}") for c in names])
+    rest = table.where(~is_hot).select(F.col(key).alias("_spread"), *names)
+    marked = rows.join(F.broadcast(hot), key, "left")
+    marked = marked.withColumn("_spread", F.when(F.col("_hot"), F.concat(F.lit("\u0000"), F.pmod(salt, F.lit(100_003)).cast("string"))).otherwise(F.col(key)))
+    joined = marked.join(rest, "_spread", "left").drop("_spread", "_hot")
+    for c in names:
+        joined = joined.withColumn(c, F.coalesce(F.col(f"_hot{c}"), F.col(c))).drop(f"_hot{c}")
+    return joined
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", address: str = "source", declared: str | None = None, markup: bool = False) -> DataFrame:
@@ -161,22 +188,23 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
 
     def likelihood(by: str, out: str) -> DataFrame:
         """Log probability of each value of ``by`` in each language, with one row's worth of smoothing for each of about ten values."""
-        return _sums(seen, [by], n).select(by, F.zip_with("_sum", totals, lambda s, t: F.log((s + 1) / (t + 10))).alias(out))
+        return _sums(seen, [by], n).select(by, "_rows", F.zip_with("_sum", totals, lambda s, t: F.log((s + 1) / (t + 10))).alias(out))
 
-    said, suffix = cut(likelihood("_said", "_by_said")), cut(likelihood("_suffix", "_by_suffix"))
-    few_suffixes = F.broadcast(suffix) if suffix.count() <= BROADCAST_HOSTS else suffix
-    fused = seen.join(F.broadcast(said), "_said").join(few_suffixes, "_suffix")
+    # A said language is one of the model's or "none" or "other".
+    said, suffix = cut(likelihood("_said", "_by_said").drop("_rows")), cut(likelihood("_suffix", "_by_suffix"))
+    fused = _with(seen.join(F.broadcast(said), "_said"), suffix, "_suffix", F.xxhash64("_n", "_ll"))
     fused = fused.withColumn("_p", _posterior(_add(_add(_add(F.col("_ll"), prior), F.col("_by_said")), F.col("_by_suffix"))))
     hosts = cut(_sums(fused, ["_host", "_domain", "_suffix"], n))
-    domains = _sums(hosts, ["_domain"], n, "_sum").withColumnRenamed("_sum", "_dsum")
+    domains = cut(_sums(hosts, ["_domain"], n, "_sum").withColumnRenamed("_sum", "_dsum"))
     whole = [float(x or 0) for x in hosts.agg(*[F.sum(F.col("_sum")[i]) for i in range(n)]).first()]
     overall = F.array(*[F.lit((x + 1) / (sum(whole) + n)) for x in whole])
-    table = cut(hosts.join(domains, "_domain").withColumnRenamed("_sum", "_hsum").join(few_suffixes, "_suffix").select("_host", "_hsum", "_dsum", "_by_suffix"))
-    few_hosts = F.broadcast(table) if table.count() <= BROADCAST_HOSTS else table
+    table = _with(hosts.withColumnRenamed("_rows", "_n_rows").withColumnRenamed("_sum", "_hsum"), domains, "_domain", F.xxhash64("_host"))
+    table = _with(table, suffix, "_suffix", F.xxhash64("_host"))
+    table = cut(table.select("_host", F.col("_n_rows").alias("_rows"), "_hsum", "_dsum", "_by_suffix"))
 
     out = _evidence(rows, shared, names, text, address, declared, markup, keep=True)
     nothing = F.array(*[F.lit(0.0)] * n)
-    out = out.join(F.broadcast(said), "_said", "left").join(few_hosts, "_host", "left")
+    out = _with(out.join(F.broadcast(said), "_said", "left"), table, "_host", F.xxhash64("_n", "_ll"))
     out = out.withColumn("_base", _add(_add(F.transform("_ll", lambda x: x * TEMPER), F.coalesce("_by_said", nothing)), F.coalesce("_by_suffix", nothing)))
     own = _posterior(_add(F.col("_base"), prior))
     minus = lambda v, p: F.zip_with(F.coalesce(v, nothing), p, lambda x, y: F.greatest(F.lit(0.0), x - y))

@@ -64,6 +64,27 @@ def test_posteriors_equal_brute_force(spark, model):
     assert got[1][0] == "de" and got[8][0] == got[6][0] == L.UNKNOWN
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_many_hosts_give_the_same(spark, model, monkeypatch, hot):
+    df = spark.createDataFrame([(*r, "x") for r in ROWS * 3], "page_id long, url string, html string, language string")
+    rows = lambda: sorted(map(str, L.identify(df, model, text="html", address="url", markup=True).collect()))
+    want = rows()
+    monkeypatch.setattr(L, "BROADCAST_HOSTS", 1)
+    monkeypatch.setattr(L, "HOT", hot)
+    assert rows() == want
+
+
+def test_every_declared_language_is_a_class(spark):
+    """Ninety languages, one of them with most of the documents; words of the rarest are told from the others."""
+    word = lambda k: "".join(chr(97 + (k * 7 + j * (3 + k % 5)) % 26) for j in range(6))
+    text = lambda k: " ".join([word(k), word(k + 90), word(k + 180)] * 20)
+    rows = [(i, text(0), "L00") for i in range(3000)] + [(10_000 + k, text(k), f"L{k:02}") for k in range(1, 90)]
+    names, logs = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=50)
+    assert names == [f"l{k:02}" for k in range(90)] and logs.shape[1] == 91
+    pages = spark.createDataFrame([(k, text(k), "") for k in (0, 17, 65, 89)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.language for r in L.identify(pages, (names, logs)).collect()} == {k: f"l{k:02}" for k in (0, 17, 65, 89)}
+
+
 def test_odd_rows(spark, docs_of, model):
     got = L.identify(docs_of(ODD), model).collect()
     assert len(got) == len(ODD) and [r.language for r in got if r.doc_id in (1, 2)] == [L.UNKNOWN] * 2
