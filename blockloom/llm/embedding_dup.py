@@ -24,13 +24,18 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import components, cut, sample_ids
 
 THRESHOLD = 0.95
-TILE, MOST_CELLS, SAMPLE = 4096, 256, 4096
+#: Vectors in a tile; pivots that are broadcast at most (more vectors make more tiles in a cell); vectors of the sample
+#: that pivots come from, at least and at most.
+TILE, MOST_CELLS, SAMPLE, MOST_SAMPLE = 4096, 16_384, 4096, 65_536
 #: Integer products are exact in 32-bit floats up to so many places at once.
 EXACT = 1024
 
 
 def matrix(column: pa.Array) -> list[np.ndarray | None]:
-    """Each vector in double precision; None for one that is null, empty, zero, or holds nulls or non-finite values."""
+    """Each vector in double precision; None for one that is null, empty, zero, or holds nulls or non-finite values.
+
+    A vector whose squared length is beyond the normal range of doubles is first divided by its largest component.
+    """
     out: list[np.ndarray | None] = []
     for value in column:
         v = value.values if value.is_valid else None
@@ -38,7 +43,12 @@ def matrix(column: pa.Array) -> list[np.ndarray | None]:
             out.append(None)
             continue
         x = v.to_numpy(zero_copy_only=False).astype(np.float64)
-        out.append(x if np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0 else None)
+        if not np.isfinite(x).all() or not x.any():
+            out.append(None)
+            continue
+        with np.errstate(over="ignore", under="ignore"):
+            square = x @ x
+        out.append(x if 1e-280 < square < 1e280 else x / np.abs(x).max())
     return out
 
 
@@ -92,10 +102,19 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def nearest_pivot(centre: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pivot that each unit vector is nearest to, and the cosine, in blocks of bounded memory."""
+    at, cosine = np.empty(len(x), np.int64), np.empty(len(x))
+    for k in range(0, len(x), 512):
+        c = x[k : k + 512] @ centre.T
+        at[k : k + 512], cosine[k : k + 512] = c.argmax(1), c.max(1)
+    return at, cosine
+
+
 def pivots(nodes: DataFrame, most: int) -> dict[int, np.ndarray]:
     """For each length of vectors, at most ``most`` unit vectors, by a few rounds of k-means over a bounded sample."""
     by_dim: dict[int, list[np.ndarray]] = {}
-    for (raw,) in sample_ids(nodes, F.col("node"), SAMPLE).select("vec").collect():
+    for (raw,) in sample_ids(nodes, F.col("node"), min(MOST_SAMPLE, max(SAMPLE, 4 * most))).select("vec").collect():
         v = np.frombuffer(raw)
         by_dim.setdefault(len(v), []).append(v)
     out = {}
@@ -103,7 +122,7 @@ def pivots(nodes: DataFrame, most: int) -> dict[int, np.ndarray]:
         x = unit(np.array(rows))
         centre = x[:most].copy()
         for _ in range(5):
-            home = (x @ centre.T).argmax(1)
+            home, _ = nearest_pivot(centre, x)
             total = np.zeros_like(centre)
             np.add.at(total, home, x)
             norm = np.linalg.norm(total, axis=1)
@@ -156,19 +175,39 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     tiled = placed.join(F.broadcast(cells.select("dim", "cell", "tiles")), ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).drop("tiles")
     tiles = cut(tiled.groupBy("dim", "cell", "sub").agg(F.max("angle").alias("radius")))
 
+    # Pairs of cells that may hold a link, each cell against all in a task of its own.
     reach = float(np.arccos(threshold)) + 1e-9
-    apart = [(d, i, j, float(np.arccos(np.clip(c[i] @ c[j], -1, 1))) if i != j else 0.0) for d, c in centres.items() for i in range(len(c)) for j in range(i, len(c))]
-    missing = [(r.dim, 0, 0, 0.0) for r in cells.select("dim").distinct().collect() if r.dim not in centres]
-    cell_pairs = spark.createDataFrame([*apart, *missing] or [(0, 0, 0, 0.0)], "dim int, cell int, other int, apart double")
-    one = tiles.join(F.broadcast(cell_pairs), ["dim", "cell"])
+    radius = {dim: np.full(len(c), -np.inf) for dim, c in centres.items()}
+    for dim, cell, wide in tiles.groupBy("dim", "cell").agg(F.max("radius")).collect():
+        if dim in radius:
+            radius[dim][cell] = wide
+    wide_known = spark.sparkContext.broadcast(radius)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, cell in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                centre = known.value.get(dim)
+                if centre is None:
+                    near, apart = np.zeros(1, int), np.zeros(1)
+                else:
+                    apart = np.arccos(np.clip(centre @ centre[cell], -1, 1))
+                    apart[cell] = 0.0
+                    near = np.flatnonzero(apart <= wide_known.value[dim] + wide_known.value[dim][cell] + reach)
+                    near = near[near >= cell]
+                    apart = apart[near]
+                yield pa.RecordBatch.from_arrays([pa.array([dim] * len(near), pa.int32()), pa.array([cell] * len(near), pa.int32()), pa.array(near, pa.int32()), pa.array(apart, pa.float64())], ["dim", "cell", "other", "apart"])
+
+    cell_pairs = cut(cells.select("dim", "cell").mapInArrow(neighbours, "dim int, cell int, other int, apart double"))
+    one = tiles.join(cell_pairs, ["dim", "cell"])
     two = tiles.select("dim", F.col("cell").alias("other"), F.col("sub").alias("other_sub"), F.col("radius").alias("other_radius"))
     pairs = one.join(two, ["dim", "other"]).where((F.col("cell") != F.col("other")) | (F.col("sub") <= F.col("other_sub")))
     pairs = pairs.where((F.col("cell") == F.col("other")) | (F.col("apart") <= F.col("radius") + F.col("other_radius") + reach))
-    pairs = cut(pairs.select(F.xxhash64("dim", "cell", "sub", "other", "other_sub").alias("pair"), "dim", "cell", "sub", "other", "other_sub"))
-    same = (F.col("cell") == F.col("other")) & (F.col("sub") == F.col("other_sub"))
-    left = pairs.select("pair", "dim", "cell", "sub", F.when(same, 2).otherwise(0).alias("side"))
-    right = pairs.where(~same).select("pair", "dim", F.col("other").alias("cell"), F.col("other_sub").alias("sub"), F.lit(1).alias("side"))
-    dealt = tiled.select("dim", "cell", "sub", "node", "vec", "copies").join(left.unionByName(right), ["dim", "cell", "sub"]).select("pair", "side", "node", "vec", "copies")
+    task = ["dim", "c1", "s1", "c2", "s2"]
+    pairs = cut(pairs.select("dim", F.col("cell").alias("c1"), F.col("sub").alias("s1"), F.col("other").alias("c2"), F.col("other_sub").alias("s2")))
+    same = (F.col("c1") == F.col("c2")) & (F.col("s1") == F.col("s2"))
+    left = pairs.select(*task, F.col("c1").alias("cell"), F.col("s1").alias("sub"), F.when(same, 2).otherwise(0).alias("side"))
+    right = pairs.where(~same).select(*task, F.col("c2").alias("cell"), F.col("s2").alias("sub"), F.lit(1).alias("side"))
+    dealt = tiled.select("dim", "cell", "sub", "node", "vec", "copies").join(left.unionByName(right), ["dim", "cell", "sub"]).select(*task, "side", "node", "vec", "copies")
 
     def compare(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
@@ -190,7 +229,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
         has = np.flatnonzero(links > 0)
         return pa.table({"a": pa.array(names[has].tolist(), pa.binary()), "b": pa.array(names[root[has]].tolist(), pa.binary()), "links": pa.array(links[has].astype(np.int64))})
 
-    found = cut(dealt.groupBy("pair").applyInArrow(compare, "a binary, b binary, links long"))
+    found = cut(dealt.groupBy(*task).applyInArrow(compare, "a binary, b binary, links long"))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = nodes.select("node", "first_id").join(components(found.select("a", "b")), "node")
     least = classes.groupBy("comp").agg(F.min("first_id").alias("least"))

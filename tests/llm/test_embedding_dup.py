@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from blockloom.llm import embedding_dup as E
 
@@ -21,6 +22,24 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert got == {ids[i]: (int(near[i].sum()) - 1, least[root[i]]) for i in range(len(x))}
 
 
+def test_tiny_and_huge_vectors_link(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [1e-200, 0.0]), (3, [3e200, 1e190]), (4, [5e-324, 0.0]), (5, [0.0, 1e308]), (6, [0.0, 2.0])]
+    got = {r.id: (r.n_links, r.component_id) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5)}
+
+
+def test_more_cells_than_before_lose_nothing(spark, monkeypatch):
+    """Clustered vectors in some five hundred cells."""
+    monkeypatch.setattr(E, "TILE", 8)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(500, 12)), 8, axis=0) + 0.12 * rng.normal(size=(4000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert len(E.pivots(df.select(F.col("vec_id").alias("node"), F.lit(x[0].tobytes()).alias("vec")), 300)[12]) == 300
+    got = {r.id: r.n_links for r in E.near_vectors(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert got == dict(enumerate(((u @ u.T >= E.THRESHOLD).sum(1) - 1).tolist()))
+
+
 def test_bounds_lose_nothing():
     rng = np.random.default_rng(5)
     a = rng.normal(size=(200, 40)) * rng.choice([1e-6, 1, 1e6], size=(200, 1))
