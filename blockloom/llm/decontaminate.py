@@ -27,7 +27,7 @@ WINDOW = 13
 #: Words of documents in a shard, symbols in one index, distance of the sampled suffix positions.
 SHARD_WORDS, INDEX_SYMBOLS, SAMPLED = 2_000_000, 1 << 20, 16
 #: Characters of benchmark text that one search holds; more are searched for block by block, in one pass each.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
@@ -52,19 +52,39 @@ def ids_of(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of benchmark items: their words by number, and which items have them."""
+    """The distinct windows of benchmark items, by number: the numbers of their words, and which items have them.
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    All windows of one length are the rows of one array. An item without a name has windows but is not listed.
+    """
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for at in range(max(0, len(ids) - window) + 1 if ids else 0):
-                owners.setdefault(tuple(ids[at : at + window]), set()).add(name)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.shortest, self.longest = (int(self.lengths.min()), int(self.lengths.max())) if owners else (0, 0)
-        self.by_length = {n: (np.flatnonzero(self.lengths == n), np.array([w for w in owners if len(w) == n], np.int64)) for n in sorted(set(self.lengths.tolist()))}
+        rows: dict[int, list[np.ndarray]] = {}
+        item_of: dict[int, list[np.ndarray]] = {}
+        self.names = [name for name, _ in items]
+        for number, (_, text) in enumerate(items):
+            words = words_of(text)
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words))
+            if len(ids):
+                length = min(len(ids), window)
+                rows.setdefault(length, []).append(np.lib.stride_tricks.sliding_window_view(ids, length))
+                item_of.setdefault(length, []).append(np.full(len(ids) - length + 1, number, np.int32))
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lengths, owner, start = [], [], 0
+        for length in sorted(rows):
+            distinct, which = np.unique(np.concatenate(rows[length]), axis=0, return_inverse=True)
+            self.by_length[length] = (np.arange(start, start + len(distinct)), distinct)
+            owner.append(np.unique(np.stack((which.ravel() + start, np.concatenate(item_of[length])), 1), axis=0))
+            lengths.append(np.full(len(distinct), length, np.int64))
+            start += len(distinct)
+        self.lengths = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+        self.shortest, self.longest = (min(rows), max(rows)) if rows else (0, 0)
+        pairs = np.concatenate(owner) if owner else np.empty((0, 2), np.int64)
+        self._items, self._starts = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(start + 1))
+
+    def owners(self, window: int) -> list[str]:
+        """The names of the items that have this window."""
+        return [self.names[i] for i in self._items[self._starts[window] : self._starts[window + 1]] if self.names[i] is not None]
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -188,7 +208,7 @@ def occurrences(docs: list[np.ndarray], windows: Windows) -> Iterator[tuple[np.n
 def scan(texts: list[str | None], windows: Windows) -> list[tuple[int, list[str], list[tuple[int, int]]]]:
     """Number of words, items and merged spans (of words, end exclusive) of each text of a shard."""
     docs = [ids_of(t, windows.vocabulary) for t in texts]
-    if not windows.owners:
+    if not len(windows.lengths):
         return [(len(d), [], []) for d in docs]
     base = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     change = np.zeros(int(base[-1]) + 1, np.int64)
@@ -197,7 +217,7 @@ def scan(texts: list[str | None], windows: Windows) -> list[tuple[int, list[str]
         np.add.at(change, base[doc] + word, 1)
         np.add.at(change, base[doc] + word + windows.lengths[window], -1)
         for d, w in np.unique(np.stack((doc, window), 1), axis=0).tolist():
-            found[d].update(windows.owners[w])
+            found[d].update(windows.owners(w))
     hit = np.cumsum(change[:-1]) > 0
     out = []
     for d in range(len(texts)):
@@ -221,10 +241,11 @@ def in_text(text: str | None, spans: list[tuple[int, int]]) -> list[tuple[int, i
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``keep`` and ``n_words, n_hit, items, spans`` for every row of ``docs``.
 
-    An item's windows are its runs of ``window`` words, or all its words if they are fewer (an item without words, or
-    a null one, has none). ``n_hit`` counts the words of the text that lie in an occurrence of a window, ``items`` are
-    the ids (as strings, in order) that have an occurring window, ``spans`` the merged stretches to remove, from the
-    first character of a word to the end of one. A null or empty text has no words. Repeated rows are judged each for
+    An item's windows are its runs of ``window`` words, or all its words if they are fewer (one without words, or with a
+    null text, has none). An item with a null id is searched for like any other, but ``items`` cannot name it.
+    ``n_hit`` counts the words of the text that lie in an occurrence of a window, ``items`` are the ids (as strings, in
+    order) that have an occurring window, ``spans`` the merged stretches to remove, from the first character of a word
+    to the end of one. A null or empty text has no words. Repeated rows are judged each for
     itself; equal items are all named. Names in ``docs`` that clash with the four are refused; no shuffle takes place.
 
     Past ``block_chars`` characters of benchmark, items are searched for in several passes, each with its own block.
@@ -233,11 +254,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         raise ValueError(f"columns {sorted(clash)} would be there twice")
     fields = [docs.schema[k] for k in keep]
     result = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(SPAN))]
-    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     blocks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     plain = docs.select(*[F.col(f"`{k}`") for k in keep], F.col(text).alias("_text"))
     for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         items = [(r.item, r.text) for r in part.collect()]
         final = k + 1 == blocks
         plain = plain.mapInArrow(_searcher(docs, items, window, len(fields), k > 0, final), StructType([*fields, *([] if final else [StructField("_text", StringType())]), *result]))

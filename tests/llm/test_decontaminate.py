@@ -51,12 +51,14 @@ def test_index_finds_and_locates_every_place():
 def test_frame_spans_and_blocks(spark, docs_of):
     passage = " ".join(f"Word{i}," for i in range(20))
     items = spark.createDataFrame([(1, passage), (2, "short item"), (2, passage.upper()), (3, None), (None, "lost words"), (4, "!!")], "item_id long, text string")
-    rows = [*ODD, (9, f"É start; {passage} end short item.", "s")]
+    rows = [*ODD, (9, f"É start; {passage} end short item.", "s"), (10, "some lost words", "s")]
     for block in (10**6, 30):
         got = {r.doc_id: r for r in D.find_benchmark(docs_of(rows), items, block_chars=block).collect()}
         r = got[9]
         assert (r.n_words, r.n_hit, r["items"]) == (25, 22, ["1", "2"])
-        assert [rows[-1][1][s.start : s.end] for s in r.spans] == [passage.rstrip(","), "short item"]
-        assert len(got) == 7 and got[1].n_words == got[2].n_words == 0 and got[5].n_words == 30_000
+        assert [rows[-2][1][s.start : s.end] for s in r.spans] == [passage.rstrip(","), "short item"]
+        assert len(got) == 8 and (got[10].n_hit, got[10]["items"]) == (2, []) and got[1].n_words == got[2].n_words == 0 and got[5].n_words == 30_000
     assert D.find_benchmark(docs_of([]), items).collect() == []
+    unnamed = items.where("item_id IS NULL")
+    assert {r.doc_id for r in D.find_benchmark(docs_of(rows), unnamed).where("n_hit > 0").collect()} == {10}
     assert all(r.n_hit == 0 for r in D.find_benchmark(docs_of(rows), items.limit(0)).collect())
