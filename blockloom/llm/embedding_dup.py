@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import components, cut, sample_ids
+from blockloom.llm.common import components, cut, sample_ids, spread_join
 
 THRESHOLD = 0.95
 #: Vectors in a tile; pivots that are broadcast at most (more vectors make more tiles in a cell); vectors of the sample
@@ -232,9 +232,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     found = cut(dealt.groupBy(*task).applyInArrow(compare, "a binary, b binary, links long"))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = nodes.select("node", "first_id").join(components(found.select("a", "b")), "node")
-    least = classes.groupBy("comp").agg(F.min("first_id").alias("least"))
-    named = classes.join(least, "comp").select("node", "least")
-    out = rows.select("id", "node").join(nodes.select("node", "copies", "first_id"), "node", "left").join(counts, "node", "left").join(named, "node", "left")
+    least = cut(classes.groupBy("comp").agg(F.min("first_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    named = spread_join(classes, least, ["comp"], "n", F.xxhash64("node")).select("node", "least")
+    known_nodes = cut(nodes.select("node", F.col("copies").alias("n"), "copies", "first_id").join(counts, "node", "left").join(named, "node", "left"))
+    out = spread_join(rows.select("id", "node"), known_nodes, ["node"], "n", F.xxhash64("id"), "left")
     component = F.coalesce("least", "first_id", "id")
     total = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
     return out.select("id", total.cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

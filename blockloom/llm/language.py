@@ -20,15 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from blockloom.llm.common import cut, let, texts_of
+from blockloom.llm.common import cut, let, spread_join, texts_of
 
 UNKNOWN = "und"
 BITS = 16
 #: Training documents of each language; weight of a trigram; strength of the smoothing.
 SAMPLE_DOCS, TEMPER, SMOOTH = 1000, 1 / 3, 5.0
-#: Hosts up to which their priors are joined by broadcast (some 150 bytes each). Of more, those that have more than
-#: one in ``HOT`` of all rows are, and the others by a shuffle.
-BROADCAST_HOSTS, HOT = 100_000, 1000
 PRIOR_UNKNOWN = 0.02
 _DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _DECLARED = re.compile(r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)")
@@ -143,27 +140,6 @@ def _sums(rows: DataFrame, by: list[str], n: int, of: str = "_p") -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(F.col(of)[i]).alias(f"_s{i}") for i in range(n)]).select(*by, "_rows", F.array(*[f"_s{i}" for i in range(n)]).alias("_sum"))
 
 
-def _with(rows: DataFrame, table: DataFrame, key: str, salt: Column) -> DataFrame:
-    """``rows`` left-joined with ``table``, one row a ``key`` with ``_rows``, the number of rows that have the key.
-
-    A short table is broadcast. Of a long one, keys of many rows (fewer than ``HOT``) are broadcast and the rows that
-    have them are spread by ``salt``, so no task of the shuffle gets more than about one in ``HOT`` rows of one key.
-    """
-    names = [c for c in table.columns if c not in (key, "_rows")]
-    n, total = table.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-    if n <= BROADCAST_HOSTS:
-        return rows.join(F.broadcast(table.drop("_rows")), key, "left")
-    is_hot = F.col("_rows") * HOT > F.lit(total)
-    hot = table.where(is_hot).select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot{c}") for c in names])
-    rest = table.where(~is_hot).select(F.col(key).alias("_spread"), *names)
-    marked = rows.join(F.broadcast(hot), key, "left")
-    marked = marked.withColumn("_spread", F.when(F.col("_hot"), F.concat(F.lit("\u0000"), F.pmod(salt, F.lit(100_003)).cast("string"))).otherwise(F.col(key)))
-    joined = marked.join(rest, "_spread", "left").drop("_spread", "_hot")
-    for c in names:
-        joined = joined.withColumn(c, F.coalesce(F.col(f"_hot{c}"), F.col(c))).drop(f"_hot{c}")
-    return joined
-
-
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", address: str = "source", declared: str | None = None, markup: bool = False) -> DataFrame:
     """``rows`` with ``language``, ``confidence`` (its posterior probability) and ``host``.
 
@@ -192,19 +168,19 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
 
     # A said language is one of the model's or "none" or "other".
     said, suffix = cut(likelihood("_said", "_by_said").drop("_rows")), cut(likelihood("_suffix", "_by_suffix"))
-    fused = _with(seen.join(F.broadcast(said), "_said"), suffix, "_suffix", F.xxhash64("_n", "_ll"))
+    fused = spread_join(seen.join(F.broadcast(said), "_said"), suffix, ["_suffix"], "_rows", F.xxhash64("_n", "_ll"))
     fused = fused.withColumn("_p", _posterior(_add(_add(_add(F.col("_ll"), prior), F.col("_by_said")), F.col("_by_suffix"))))
     hosts = cut(_sums(fused, ["_host", "_domain", "_suffix"], n))
     domains = cut(_sums(hosts, ["_domain"], n, "_sum").withColumnRenamed("_sum", "_dsum"))
     whole = [float(x or 0) for x in hosts.agg(*[F.sum(F.col("_sum")[i]) for i in range(n)]).first()]
     overall = F.array(*[F.lit((x + 1) / (sum(whole) + n)) for x in whole])
-    table = _with(hosts.withColumnRenamed("_rows", "_n_rows").withColumnRenamed("_sum", "_hsum"), domains, "_domain", F.xxhash64("_host"))
-    table = _with(table, suffix, "_suffix", F.xxhash64("_host"))
+    table = spread_join(hosts.withColumnRenamed("_rows", "_n_rows").withColumnRenamed("_sum", "_hsum"), domains, ["_domain"], "_rows", F.xxhash64("_host"), "left")
+    table = spread_join(table, suffix, ["_suffix"], "_rows", F.xxhash64("_host"))
     table = cut(table.select("_host", F.col("_n_rows").alias("_rows"), "_hsum", "_dsum", "_by_suffix"))
 
     out = _evidence(rows, shared, names, text, address, declared, markup, keep=True)
     nothing = F.array(*[F.lit(0.0)] * n)
-    out = _with(out.join(F.broadcast(said), "_said", "left"), table, "_host", F.xxhash64("_n", "_ll"))
+    out = spread_join(out.join(F.broadcast(said), "_said", "left"), table, ["_host"], "_rows", F.xxhash64("_n", "_ll"), "left")
     out = out.withColumn("_base", _add(_add(F.transform("_ll", lambda x: x * TEMPER), F.coalesce("_by_said", nothing)), F.coalesce("_by_suffix", nothing)))
     own = _posterior(_add(F.col("_base"), prior))
     minus = lambda v, p: F.zip_with(F.coalesce(v, nothing), p, lambda x, y: F.greatest(F.lit(0.0), x - y))

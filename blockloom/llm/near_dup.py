@@ -33,17 +33,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import U64, components, cut, mix64, texts_of
+from blockloom.llm.common import U64, components, cut, mix64, spread_join, texts_of
 from blockloom.llm.decontaminate import words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 16
 SAMPLES = ROWS * BANDS
 BUCKETS_BITS = 16
-#: Sample agreement from which a pair is verified, and below which it is taken to be far from the pivot.
-VERIFY_FROM, NEAR_FROM = 0.6, 0.45
-#: Pivots of a member verified at first, members in a block, rows in a task of small buckets, partners tried next.
-FIRST_PIVOTS, BLOCK, TASK_ROWS, PARTNERS = 2, 2048, 1500, 4
+#: Sample agreement from which a pair is verified, and below which it is taken to be far from the pivot. A pair at the
+#: threshold is four deviations above the first, and the farthest a linked pair's third text can be (a similarity of
+#: 0.6, by the triangle inequality) more than four above the second: either errs with a chance of 0.00003 at most.
+VERIFY_FROM, NEAR_FROM = 0.6, 0.34
+#: Pivots of a member verified at first, partners tried next; members and bytes of shingles in a block; rows and bytes in
+#: a task of small buckets; pairs of one pivot in a task.
+FIRST_PIVOTS, PARTNERS, BLOCK, BLOCK_BYTES, TASK_ROWS, TASK_BYTES, PIVOT_PAIRS = 2, 4, 2048, 64 << 20, 1500, 32 << 20, 1000
+#: Bytes of a shingle with its weight.
+SHINGLE_BYTES = 12
 #: Nodes up to which their ids are broadcast (16 bytes each).
 BROADCAST_NODES = 400_000
 LEVELS = 2048
@@ -190,22 +195,40 @@ def _signatures(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
         store, weights = Words(), idf.value
         lately: OrderedDict[bytes, tuple] = OrderedDict()
         for batch in texts_of(batches):
-            sigs, keys = [], []
+            sigs, keys, sizes = [], [], []
             for node, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if node not in lately:
                     found, w = shingles(store.hash(words_of(t)), weights)
                     prints = samples(found, w) if len(found) else None
-                    lately[node] = (prints.astype(np.uint16).tobytes(), bands(prints)) if prints is not None else (None, None)
+                    lately[node] = (prints.astype(np.uint16).tobytes(), bands(prints), len(found)) if prints is not None else (None, None, 0)
                     if len(lately) > 512:
                         lately.popitem(last=False)
-                sig, band = lately[node]
+                sig, band, size = lately[node]
                 sigs.append(sig)
                 keys.append(band)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "node", "sig", "bands"])
+                sizes.append(size * SHINGLE_BYTES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc", "node", "sig", "bands", "size"])
 
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(F.col(key).alias("doc"), _node(F.col(text)).alias("node"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, f"doc {kind}, node binary, sig binary, bands array<long>")
+    return plain.mapInArrow(run, f"doc {kind}, node binary, sig binary, bands array<long>, size long")
+
+
+def _beside(pairs: DataFrame, table: DataFrame, column: str, **names: str) -> DataFrame:
+    """``pairs (a, b)`` with columns of ``table`` for the node in ``column``, under the names given.
+
+    A node of more than ``PIVOT_PAIRS`` pairs (or of one in 50,000 of all, if that is more) stands in the table several
+    times, and its pairs are dealt to these, so no task gets all pairs of a pivot. ``pairs`` should be a written table.
+    """
+    most = max(PIVOT_PAIRS, pairs.count() // 50_000)
+    heavy = pairs.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    # At most 50,000 nodes, of 16 bytes.
+    heavy = F.broadcast(cut(heavy.select(column, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = pairs.join(heavy, column, "left").withColumn("_part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("_parts")
+    wanted = table.select(F.col("node").alias(column), *[F.col(c).alias(n) for c, n in names.items()])
+    copies = wanted.join(heavy, column, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [column, "_part"]).drop("_part")
 
 
 def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -217,7 +240,7 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SAMPLES) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(1), pa.float64())], ["a", "b", "est"])
 
-    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("_sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("_sb")), "b")
+    both = _beside(pairs, sigs, "b", sig="_sb").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("_sa")), "a")
     return both.select("a", "b", "_sa", "_sb").mapInArrow(run, "a binary, b binary, est double")
 
 
@@ -261,7 +284,8 @@ def _links(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
             near = [similarity(vector(b[i], tb[i]), vector(a[i], ta[i])) >= threshold for i in range(len(a))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("_ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("_tb")), "b")
+    both = _beside(pairs, texts, "b", t="_tb")
+    both = both.join(texts.select(F.col("node").alias("a"), F.col("t").alias("_ta")), "a")
     return both.select("a", "b", "_ta", "_tb").mapInArrow(run, "a binary, b binary")
 
 
@@ -269,20 +293,30 @@ LINKED, NEAR, FAR = 0, 1, 2
 
 
 def _open(stated: DataFrame, found: DataFrame) -> DataFrame:
-    """The members, with their components, of buckets that may still hold an unseen link, and their blocks."""
-    label = stated.join(found.withColumnRenamed("comp", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    other = (F.col("state") != LINKED).cast("long")
-    sizes = label.groupBy("band", "bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("n"), F.sum(other).alias("m"), F.sum((F.col("state") == NEAR).cast("long")).alias("near"))
-    sizes = sizes.where((F.col("_lo") != F.col("_hi")) & ((F.col("m") > 1) | ((F.col("near") > 0) & (F.col("n") - F.col("m") > 1))))
-    sizes = sizes.select("band", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    return cut(label.join(sizes, ["band", "bucket"]).select("band", "bucket", "node", "c", "state", "mb", "nb"))
+    """The members, with their components, of buckets that may still hold an unseen link, and their blocks.
+
+    These are buckets of several components with two members or more that do not match the pivot, with one such
+    member near it beside others that match, or with a likely pair of member and pivot that was not verified.
+    """
+    label = cut(stated.join(found.withColumnRenamed("comp", "c"), "node", "left").withColumn("c", F.coalesce("c", "node")))
+    count = lambda of: F.sum(of.cast("long"))
+    other = F.col("state") != LINKED
+    sizes = label.groupBy("band", "bucket").agg(
+        F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("n"), count(other).alias("m"), count(F.col("state") == NEAR).alias("near"),
+        count(F.col("untried")).alias("untried"), F.sum("size").alias("bytes"), F.sum(F.when(other, F.col("size")).otherwise(0)).alias("other_bytes"),
+    )
+    sizes = sizes.where((F.col("_lo") != F.col("_hi")) & ((F.col("m") > 1) | ((F.col("near") > 0) & (F.col("n") - F.col("m") > 1)) | (F.col("untried") > 0)))
+    blocks = lambda rows, size: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+    sizes = cut(sizes.select("band", "bucket", "n", blocks("m", "other_bytes").alias("mb"), blocks("n", "bytes").alias("nb")))
+    open_ = spread_join(label, sizes, ["band", "bucket"], "n", F.xxhash64("node"))
+    return cut(open_.select("band", "bucket", "node", "c", "state", "size", "mb", "nb"))
 
 
 def _dealt(open_: DataFrame, more: DataFrame, cols: list[str]) -> DataFrame:
     """Open members dealt to tasks: block ``i`` of those that do not match the pivot (side 0) meets block ``j`` of all
     (side 1); where there is one block of each, a member is sent once (side 2).
 
-    ``more`` has further columns by node. Small tasks share a ``slot`` of about TASK_ROWS rows.
+    ``more`` has further columns by node. Small tasks share a ``slot`` of about TASK_ROWS rows and TASK_BYTES bytes.
     """
     every = open_.join(more, "node")
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("mb"))
@@ -292,7 +326,8 @@ def _dealt(open_: DataFrame, more: DataFrame, cols: list[str]) -> DataFrame:
     big = F.col("nb") > 1
     one = every.where(big & (F.col("state") != LINKED)).select(*cols, mine.cast("int").alias("i"), upto("nb").alias("j"), F.lit(0).alias("side"))
     two = every.select(*cols, upto("mb").alias("i"), theirs.cast("int").alias("j"), F.when(big, 1).otherwise(2).alias("side"))
-    slots = max(1, -(-open_.count() // TASK_ROWS))
+    n, size = open_.agg(F.count(F.lit(1)), F.sum("size")).first()
+    slots = max(1, -(-n // TASK_ROWS), -(-(size or 0) // TASK_BYTES))
     task = F.xxhash64("band", "bucket", "i", "j")
     return one.unionByName(two).withColumn("task", task).withColumn("slot", F.pmod("task", F.lit(slots))).drop("bucket", "i", "j")
 
@@ -384,26 +419,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     """
     idf = docs.sparkSession.sparkContext.broadcast(word_weights(docs, text))
     signed = cut(_signatures(docs, idf, key, text))
-    nodes = cut(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc").alias("first_doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    placed = nodes.where(F.col("bands").isNotNull()).select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = cut(placed.join(shared, ["band", "bucket"]))
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    central = members.join(company, "node").groupBy("band", "bucket").agg(F.max(F.struct("company", "node"))["node"].alias("pivot"))
-    members = cut(members.select("band", "bucket", "node").join(central, ["band", "bucket"]))
-    to_pivot = members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    nodes = cut(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+    placed = nodes.where(F.col("bands").isNotNull()).select("node", "size", F.posexplode("bands").alias("band", "bucket"))
+    shared = cut(placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    members = cut(spread_join(placed, shared.withColumn("others", F.col("n")), ["band", "bucket"], "n", F.xxhash64("node")))
+    company = members.groupBy("node").agg(F.sum("others").alias("company"))
+    central = members.join(company, "node").groupBy("band", "bucket").agg(F.max(F.struct("company", "node"))["node"].alias("pivot"), F.count(F.lit(1)).alias("n"))
+    members = cut(spread_join(members.drop("others"), cut(central), ["band", "bucket"], "n", F.xxhash64("node")))
+    to_pivot = cut(members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     tried = cut(_agreement(to_pivot, nodes))
     near = tried.where(F.col("est") >= NEAR_FROM)
     texts = _texts(near.select(F.explode(F.array("a", "b")).alias("node")), docs, text)
-    # The likeliest pivots of each member go first; what they leave apart is open still, so nothing is lost by that.
+    # The likeliest pivots of each member go first; a likely one that is left out keeps its bucket open.
     likely = Window.partitionBy("a").orderBy(F.desc("est"), "b")
-    best = tried.where(F.col("est") >= VERIFY_FROM).withColumn("_rank", F.row_number().over(likely)).where(F.col("_rank") <= FIRST_PIVOTS)
-    links = cut(_links(best.select("a", "b"), texts, idf, threshold))
+    ranked = tried.where(F.col("est") >= VERIFY_FROM).withColumn("_rank", F.row_number().over(likely))
+    best = cut(ranked.select("a", "b", (F.col("_rank") <= FIRST_PIVOTS).alias("first")))
+    links = cut(_links(cut(best.where("first").select("a", "b")), texts, idf, threshold))
     found = cut(components(links))
 
-    verdict = tried.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "est").join(links.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("linked")), ["node", "pivot"], "left")
+    linked = links.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("linked"))
+    left_out = best.where(~F.col("first")).select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("untried"))
+    verdict = tried.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "est").join(linked, ["node", "pivot"], "left").join(left_out, ["node", "pivot"], "left")
     state = F.when((F.col("node") == F.col("pivot")) | F.coalesce("linked", F.lit(False)), LINKED).when(F.col("est") >= NEAR_FROM, NEAR).otherwise(FAR)
-    stated = cut(members.join(verdict, ["node", "pivot"], "left").select("band", "bucket", "node", state.alias("state")))
+    stated = cut(members.join(verdict, ["node", "pivot"], "left").select("band", "bucket", "node", "size", state.alias("state"), F.coalesce("untried", F.lit(False)).alias("untried")))
+
     def known(wanted: DataFrame) -> DataFrame:
         """``texts`` and those of the nodes in ``wanted`` that it lacks."""
         missing = wanted.join(texts, "node", "left_anti")
@@ -424,8 +463,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
             found = _joined(found, late)
 
     linked = nodes.select("node", "first_doc").join(found, "node")
-    least = linked.groupBy("comp").agg(F.min("first_doc").alias("least"))
-    classes = linked.join(least, "comp").select("node", "least")
-    rows = signed.select("doc", "node").join(nodes.select("node", "first_doc"), "node", "left").join(classes, "node", "left")
+    least = cut(linked.groupBy("comp").agg(F.min("first_doc").alias("least"), F.count(F.lit(1)).alias("n")))
+    classes = spread_join(linked, least, ["comp"], "n", F.xxhash64("node")).select("node", "least")
+    table = cut(nodes.select("node", "first_doc", "copies").join(classes, "node", "left"))
+    rows = spread_join(signed.select("doc", "node"), table, ["node"], "copies", F.xxhash64("doc"), "left")
     result = F.coalesce("least", "first_doc", "doc")
     return rows.select("doc", "node", result.alias("component_id"), result.eqNullSafe(F.col("doc")).alias("kept"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from tests.llm.conftest import ODD
 
+from blockloom.llm import common
 from blockloom.llm import language as L
 
 TEXTS = {"en": "the house is where they were with that thing and this other", "de": "das haus ist nicht wo sie mit dem und der anderen waren", "fr": "la maison est dans laquelle vous avez avec les autres choses"}
@@ -69,8 +70,8 @@ def test_many_hosts_give_the_same(spark, model, monkeypatch, hot):
     df = spark.createDataFrame([(*r, "x") for r in ROWS * 3], "page_id long, url string, html string, language string")
     rows = lambda: sorted(map(str, L.identify(df, model, text="html", address="url", markup=True).collect()))
     want = rows()
-    monkeypatch.setattr(L, "BROADCAST_HOSTS", 1)
-    monkeypatch.setattr(L, "HOT", hot)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 1)
+    monkeypatch.setattr(common, "HOT", hot)
     assert rows() == want
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 from tests.llm.conftest import ODD
 
+from blockloom.llm import common
 from blockloom.llm import near_dup as N
 from blockloom.llm.common import components
 
@@ -55,6 +56,21 @@ def test_classes_equal_brute_force(spark, corpus):
     assert all(want[i] == i for i in range(230, 302))
 
 
+@pytest.mark.parametrize("small", [{"FIRST_PIVOTS": 1, "PARTNERS": 1}, {"PIVOT_PAIRS": 5, "BLOCK": 20, "TASK_ROWS": 40}, {"BLOCK_BYTES": 40_000, "TASK_BYTES": 50_000}])
+def test_bounds_of_tasks_change_nothing(spark, corpus, monkeypatch, small):
+    """Pivots dealt to several tasks, small blocks, hot keys that are joined apart and components joined by shuffles."""
+    for name, value in small.items():
+        monkeypatch.setattr(N, name, value)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 3)
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(common, "BROADCAST_EDGES", 10)
+    df = spark.createDataFrame([*corpus, *[(1000 + i, corpus[0][1]) for i in range(60)]], "doc_id long, text string").repartition(6)
+    got = {r.doc: r.component_id for r in N.near_duplicates(df).collect()}
+    weights = N.word_weights(df)
+    want = classes([*corpus, (1000, corpus[0][1])], weights)
+    assert got == want | {1000 + i: want[0] for i in range(60)}
+
+
 def test_odd_rows(spark, docs_of):
     got = sorted(((r.doc, r.component_id, r.kept) for r in N.near_duplicates(docs_of(ODD)).collect()), key=str)
     assert got == sorted([(1, 1, True), (2, 2, True), (None, 4, False), (4, 4, True), (4, 4, True), (5, 5, True), (6, 6, True)], key=str)
