@@ -5,8 +5,10 @@ A document's vector holds their counts times their inverse document frequency ov
 presence goes with the label in the sample (the phi coefficient, so a word of few examples counts for what it tells),
 and one constant place, so that one mention differs from many and a text without any term has neighbours too. Examples
 with equal vectors are one entry of the index. Entries stand in blocks; the index keeps sparse postings and each term's
-largest weight in each block that has it, which bounds the cosine of all its entries. Blocks are opened in order of
-their bounds until no bound reaches the k-th nearest example found, so the neighbours are exact.
+largest weight in each block that has it, which bounds the cosine of all its entries. (The postings of the most
+frequent terms, which most entries have, are full rows; what they add is worked out for a batch of documents at once
+and enters the bounds as it is.) Blocks are opened in order of their bounds until no bound reaches the k-th nearest
+example found, so the neighbours are exact.
 
 The score is the share of distance-weighted votes for the label, each class counted at its frequency among all
 labelled documents, smoothed by one vote at the overall rate.
@@ -14,10 +16,11 @@ labelled documents, smoothed by one vote at the overall rate.
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
+from collections import Counter, OrderedDict
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from hashlib import md5
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from blockloom.llm.decontaminate import words_of
 #: Examples of each class; neighbours, entries of a block, distance at which a vote halves.
 EXAMPLES = 4096
 K, BLOCK, NEAR = 25, 64, 0.02
+#: Frequent terms whose postings are full rows, and documents whose products with them are taken at once.
+FULL, BATCH = 512, 64
 
 
 def fold(key: Column) -> Column:
@@ -42,10 +47,16 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())
 
 
+def _places(terms: dict[bytes, int], words: Collection[bytes]) -> np.ndarray:
+    """The place of each word, -1 for those that are no term."""
+    return np.fromiter(map(terms.get, words, repeat(-1)), np.int64, len(words))
+
+
 class Index:
     """Entries (distinct unit vectors with the votes of their examples) in blocks, with block-max weights by term.
 
-    ``entry`` and ``weight`` are the postings by term and entry; a run is a term's postings within one block.
+    ``entry`` and ``weight`` are the postings by term and entry; a run is a term's postings within one block. Terms with
+    a ``row`` have theirs in ``full`` instead.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], places: int, votes: np.ndarray, names: list[list]):
@@ -58,11 +69,21 @@ class Index:
         entry = np.repeat(np.argsort(order), [len(t) for t, _ in vectors])
         term, weight = (np.concatenate(x) for x in zip(*vectors, strict=True))
         by_term = np.lexsort((entry, term))
-        term, self.entry, self.weight = term[by_term], entry[by_term].astype(np.int32), weight[by_term]
+        term, entry, weight = term[by_term], entry[by_term].astype(np.int32), weight[by_term]
+        number = np.bincount(term, minlength=places)
+        frequent = np.argsort(-number, kind="stable")[:FULL]
+        frequent = frequent[number[frequent] > self.n_blocks]
+        self.row = np.full(places, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        row = self.row[term]
+        self.full = np.zeros((len(frequent), self.size))
+        self.full[row[row >= 0], entry[row >= 0]] = weight[row >= 0]
+        term, self.entry, self.weight = term[row < 0], entry[row < 0], weight[row < 0]
         run = term * self.n_blocks + self.entry // BLOCK
         self.start = np.flatnonzero(np.diff(run, prepend=-1))
         self.end = np.append(self.start[1:], len(run))
-        self.run_block, self.run_max = run[self.start] % self.n_blocks, np.maximum.reduceat(self.weight, self.start)
+        self.run_block = run[self.start] % self.n_blocks
+        self.run_max = np.maximum.reduceat(self.weight, self.start) if len(run) else np.empty(0)
         self.runs = np.searchsorted(term[self.start], np.arange(places + 1))
 
     @property
@@ -71,29 +92,41 @@ class Index:
         out = np.zeros((self.size, self.places))
         postings = self.end - self.start
         out[self.entry, np.repeat(np.repeat(np.arange(self.places), np.diff(self.runs)), postings)] = self.weight
+        out[:, self.row >= 0] = self.full[self.row[self.row >= 0]].T
         return out
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def products(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms add to each entry's cosine with each query."""
+        share = np.zeros((len(queries), len(self.full)))
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            share[i, row[row >= 0]] = weights[row >= 0]
+        return share @ self.full
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entries that hold the k nearest examples, and all as near as the k-th, with their cosines.
 
-        Blocks are opened in order of their bounds, eight times as many each time, until the next bound is below the k-th.
+        ``known`` is the query's row of ``products``. Blocks are opened in order of their bounds: first a few, which
+        give a k-th nearest, then those whose bound reaches it.
         """
+        rare = self.row[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         first, last = self.runs[terms], self.runs[terms + 1]
         runs, share = _ranges(first, last), np.repeat(weights, last - first)
         block = self.run_block[runs]
-        bound = np.bincount(block, share * self.run_max[runs], self.n_blocks)
+        bound = np.bincount(block, share * self.run_max[runs], self.n_blocks) + np.maximum.reduceat(known, np.arange(0, self.size, BLOCK))
         order, at, reached, wave = np.argsort(-bound, kind="stable"), 0, -1.0, 8
         where, cosines = np.empty(0, np.int64), np.empty(0)
         while at < len(order) and bound[order[at]] >= reached - 1e-9:
             blocks = order[at : at + wave]
-            at, wave = at + wave, wave * 8
+            at, wave = at + wave, wave if reached < 0 else self.n_blocks
             blocks = blocks[bound[blocks] >= reached - 1e-9]
             opened = np.zeros(self.n_blocks, bool)
             opened[blocks] = True
             opened = opened[block]
             start, end = self.start[runs[opened]], self.end[runs[opened]]
             posting = _ranges(start, end)
-            value = np.bincount(self.entry[posting], self.weight[posting] * np.repeat(share[opened], end - start), self.size)
+            value = known + np.bincount(self.entry[posting], self.weight[posting] * np.repeat(share[opened], end - start), self.size)
             fresh = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             fresh = fresh[fresh < self.size]
             fresh = fresh[value[fresh] >= reached - 1e-9]
@@ -121,14 +154,26 @@ class Model:
         return np.append(terms, len(self.weights)), weights / np.linalg.norm(weights)
 
     def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        terms = self.terms
-        return np.unique(np.array([terms[w] for w in words if w in terms], np.int64), return_counts=True)
-
-    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
-        """The score of a document with these terms, and the keys of the first examples it rests on."""
+        """The places of a text's known words, in order, and how often each stands there."""
+        number = Counter(words)
+        place = _places(self.terms, number)
+        n = np.fromiter(number.values(), np.int64, len(number))[place >= 0]
+        place = place[place >= 0]
+        order = np.argsort(place)
+        return place[order], n[order]
+
+    def scores(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list]]:
+        """The scores of documents with these terms, and the keys of the first examples each rests on."""
         if self.index is None:
-            return self.prior, []
-        at, cosine = self.index.nearest(*self.vector(counts), K)
+            return [(self.prior, [])] * len(counts)
+        out = []
+        for at in range(0, len(counts), BATCH):
+            queries = [self.vector(c) for c in counts[at : at + BATCH]]
+            out += [self._score(q, known) for q, known in zip(queries, self.index.products(queries), strict=True)]
+        return out
+
+    def _score(self, query: tuple[np.ndarray, np.ndarray], known: np.ndarray) -> tuple[float, list]:
+        at, cosine = self.index.nearest(*query, K, known)
         weight = (self.index.votes[at] * self.rates) / (np.maximum(0.0, 1 - cosine)[:, None] + NEAR)
         share = weight.sum(0) * NEAR
         order = np.argsort(-cosine, kind="stable")
@@ -175,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in texts_of(batches):
             rows += batch.num_rows
             for t in batch.column(0).to_pylist():
-                df[[terms[w] for w in set(words_of(t)) if w in terms]] += 1
+                place = _places(terms, set(words_of(t)))
+                df[place[place >= 0]] += 1
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, seen), pa.int32()), pa.array(np.append(rows, df[seen]), pa.int64())], ["term", "n"])
 
@@ -223,16 +269,19 @@ def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, OrderedDict()
         for batch in texts_of(batches):
-            scores, evidence = [], []
-            for t in batch.column(1).to_pylist():
-                same = md5((t or "").encode(), usedforsecurity=False).digest()
-                if same not in seen:
-                    seen[same] = model.score(model.counts(words_of(t)))
-                    if len(seen) > 20_000:
-                        seen.popitem(last=False)
-                score, names = seen[same]
+            scores, evidence, fresh = [], [], {}
+            texts = batch.column(1).to_pylist()
+            names = [md5((t or "").encode(), usedforsecurity=False).digest() for t in texts]
+            for same, t in zip(names, texts, strict=True):
+                if same not in seen and same not in fresh:
+                    fresh[same] = model.counts(words_of(t))
+            seen.update(zip(fresh, model.scores(list(fresh.values())), strict=True))
+            for same in names:
+                score, names_ = seen[same]
                 scores.append(score)
-                evidence.append(names)
+                evidence.append(names_)
+            while len(seen) > 20_000:
+                seen.popitem(last=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.string()))], ["key", "score", "evidence"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, score double, evidence array<string>")

@@ -38,7 +38,7 @@ def test_neighbours_are_exact(data):
     rows, _, model = data
     for _, text, _ in rows[:200]:
         terms, weights = model.vector(model.counts(T.words_of(text)))
-        at, cosine = model.index.nearest(terms, weights, 25)
+        at, cosine = model.index.nearest(terms, weights, 25, model.index.products([(terms, weights)])[0])
         query = np.zeros(model.index.vectors.shape[1])
         query[terms] = weights
         full = model.index.vectors @ query
@@ -47,6 +47,35 @@ def test_neighbours_are_exact(data):
         assert set(at.tolist()) == set(np.flatnonzero(full >= kth - 1e-9).tolist())
 
 
+def test_scores_equal_a_brute_force_over_all_words(data):
+    """Vectors, cosines and votes again, over every word of the examples, in plain loops."""
+    rows, docs, model = data
+    examples = [(r.key, r.y) for r in docs.select(F.col("doc_id").alias("key"), T.fold(F.col("doc_id")).alias("y")).collect() if r.y]
+    text, truth = {i: t for i, t, _ in rows}, {i: y for i, _, y in rows}
+    weight = dict(zip(sorted(model.terms, key=model.terms.get), model.weights))
+    assert set(weight) == {w for i, _ in examples for w in T.words_of(text[i])}
+    assert len(model.index.full) and len(model.index.entry)
+
+    def vector(t):
+        v = {"": model.constant}
+        for w in T.words_of(t):
+            v[w] = v.get(w, 0) + weight[w]
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    known = [(vector(text[i]), truth[i]) for i, _ in examples]
+    queries = [t for _, t, _ in rows[:60]]
+    for t, (score, _) in zip(queries, model.scores([model.counts(T.words_of(t)) for t in queries])):
+        q = vector(t)
+        near = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), y) for v, y in known), reverse=True)
+        least = near[T.K - 1][0] - 1e-9
+        votes = [0.0, 0.0]
+        for c, y in near:
+            if c >= least:
+                votes[y] += model.rates[y] / (max(0.0, 1 - c) + T.NEAR) * T.NEAR
+        assert score == pytest.approx((votes[1] + model.prior) / (sum(votes) + 1), abs=1e-9)
+
+
 def test_few_toxic_labels(spark):
     rng = random.Random(7)
     words, bad = [f"w{i}" for i in range(3000)], [f"insult{i}" for i in range(4)]
