@@ -22,7 +22,10 @@ def data(spark):
         rows.append((i, " ".join(text), toxic))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(5000, 1), (None, 1)], "doc_id long, toxic int")
-    return rows, docs, T.fit(docs, labels)
+    # Few full rows, so that most terms have sparse postings.
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(T, "FULL", 40)
+        return rows, docs, T.fit(docs, labels)
 
 
 def test_held_out_accuracy(data):
