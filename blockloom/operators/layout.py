@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions import vocabulary as V
-from blockloom.functions.text import decode_digits, is_furniture
+from blockloom.functions.text import decode_digits, is_furniture, mend_scan_errors
 from blockloom.functions.regex import has
 
 PAGE = ["source", "page"]
@@ -27,10 +27,15 @@ def style_of(font: Column, size: Column) -> Column:
     )
 
 
+def is_visible() -> Column:
+    """Whether a word's middle lies on its page."""
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    return x.between(0, F.col("page_w")) & y.between(0, F.col("page_h"))
+
+
 def visible_words(words: DataFrame) -> DataFrame:
     """Words whose middle lies on the page, with private-use digits decoded."""
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    return words.where(x.between(0, F.col("page_w")) & y.between(0, F.col("page_h"))).withColumn("text", decode_digits(F.col("text")))
+    return words.where(is_visible()).withColumn("text", decode_digits(F.col("text")))
 
 
 def _widest_gap(words: DataFrame, region: list[str]) -> DataFrame:
@@ -127,8 +132,8 @@ def cleaned_lines(lines: DataFrame, within: list[str], order: list[str]) -> Data
 
 
 def lines_from_words(words: DataFrame) -> DataFrame:
-    """``source, page, line_no, text, style`` of whole pages in reading order, cleaned column by column."""
-    rows = rendered_lines(rows_of_words(columns(visible_words(words))))
+    """``source, page, line_no, text, style`` of whole pages in reading order, mended and cleaned column by column."""
+    rows = rendered_lines(rows_of_words(columns(visible_words(words)))).withColumn("text", mend_scan_errors(F.col("text")))
     clean = cleaned_lines(rows, [*PAGE, "col"], ["row"])
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("col", "row")) - 1
     return clean.select("source", "page", number.alias("line_no"), "text", "style")

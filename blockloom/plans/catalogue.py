@@ -141,12 +141,13 @@ def _readable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).adversaries.select(F.concat(F.lit("notes/"), F.col("page").cast("string"), F.lit(".md")).alias("path"), page.alias("text"))
 
 
-@query("""SELECT k AS page, name, tier, type AS adversary_type, difficulty, minor AS threshold_minor, CASE WHEN k % 7 = 0 THEN 'None' WHEN k % 7 = 1 THEN thresholds END AS thresholds_raw, hp, stress, modifier, 'Guard +2' AS experience, n_features, k AS source_page FROM good WHERE k % 10 > 2 AND k % 7 <> 1
-    UNION ALL SELECT k, name, tier, type, difficulty, NULL, thresholds, hp, stress, modifier, 'Guard +2', n_features, k FROM good WHERE k % 10 > 2 AND k % 7 = 1""")
+@query("""SELECT k AS page, name, tier, type AS adversary_type, difficulty, minor AS threshold_minor, CASE WHEN k % 7 = 0 THEN 'None' WHEN k % 7 = 1 THEN thresholds END AS thresholds_raw, hp, stress, modifier, 'Guard +2' AS experience, n_features, k AS source_page FROM good WHERE k % 7 <> 1
+    UNION ALL SELECT k, name, tier, type, difficulty, NULL, thresholds, hp, stress, modifier, 'Guard +2', n_features, k FROM good WHERE k % 7 = 1""")
 def q_markdown_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parse_markdown(_readable_files(spark, sf_dir))
+    loose = F.when(F.col("page") % 10 == 2, F.replace(render.readable_adversary(), F.lit("\n## FEATURES"), F.lit("\n\n\n## FEATURES"))).otherwise(render.readable_adversary())
+    rows = parse_markdown(_parsed(spark, sf_dir).adversaries.select(F.concat(F.col("page").cast("string"), F.lit(".md")).alias("path"), loose.alias("text")))
     k = F.regexp_extract("path", r"(\d+)\.md", 1).cast("int")
-    return rows.where(k % 10 > 2).select(k.alias("page"), "name", "tier", "adversary_type", "difficulty", "threshold_minor", "thresholds_raw", "hp", "stress", "attack.modifier", "experience", F.size("features").alias("n_features"), "source_page")
+    return rows.select(k.alias("page"), "name", "tier", "adversary_type", "difficulty", "threshold_minor", "thresholds_raw", "hp", "stress", "attack.modifier", "experience", F.size("features").alias("n_features"), "source_page")
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (k % 10 > 1) AS success, count(*) FILTER (k % 10 = 2) AS changed, 0 AS with_issues, 0 AS failed, 0 AS sources_added, count(*) FILTER (k % 10 <= 1) AS skipped FROM good""")
@@ -166,7 +167,7 @@ seen AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY page ORDER BY c) - 1 AS
 @query("SELECT count(*) FILTER (w < 2 OR pk % 11 <> 0) AS shown, count(*) AS words FROM (SELECT CAST(min(l_partkey) AS INT) AS pk, unnest([0, 1, 2]) AS w FROM lineitem GROUP BY l_orderkey, l_linenumber)")
 def q_visible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = S.words(spark, sf_dir)
-    return layout.visible_words(words).agg(F.count(F.lit(1)).alias("shown")).join(words.agg(F.count(F.lit(1)).alias("words")))
+    return words.agg(F.count_if(layout.is_visible()).alias("shown"), F.count(F.lit(1)).alias("words"))
 
 
 @query(f"WITH {_WORDS} SELECT page, ln * 3 + w AS word_no, col FROM seen, (SELECT unnest([0, 1, 2]) AS w) WHERE w < 2 OR pk % 11 <> 0")

@@ -39,7 +39,9 @@ def sheet(spark: SparkSession, path: str, name: str = "daggerheart_adversaries")
             raise RuntimeError("reading spreadsheets needs openpyxl")
         import pandas as pd
 
-        return spark.createDataFrame(pd.read_excel(path, sheet_name=name))
+        frame = pd.read_excel(path, sheet_name=name)
+        # Cells that say NULL are empty ones.
+        return spark.createDataFrame(frame.mask(frame == "NULL", ""))
     if path.lower().endswith(".parquet"):
         return spark.read.parquet(path)
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
@@ -74,13 +76,26 @@ class _PdfReader(DataSourceReader):
         stem = partition.value.rsplit("/", 1)[-1]
         with pdfplumber.open(partition.value) as pdf:
             for number, page in enumerate(pdf.pages, 1):
-                for i, w in enumerate(page.extract_words(extra_attrs=["fontname", "size"])):
+                words = page.extract_words(extra_attrs=["fontname", "size"])
+                if not words:
+                    # Such a page is one row, number -1, with the text that a plain extraction gives.
+                    yield stem, number, float(page.width), float(page.height), -1, page.extract_text() or "", None, None, None, None, None, None
+                for i, w in enumerate(words):
                     yield stem, number, float(page.width), float(page.height), i, w["text"], w["x0"], w["x1"], w["top"], w["bottom"], w["fontname"], w["size"]
 
 
+def lines_from_pdf(rows: DataFrame) -> DataFrame:
+    """Lines of ``pdf_words`` rows: pages with words by their layout, pages without by their plain text."""
+    from blockloom.operators.layout import lines_from_words
+    from blockloom.sources.pages import lines_from_pages, pages_without_words
+
+    words = rows.where("word_no >= 0")
+    raw = rows.where("word_no < 0").select("source", "page", "text")
+    return lines_from_words(words).unionByName(lines_from_pages(pages_without_words(words, raw)))
+
+
 def read_stat_blocks(spark: SparkSession, path: str, fmt: str | None = None):
     """Records of one source by its suffix, any case: ``.pdf`` and ``.txt`` give all outcomes, ``.md`` adversaries only."""
-    from blockloom.operators.layout import lines_from_words
     from blockloom.operators.markdown import parse_markdown
     from blockloom.operators.records import parse_lines
     from blockloom.sources.pages import lines_from_pages
@@ -92,6 +107,6 @@ def read_stat_blocks(spark: SparkSession, path: str, fmt: str | None = None):
         return parse_lines(lines_from_pages(text_pages(spark, path)))
     if fmt == "pdf":
         spark.dataSource.register(PdfWords)
-        words = spark.read.format("pdf_words").option("paths", path).load().withColumn("source", source_from_filename(F.col("source")))
-        return parse_lines(lines_from_words(words))
+        rows = spark.read.format("pdf_words").option("paths", path).load().withColumn("source", source_from_filename(F.col("source")))
+        return parse_lines(lines_from_pdf(rows))
     raise ValueError(f"no reader for .{fmt} files")

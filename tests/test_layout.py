@@ -2,7 +2,7 @@ import pytest
 
 from blockloom.operators import layout
 from blockloom.operators.blocks import blocks
-from blockloom.sources.readers import WORDS
+from blockloom.sources.readers import WORDS, lines_from_pdf
 
 
 def word(page, no, text, x0, top, x1=None, font="Plain", size=10.0, w=600.0, h=800.0):
@@ -44,3 +44,14 @@ def test_heading_run_names_a_block(spark):
 
 def test_empty_table(spark):
     assert lines(spark, []) == []
+
+
+def test_scan_errors_are_mended_in_words(spark):
+    words = [word(1, 0, "Diffi", 50, 100), word(1, 1, "culty:", 80, 100), word(1, 2, "12", 115, 100), word(1, 3, "Melee", 50, 120), word(1, 4, "–", 80, 120), word(1, 5, "1d6", 90, 120), word(1, 6, "phy", 110, 120), word(1, 7, "damage", 130, 120)]
+    assert [t for _, t, _ in lines(spark, words)] == ["Difficulty: 12", "Melee - 1d6 phy"]
+
+
+def test_pages_without_words_are_read_as_text(spark):
+    rows = [word(1, 0, "Spoken", 50, 100), ("s", 2, 600.0, 800.0, -1, "plain – text\nof a page", None, None, None, None, None, None), ("s", 3, 600.0, 800.0, -1, "", None, None, None, None, None, None)]
+    got = lines_from_pdf(spark.createDataFrame(rows, WORDS)).orderBy("page", "line_no").collect()
+    assert [(r.page, r.text) for r in got if r.text] == [(1, "Spoken"), (2, "plain - text"), (2, "of a page")]
