@@ -5,9 +5,10 @@ TYPES = ["Bruiser", "Leader", "Skulk", "Support", "Solo", "Standard", "Ranged",
 PLACE_TYPES = ["traversal", "event", "exploration"]
 SHARED_TYPES = ["social"]
 # Ranges, feature types, labels that end a field.
-RANGE = "(?:Melee|Very Close|Close|Far|Very Far)"
-FEATURE_TYPES = "Passive|Action|Reaction|Evolution"
-FIELD_LABELS = [r"Impulses", r"Motives\s*(?:&|and)\s*Tactics", r"Motives", r"Difficulty", r"Thresholds?", r"Potential\s+Adversaries", r"ATK", r"Attack", r"Experience", r"HP", r"Stress"]
+REACHES = ["Very Close", "Very Far", "Melee", "Close", "Far"]
+FEATURE_TYPES = ["Passive", "Action", "Reaction", "Evolution"]
+FIELD_LABELS = ["Impulses", "Motives & Tactics", "Motives and Tactics", "Motives", "Difficulty", "Thresholds", "Threshold", "Potential Adversaries", "ATK", "Attack", "Experience", "HP", "Stress"]
+SECTIONS = ["ADVERSARIES", "ENVIRONMENTS"]
 # Page furniture (each at the start of a stripped line, any case).
 FURNITURE = [r"\d+\s*$", r"Page\s+\d+", r"\d+\s+of\s+\d+", r"ADVERSARIES?\s*$", r"DAGGERHEART\s*$", r"SRD\s*$"]
 FOOTER = r"\d*\s*Chapter\s+\d+:"

@@ -12,6 +12,7 @@ from blockloom.functions.regex import strip
 from blockloom.functions.text import base_type
 from blockloom.operators import fields as P
 from blockloom.operators.blocks import blocks
+from blockloom.session import settled
 
 STOPS = ["Motives", "Impulses", "Difficulty", "Thresholds?", "ATK", "FEATURES"]
 PLACE_STOPS = ["Impulses", "Motives", "Difficulty", "Potential", "FEATURES"]
@@ -42,11 +43,22 @@ def _good_name(name: Column) -> Column:
     return (name != "") & (F.length(name) <= V.NAME_LENGTH)
 
 
+def _once(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """``rows`` with the fields, worked out once a row.
+
+    They stand in one struct with a row's number. As that is no function of the row, the optimizer leaves the struct in
+    one place, where it would otherwise repeat the fields in every filter and projection above.
+    """
+    made = rows.withColumn("_f", F.struct(*[c.alias(n) for n, c in fields.items()], F.monotonically_increasing_id().alias("_row")))
+    return made.select(*[c for c in rows.columns if c not in fields], *[F.col(f"_f.{n}").alias(n) for n in fields])
+
+
 def adversary_fields(rows: DataFrame) -> DataFrame:
     """``rows`` (with ``lines, text, section_tier``) with an adversary's fields."""
     t = F.col("text")
-    out = rows.withColumn("name", P.name_of(F.col("lines"))).withColumn("_tt", P.tier_and_type(t)).withColumn("_th", P.thresholds(t))
-    return out.withColumns(
+    first = _once(rows, {"name": P.name_of(F.col("lines")), "_tt": P.tier_and_type(t), "_th": P.thresholds(t)})
+    return _once(
+        first,
         {
             "tier": F.coalesce("_tt.tier", "section_tier"),
             "adversary_type": F.col("_tt.kind"),
@@ -61,7 +73,7 @@ def adversary_fields(rows: DataFrame) -> DataFrame:
             "attack": P.attack(t),
             "experience": P.field(t, "Experience"),
             "features": P.features(t),
-        }
+        },
     ).drop("_tt", "_th")
 
 
@@ -76,8 +88,9 @@ def adversary_shape() -> Column:
 
 def place_fields(rows: DataFrame) -> DataFrame:
     t = F.col("text")
-    out = rows.withColumn("name", P.name_of(F.col("lines"))).withColumn("_tt", P.tier_and_type(t))
-    return out.withColumns(
+    first = _once(rows, {"name": P.name_of(F.col("lines")), "_tt": P.tier_and_type(t)})
+    return _once(
+        first,
         {
             "tier": F.coalesce("_tt.tier", "section_tier"),
             "environment_type": F.nullif(base_type(F.col("_tt.kind")), F.lit("")),
@@ -86,7 +99,7 @@ def place_fields(rows: DataFrame) -> DataFrame:
             "difficulty": P.place_difficulty(t),
             "potential_adversaries": P.field(t, "Potential Adversaries"),
             "features": P.place_features(F.col("lines")),
-        }
+        },
     ).drop("_tt")
 
 
@@ -95,8 +108,8 @@ def place_shape() -> Column:
 
 
 def routed(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("text", P.block_text(F.col("lines")))
-    return rows.withColumn("place", P.is_place(P.tier_keyword(F.col("lines")), F.col("text"), F.col("section")))
+    rows = _once(rows, {"text": P.block_text(F.col("lines"))})
+    return _once(rows, {"place": P.is_place(P.tier_keyword(F.col("lines")), F.col("text"), F.col("section"))})
 
 
 def _valid(rows: DataFrame) -> DataFrame:
@@ -111,7 +124,7 @@ def continued(found: DataFrame) -> DataFrame:
 
     The head of a page that has blocks of its own always belongs to the block before. A page without any does only if
     it opens in mid-sentence or on a feature, or if the block does not stand up without it; only such blocks are parsed
-    for that.
+    for that. ``found`` is read twice, so it should be a written table.
     """
     has_tail = F.size(F.coalesce("tail", F.expr("array()").cast("array<struct<line_no:int,text:string,style:string>>"))) > 0
     asked = found.where(has_tail & F.col("bare") & ~F.col("opens"))
@@ -130,9 +143,10 @@ def rejected_line(page: Column, lines: Column) -> Column:
 def parse_lines(lines: DataFrame) -> Parsed:
     """Adversaries, environments and rejected blocks of ``source, page, line_no, text, style``.
 
-    ``source`` names the records' source. The three outcomes read one plan of blocks; cache its input if it is costly.
+    ``source`` names the records' source. The blocks are written to the checkpoint folder, from where all outcomes read
+    them.
     """
-    rows = routed(continued(blocks(lines))).withColumns({"source_name": F.col("source"), "source_page": F.col("page")})
+    rows = routed(continued(settled(blocks(lines)))).withColumns({"source_name": F.col("source"), "source_page": F.col("page")})
     keys = ["source", "page", "block"]
     a, e = adversary_fields(rows.where(~F.col("place"))), place_fields(rows.where("place"))
     good, fine = F.coalesce(adversary_shape(), F.lit(False)), F.coalesce(place_shape(), F.lit(False))
