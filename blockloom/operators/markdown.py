@@ -55,24 +55,26 @@ def _last(items: Column) -> Column:
     return F.try_element_at(F.filter(items, lambda x: x.isNotNull()), F.lit(-1))
 
 
+def _bound(use, **values: Column) -> Column:
+    """``use`` of a struct that holds the values, each worked out once."""
+    return one(F.struct(*[v.alias(n) for n, v in values.items()]), use)
+
+
 def starred(text: Column) -> Column:
     """``stars, inner, rest`` of a text that begins with up to three stars and has as many again; null otherwise."""
-    stars = F.length(F.regexp_extract(text, r"^(\*{0,3})", 1))
-    body = F.substr(text, stars + 1)
 
-    def cut(n: Column) -> Column:
-        mark = F.repeat(F.lit("*"), n)
-        close = F.instr(body, mark)
-        return F.when((n > 0) & (close > 1), F.struct(n.alias("stars"), F.substr(body, F.lit(1), close - 1).alias("inner"), F.substr(body, close + n).alias("rest")))
+    def cut(v: Column) -> Column:
+        body = F.substr(v["text"], v["n"] + 1)
+        close = lambda w: F.when(w["close"] > 1, F.struct(v["n"].alias("stars"), F.substr(body, F.lit(1), w["close"] - 1).alias("inner"), F.substr(body, w["close"] + v["n"]).alias("rest")))
+        return _bound(close, close=F.instr(body, F.repeat(F.lit("*"), v["n"])))
 
-    return one(stars, cut)
+    return F.when(F.startswith(text, F.lit("*")), _bound(cut, text=text, n=F.length(F.regexp_extract(text, r"^(\*{0,3})", 1))))
 
 
 def cell(text: Column) -> Column:
     """``label, value`` of a text such as ``**Label:** value`` or ``Label: value``; stars do not count."""
-    plain = F.replace(text, F.lit("**"), F.lit(""))
-    colon = F.instr(plain, F.lit(":"))
-    return F.struct(strip(F.substr(plain, F.lit(1), colon - 1)).alias("label"), strip(F.substr(plain, colon + 1)).alias("value"))
+    parts = F.split(F.replace(text, F.lit("**"), F.lit("")), ":", 2)
+    return one(parts, lambda p: F.struct(F.trim(F.get(p, F.lit(0))).alias("label"), strip(F.get(p, F.lit(1))).alias("value")))
 
 
 def cells(line: Column) -> Column:
@@ -115,16 +117,21 @@ def feature_of(text: Column) -> Column:
     Under two or three stars the colon stands inside them, under one star after them.
     """
 
-    def read(s: Column) -> Column:
-        head = F.split(F.translate(s["inner"], "–—", "--"), "-", 2)
-        name, kind = strip(F.get(head, F.lit(0))), strip(F.get(head, F.lit(1)))
-        inside = s["stars"] > 1
-        bare = F.when(inside, strip(F.substr(kind, F.lit(1), F.length(kind) - 1))).otherwise(kind)
-        told = F.when(inside, s["rest"]).otherwise(F.substr(s["rest"], F.lit(2)))
-        good = F.when(inside, F.endswith(kind, F.lit(":"))).otherwise(_begins(s["rest"], ":")) & (name != "") & (bare != "") & ~F.contains(bare, F.lit(":"))
-        return F.when(good, F.struct(name.alias("name"), bare.alias("feature_type"), strip(told).alias("description")).cast(FEATURE_TYPE))
+    def read(v: Column) -> Column:
+        inside = v["s"]["stars"] > 1
+        bare = F.when(inside, F.substr(v["kind"], F.lit(1), F.length(v["kind"]) - 1)).otherwise(v["kind"])
+        told = F.when(inside, v["s"]["rest"]).otherwise(F.substr(v["s"]["rest"], F.lit(2)))
+        good = F.when(inside, F.endswith(v["kind"], F.lit(":"))).otherwise(_begins(v["s"]["rest"], ":")) & (v["name"] != "")
+        made = lambda w: F.when(good & (w["bare"] != "") & ~F.contains(w["bare"], F.lit(":")), F.struct(v["name"].alias("name"), w["bare"].alias("feature_type"), strip(told).alias("description")).cast(FEATURE_TYPE))
+        return _bound(made, bare=strip(bare))
+
+    def halves(v: Column) -> Column:
+        return _bound(read, s=v["s"], name=strip(F.get(v["head"], F.lit(0))), kind=strip(F.get(v["head"], F.lit(1))))
 
-    return one(starred(strip(text)), read)
+    def head(s: Column) -> Column:
+        return F.when(s.isNotNull(), _bound(halves, s=s, head=F.split(F.translate(s["inner"], "–—", "--"), "-", 2)))
+
+    return F.when(F.contains(text, F.lit("*")), one(starred(strip(text)), head))
 
 
 def _features(body: Column, stars: int, leading: bool) -> Column:
@@ -165,92 +172,118 @@ def single_record(text: Column, horde_types: bool = True) -> Column:
     ``horde_types`` also reads types of several words, such as a horde with its parenthesis.
     """
 
-    def read(lines: Column) -> Column:
-        marked = F.transform(lines, lambda s: starred(strip(s)))
-        tiers = F.filter(marked, lambda m: tier_and_type(m["inner"], horde_types=horde_types)["tier"].isNotNull())
-        most = F.array_max(F.transform(tiers, lambda m: m["stars"]))
-        tt = tier_and_type(F.get(F.filter(tiers, lambda m: m["stars"] == most), F.lit(0))["inner"], horde_types=horde_types)
-        under = [_at(lines, lambda s, k=k: _begins(s, "*" * k + TIER) & (starred(strip(s))["stars"] == k)) for k in (3, 1)]
-
-        def told(place: Column) -> Column:
-            body = F.ltrim(F.array_join(_from(lines, place + 1), "\n"), F.lit(" \t\n"))
-            s = starred(body)
-            return F.when((place > 0) & (s["stars"] == 1) & (strip(F.substring_index(s["rest"], "\n", 1)) == "") & F.contains(s["rest"], F.lit("\n")), strip(s["inner"]))
-
-        quoted = F.filter(F.transform(F.filter(lines, lambda s: _begins(s, ">")), lambda s: strip(F.substr(s, F.lit(2)))), lambda s: s != "")
-        bold = lambda s, label: F.contains(s, F.lit(f"**{label}:**"))
-        is_stats = lambda s: bold(s, DIFFICULTY) | bold(s, HP)
-        stats = F.flatten(F.transform(F.filter(quoted, is_stats), cells))
-        said = lambda label, kind: _last(F.transform(stats, lambda c: F.when(c["label"] == label, found(c["value"], kind))))
-        printed = said(THRESHOLDS, r"^((?:[0-9]+|None)(?:/(?:[0-9]+|None))?)")
-        pair = number_pair(printed)
+    is_stats = lambda s: _bold(s, DIFFICULTY) | _bold(s, HP)
+
+    def told(lines: Column, place: Column) -> Column:
+        body = F.ltrim(F.array_join(_from(lines, place + 1), "\n"), F.lit(" \t\n"))
+        good = lambda s: (place > 0) & (s["stars"] == 1) & (strip(F.substring_index(s["rest"], "\n", 1)) == "") & F.contains(s["rest"], F.lit("\n"))
+        return one(starred(body), lambda s: F.when(good(s), strip(s["inner"])))
+
+    def record(v: Column) -> Column:
+        lines = v["lines"]
+        tt = one(F.array_max(F.transform(v["tiers"], lambda m: m["stars"])), lambda most: tier_and_type(F.get(F.filter(v["tiers"], lambda m: m["stars"] == most), F.lit(0))["inner"], horde_types=horde_types))
+        under = [_at(lines, lambda s, k=k: _begins(s, "*" * k + TIER) & (starred(s)["stars"] == k)) for k in (3, 1)]
+        said = lambda label, kind: _last(F.transform(v["stats"], lambda c: F.when(c["label"] == label, found(c["value"], kind))))
         of = lambda label: number(said(label, r"^([0-9]+)"))
-        line_of = lambda test, label: _last(F.transform(F.filter(quoted, test), lambda s: F.nullif(strip(F.substring_index(s, f"**{label}:**", -1)), F.lit(""))))
-        atk = line_of(lambda s: ~is_stats(s) & bold(s, ATK), ATK)
-        experience = line_of(lambda s: ~is_stats(s) & ~bold(s, ATK) & bold(s, EXPERIENCE), EXPERIENCE)
-        heading = _at(lines, lambda s: F.upper(F.regexp_replace(s, r"\s", "")) == f"##{FEATURES}")
-        body = _until(_from(lines, heading + 1), lambda s: (strip(s) == RULE) | _begins(s, *FOOTERS))
-        source = source_of_footer(text)
-        title = F.filter(F.transform(F.filter(lines, lambda s: F.rlike(s, F.lit(r"^#\s"))), lambda s: strip(F.substr(s, F.lit(2)))), lambda s: s != "")
-        return F.struct(
-            F.get(title, F.lit(0)).alias("name"),
-            tt["tier"].alias("tier"),
-            tt["kind"].alias("adversary_type"),
-            F.coalesce(*[one(u, told) for u in under]).alias("description"),
-            _motives(lines, [">", "##"]).alias("motives_tactics"),
-            of(DIFFICULTY).alias("difficulty"),
-            pair["minor"].alias("threshold_minor"),
-            pair["major"].alias("threshold_major"),
-            F.when(pair["minor"].isNull() | pair["major"].isNull(), printed).alias("thresholds_raw"),
-            of(HP).alias("hp"),
-            of(STRESS).alias("stress"),
-            F.when(atk.isNotNull(), attack_of_parts(atk)).alias("attack"),
-            experience.alias("experience"),
-            F.when(heading > 0, _features(body, 3, leading=True)).otherwise(nothing(FEATURE_TYPE)).alias("features"),
-            source["name"].alias("source_name"),
-            source["page"].alias("source_page"),
-        )
-
-    return one(_lines(text), read)
+        line_of = lambda test, label: _last(F.transform(F.filter(v["quoted"], test), lambda s: F.nullif(strip(F.substring_index(s, f"**{label}:**", -1)), F.lit(""))))
+        atk = line_of(lambda s: ~is_stats(s) & _bold(s, ATK), ATK)
+        experience = line_of(lambda s: ~is_stats(s) & ~_bold(s, ATK) & _bold(s, EXPERIENCE), EXPERIENCE)
+        title = F.filter(F.transform(F.filter(lines, lambda s: F.startswith(s, F.lit("#")) & ~F.startswith(s, F.lit("##"))), lambda s: strip(F.substr(s, F.lit(2)))), lambda s: s != "")
+
+        def features(heading: Column) -> Column:
+            body = _until(_from(lines, heading + 1), lambda s: (F.trim(s) == RULE) | _begins(s, *FOOTERS))
+            return F.when(heading > 0, one(body, lambda b: _features(b, 3, leading=True))).otherwise(nothing(FEATURE_TYPE))
+
+        def filled(w: Column) -> Column:
+            pair = lambda p: F.struct(p["minor"].alias("minor"), p["major"].alias("major"), F.when(p["minor"].isNull() | p["major"].isNull(), w["printed"]).alias("raw"))
+            return _bound(
+                lambda x: F.struct(
+                    F.get(title, F.lit(0)).alias("name"),
+                    x["tt"]["tier"].alias("tier"),
+                    x["tt"]["kind"].alias("adversary_type"),
+                    F.coalesce(*[one(u, lambda place: told(lines, place)) for u in under]).alias("description"),
+                    _motives(lines, [">", "##"]).alias("motives_tactics"),
+                    of(DIFFICULTY).alias("difficulty"),
+                    x["th"]["minor"].alias("threshold_minor"),
+                    x["th"]["major"].alias("threshold_major"),
+                    x["th"]["raw"].alias("thresholds_raw"),
+                    of(HP).alias("hp"),
+                    of(STRESS).alias("stress"),
+                    F.when(w["atk"].isNotNull(), attack_of_parts(w["atk"])).alias("attack"),
+                    experience.alias("experience"),
+                    one(_at(lines, lambda s: F.startswith(s, F.lit("##")) & (F.upper(F.regexp_replace(s, r"\s", "")) == f"##{FEATURES}")), features).alias("features"),
+                    x["source"]["name"].alias("source_name"),
+                    x["source"]["page"].alias("source_page"),
+                ),
+                tt=tt, th=one(number_pair(w["printed"]), pair), source=source_of_footer(text),
+            )
+
+        return _bound(filled, atk=atk, printed=said(THRESHOLDS, r"^((?:[0-9]+|None)(?:/(?:[0-9]+|None))?)"))
+
+    def read(v: Column) -> Column:
+        marked = F.filter(F.transform(F.filter(v["lines"], lambda s: F.contains(s, F.lit(TIER))), lambda s: starred(strip(s))), lambda m: m.isNotNull())
+        tiers = F.filter(marked, lambda m: tier_and_type(m["inner"], horde_types=horde_types)["tier"].isNotNull())
+        return _bound(record, lines=v["lines"], tiers=tiers, quoted=v["quoted"], stats=F.flatten(F.transform(F.filter(v["quoted"], is_stats), cells)))
+
+    def quoted(lines: Column) -> Column:
+        said = F.filter(F.transform(F.filter(lines, lambda s: _begins(s, ">")), lambda s: strip(F.substr(s, F.lit(2)))), lambda s: s != "")
+        return _bound(read, lines=lines, quoted=said)
+
+    return one(_lines(text), quoted)
+
+
+def _bold(line: Column, label: str) -> Column:
+    return F.contains(line, F.lit(f"**{label}:**"))
 
 
 def collection_record(section: Column) -> Column:
     """The record of one section of a collection, which begins with its name."""
 
-    def read(lines: Column) -> Column:
-        alone = F.filter(F.transform(lines, lambda s: starred(strip(s))), lambda m: (m["stars"] == 1) & (strip(m["rest"]) == ""))
-        tt = tier_and_type(F.get(alone, F.lit(0))["inner"], any_words=True)
-        tier_at = _at(lines, lambda s: _begins(s, f"*{TIER}"))
-        motives_at = _at(lines, lambda s: _begins(s, "**Motives"))
-        bold = F.filter(F.transform(lines, lambda s: starred(strip(s))), lambda m: m["stars"] == 2)
-        listed = F.filter(F.transform(bold, lambda m: cells(m["inner"])), lambda c: F.transform(c, lambda x: x["label"]) == F.array(*[F.lit(x) for x in (DIFFICULTY, THRESHOLDS, HP, STRESS)]))
+    labels = F.array(*[F.lit(x) for x in (DIFFICULTY, THRESHOLDS, HP, STRESS)])
+
+    def record(v: Column) -> Column:
+        lines, bold = v["lines"], F.filter(v["marked"], lambda m: m["stars"] == 2)
+        alone = F.filter(v["marked"], lambda m: (m["stars"] == 1) & (F.trim(m["rest"]) == ""))
+        atk = _first(F.transform(bold, lambda m: F.when(_begins(m["inner"], f"{ATK}:"), strip(F.substr(m["inner"], F.lit(len(ATK) + 2))))))
+        stats = F.get(F.filter(F.transform(F.filter(bold, lambda m: _begins(m["inner"], DIFFICULTY)), lambda m: cells(m["inner"])), lambda c: F.transform(c, lambda x: x["label"]) == labels), F.lit(0))
+
+        def told(w: Column) -> Column:
+            text = strip(F.array_join(F.slice(lines, w["tier"] + 1, F.greatest(w["motives"] - w["tier"] - 1, F.lit(0))), "\n"))
+            return F.when((w["tier"] > 0) & (w["motives"] > w["tier"]), F.nullif(text, F.lit("")))
+
+        def features(heading: Column) -> Column:
+            body = _until(_from(lines, heading + 1), lambda s: _begins(s, RULE))
+            return F.when(heading > 0, one(body, lambda b: _features(b, 1, leading=False))).otherwise(nothing(FEATURE_TYPE))
+
         # Four numbers in a row count, or none of them.
-        values = F.transform(F.get(listed, F.lit(0)), lambda c: c["value"])
-        whole = F.forall(values, lambda v: F.rlike(v, F.lit(r"^[0-9]+(/[0-9]+)?$"))) & F.contains(F.get(values, F.lit(1)), F.lit("/"))
-        value = lambda i: F.when(whole, F.get(values, F.lit(i)))
-        pair = number_pair(value(1))
-        atk = F.get(F.filter(F.transform(bold, lambda m: F.when(_begins(m["inner"], f"{ATK}:"), strip(F.substr(m["inner"], F.lit(len(ATK) + 2))))), lambda a: a.isNotNull()), F.lit(0))
-        heading = _at(lines, lambda s: F.upper(strip(s)) == f"***{FEATURES}***")
-        body = _until(_from(lines, heading + 1), lambda s: _begins(s, RULE))
-        told = strip(F.array_join(F.slice(lines, tier_at + 1, F.greatest(motives_at - tier_at - 1, F.lit(0))), "\n"))
-        return F.struct(
-            strip(F.get(lines, F.lit(0))).alias("name"),
-            tt["tier"].alias("tier"),
-            tt["kind"].alias("adversary_type"),
-            F.when((tier_at > 0) & (motives_at > tier_at), F.nullif(told, F.lit(""))).alias("description"),
-            _motives(lines, [f"**{DIFFICULTY}"]).alias("motives_tactics"),
-            number(value(0)).alias("difficulty"),
-            pair["minor"].alias("threshold_minor"),
-            pair["major"].alias("threshold_major"),
-            F.lit(None).cast("string").alias("thresholds_raw"),
-            number(value(2)).alias("hp"),
-            number(value(3)).alias("stress"),
-            F.when(atk.isNotNull(), attack_of_parts(atk)).cast(ATTACK).alias("attack"),
-            _first(F.transform(lines, lambda s: F.nullif(_value(s, [EXPERIENCE]), F.lit("")))).alias("experience"),
-            F.when(heading > 0, _features(body, 1, leading=False)).otherwise(nothing(FEATURE_TYPE)).alias("features"),
-            F.lit(None).cast("string").alias("source_name"),
-            F.lit(None).cast("int").alias("source_page"),
-        )
+        whole = lambda c: F.when(F.forall(c, lambda x: F.rlike(x["value"], F.lit(r"^[0-9]+(/[0-9]+)?$"))) & F.contains(F.get(c, F.lit(1))["value"], F.lit("/")), F.transform(c, lambda x: x["value"]))
+
+        def filled(w: Column) -> Column:
+            return F.struct(
+                strip(F.get(lines, F.lit(0))).alias("name"),
+                w["tt"]["tier"].alias("tier"),
+                w["tt"]["kind"].alias("adversary_type"),
+                _bound(told, tier=_at(lines, lambda s: _begins(s, f"*{TIER}")), motives=_at(lines, lambda s: _begins(s, "**Motives"))).alias("description"),
+                _motives(lines, [f"**{DIFFICULTY}"]).alias("motives_tactics"),
+                number(F.get(w["values"], F.lit(0))).alias("difficulty"),
+                w["th"]["minor"].alias("threshold_minor"),
+                w["th"]["major"].alias("threshold_major"),
+                F.lit(None).cast("string").alias("thresholds_raw"),
+                number(F.get(w["values"], F.lit(2))).alias("hp"),
+                number(F.get(w["values"], F.lit(3))).alias("stress"),
+                F.when(w["atk"].isNotNull(), attack_of_parts(w["atk"])).cast(ATTACK).alias("attack"),
+                _first(F.transform(lines, lambda s: F.nullif(_value(s, [EXPERIENCE]), F.lit("")))).alias("experience"),
+                one(_at(lines, lambda s: F.startswith(s, F.lit("***")) & (F.upper(strip(s)) == f"***{FEATURES}***")), features).alias("features"),
+                F.lit(None).cast("string").alias("source_name"),
+                F.lit(None).cast("int").alias("source_page"),
+            )
+
+        values = lambda w: _bound(filled, values=w["values"], th=number_pair(F.get(w["values"], F.lit(1))), tt=tier_and_type(F.get(alone, F.lit(0))["inner"], any_words=True), atk=atk)
+        return _bound(values, values=one(stats, whole))
+
+    def read(lines: Column) -> Column:
+        marked = F.filter(F.transform(F.filter(lines, lambda s: F.contains(s, F.lit("*"))), lambda s: starred(strip(s))), lambda m: m.isNotNull())
+        return _bound(record, lines=lines, marked=marked)
 
     return one(_lines(section), read)
 
