@@ -67,15 +67,27 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def level_of(hash_: Column) -> Column:
+    """How small a 64-bit hash is: eight levels for each halving, so few levels tell small samples from large ones."""
+    part = (F.shiftrightunsigned(hash_, 11).cast("double") + 0.5) / F.lit(2.0**53)
+    return F.floor(-8 * F.log2(part)).cast("int")
+
+
 def sample_ids(df: DataFrame, key: Column, most: int) -> DataFrame:
-    """The rows of ``df`` whose hashed key is among the ``most`` smallest: a reproducible sample of bounded size.
+    """The rows of ``df`` whose hashed key is among the smallest: a reproducible sample of nearly ``most`` keys at most.
 
-    Only hashes travel; the rows are then filtered against one number. Rows of equal keys stand or fall together,
-    so hashes are made distinct first.
+    Only counts by level of the hash are put together, some hundred rows whatever the table is. Rows of equal keys
+    stand or fall together, so hashes are made distinct first.
     """
     rank = F.xxhash64(key, F.lit(20260101))
-    top = df.select(rank.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return df.where(rank <= F.lit(top if top is not None else 0))
+    counts = df.select(rank.alias("h")).distinct().groupBy(level_of(F.col("h")).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, low = 0, 1 << 20
+    for level, n in sorted(((r.level, r.n) for r in counts), reverse=True):
+        total += n
+        if total > most:
+            break
+        low = level
+    return df.where(level_of(rank) >= low)
 
 
 #: Rows of a table with one row a key up to which it is broadcast, and the share of all rows that makes a key hot.

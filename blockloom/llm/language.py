@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from blockloom.llm.common import cut, let, spread_join, texts_of
+from blockloom.llm.common import cut, let, level_of, spread_join, texts_of
 
 UNKNOWN = "und"
 BITS = 16
@@ -57,8 +57,8 @@ def declared_in(page: str | None) -> str | None:
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages, in order, and the log probability of each trigram bucket in each, then in ``und``.
 
-    Trained on at most ``most`` documents of each language, those with the smallest hashed keys (rows of equal keys
-    stand or fall together). Every language declared is a class, however many there are; each takes 256 KB.
+    Trained on nearly ``most`` documents of each language at most, those with the smallest hashes of key and text
+    (repeated rows count once). Every language declared is a class, however many there are; each takes 256 KB.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,12 +70,13 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             there = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array(n[there], pa.int64())], ["lang", "bucket", "n"])
 
-    rank = F.xxhash64(F.col(key), F.lit(20260101))
+    rank = F.xxhash64(F.col(key), F.col(text), F.lit(20260101))
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.lower(lang).alias("lang"), F.col(text).alias("t"), rank.alias("h"))
-    # Only the bound of each language's hashes is worked out over all rows; one row a language is broadcast.
-    first = Window.partitionBy("lang").orderBy("h")
-    bound = known.select("lang", "h").distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).groupBy("lang").agg(F.max("h").alias("_top"))
-    chosen = known.join(F.broadcast(cut(bound)), "lang").where(F.col("h") <= F.col("_top")).select("lang", "t")
+    # Over all rows only counts by language and level of the hash are put together; one row a language is broadcast.
+    levels = known.select("lang", "h").distinct().groupBy("lang", level_of(F.col("h")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("lang").orderBy(F.desc("level"))
+    bound = levels.withColumn("_n", F.sum("n").over(upto)).where(F.col("_n") <= most).groupBy("lang").agg(F.min("level").alias("_low"))
+    chosen = known.join(F.broadcast(cut(bound)), "lang").where(level_of(F.col("h")) >= F.col("_low")).dropDuplicates(["lang", "h"]).select("lang", "t")
     rows = chosen.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
     counts = np.zeros((1 << BITS, len(names) + 1))
