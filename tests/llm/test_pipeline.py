@@ -6,6 +6,7 @@ from blockloom.llm import decontaminate as D
 from blockloom.llm import near_dup as N
 from blockloom.llm import queries
 from blockloom.llm.common import table
+from tests.llm.conftest import ODD
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_near_dup import classes
 
@@ -37,6 +38,18 @@ def test_stages_follow_each_other(spark, sf):
         before = after
 
 
+@pytest.mark.parametrize(("name", "stage"), C.STAGES)
+def test_stages_take_odd_rows_and_empty_tables(spark, sf, docs_of, name, stage):
+    """Nulls, empty and long texts, repeated rows and columns with names that the operators use themselves."""
+    rows = docs_of([*ODD, (4, "alpha beta", None)])
+    extra = [] if name != C.STAGES[-1][0] else ["shard", "slot"]
+    got = stage(spark, rows, sf)
+    assert got.columns == [*C.COLUMNS, *extra]
+    n = len(got.collect())
+    assert n == {"near_duplicates": 5, "decontamination": 8, "shards": 8}.get(name, n) and n <= 16
+    assert stage(spark, docs_of([]), sf).collect() == []
+
+
 def test_repeated_rows_leave_one(spark, docs_of):
     rows = docs_of([(1, "same words here and there", "a"), (1, "same words here and there", "a"), (2, "same words here and there", "a"), (3, None, "a"), (3, None, "a"), (None, "other text of some length", "b")])
     got = C.one_of_each_group(spark, rows, "").collect()
