@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,20 +82,29 @@ def without_repeated_half(text: Column, window: int = 100) -> Column:
 # --- names ---------------------------------------------------------------------------------------------------------
 
 
-def _decomposed(names: pd.Series) -> pd.Series:
-    def plain(name):
-        return None if name is None else "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+@cache
+def _plain_letters() -> str:
+    """Characters that stand for ASCII letters or digits once they are decomposed, with these; and marks, with nothing.
 
-    return names.map(plain)
+    Worked out from the Unicode tables; a text of pairs, as ``str_to_map`` reads it.
+    """
+    pairs = []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        plain = "".join(p for p in unicodedata.normalize("NFKD", c) if not unicodedata.combining(p)) if not 0xD800 <= ord(c) < 0xE000 else c
+        if plain != c and (plain == "" or re.search("[A-Za-z0-9]", plain)):
+            pairs.append(f"{c}\x02{plain}")
+    return "\x01".join(pairs)
 
 
 def safe_filename(name: Column) -> Column:
     """A stem of ASCII letters, digits and underscores: accents dropped, each word capitalised, 120 characters at most.
 
-    Only compatibility decomposition has no SQL function; names that are ASCII already do not go to Python.
+    Characters outside ASCII are looked up one by one, so nothing leaves the JVM.
     """
-    decompose = F.pandas_udf(_decomposed, "string")
-    plain = F.when(has(name, r"[^\x00-\x7F]"), decompose(name)).otherwise(name)
+    known = F.str_to_map(F.lit(_plain_letters()), F.lit("\x01"), F.lit("\x02"))
+    characters = F.regexp_extract_all(name, F.lit("(?s)(.)"), F.lit(1))
+    ascii_ = F.array_join(F.transform(characters, lambda c: F.when(F.octet_length(c) > 1, F.coalesce(F.try_element_at(known, c), c)).otherwise(c)), "")
+    plain = F.when(has(name, r"[^\x00-\x7F]"), ascii_).otherwise(name)
     words = F.filter(F.split(F.regexp_replace(F.translate(plain, V.APOSTROPHES, ""), "[^A-Za-z0-9]+", "_"), "_"), lambda w: w != "")
     titled = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.lower(F.substr(w, F.lit(2))))), "_")
     capped = F.regexp_replace(F.substr(titled, F.lit(1), F.lit(V.FILE_LENGTH)), "_+$", "")

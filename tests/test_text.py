@@ -49,3 +49,22 @@ def test_yaml_and_escapes(spark):
 def test_repeated_half(spark):
     a = "".join(chr(97 + i % 26) + str(i) for i in range(120))
     assert run(spark, T.without_repeated_half, a + a, "short") == [a, "short"]
+
+
+def test_names_of_every_script_decompose_as_unicode_says(spark):
+    import random
+    import re
+    import unicodedata
+
+    rng = random.Random(4)
+    pool = [c for c in map(chr, [*range(0x20, 0x3000), *range(0xF900, 0xFFF0), *range(0x1D400, 0x1D800)]) if unicodedata.category(c) not in ("Cn", "Cs") and c not in T.V.APOSTROPHES]
+    names = ["".join(rng.choice(pool) for _ in range(12)) for _ in range(400)] + ["Å\u0301ngström ﬁre ½", "e\u0301clair"]
+
+    def plain(name):
+        ascii_ = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c) and c not in T.V.APOSTROPHES)
+        return "_".join(w[0].upper() + w[1:].lower() for w in re.sub("[^A-Za-z0-9]+", "_", ascii_).split("_") if w) or "unknown"
+
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", T.safe_filename(F.col("name")).alias("stem"))
+    assert "Python" not in rows._jdf.queryExecution().toString()
+    wrong = [(r.name, r.stem, plain(r.name)) for r in rows.collect() if r.stem != plain(r.name)]
+    assert not wrong, wrong[:5]
