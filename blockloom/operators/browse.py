@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions import vocabulary as V
+from blockloom.functions.text import html_escape
+from blockloom.operators.ranking import ranked
 
 _COMPARE = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b}
 
@@ -77,7 +79,12 @@ def sorted_rows(rows: DataFrame, column: str, descending: bool = False, numeric:
     numeric = column in numeric_columns(rows.select(column)) if numeric is None else numeric
     key = _numeric(column) if numeric else F.lower(F.nullif(_shown(column), F.lit("")))
     order = key.desc_nulls_last() if descending else key.asc_nulls_last()
-    return rows.withColumn("rn", F.row_number().over(Window.orderBy(order, *(tie or []))))
+    return ranked(rows, [order, *(tie or [])])
+
+
+def next_sort(current: tuple[str, bool] | None, column: str) -> tuple[str, bool]:
+    """``(column, descending)`` once a column is chosen: the same one again turns round, another begins ascending."""
+    return column, bool(current) and current[0] == column and not current[1]
 
 
 def options(rows: DataFrame) -> DataFrame:
@@ -100,3 +107,9 @@ def embedded_json(rows: DataFrame) -> DataFrame:
     """``json`` of each row, nulls as empty texts, fit to stand in a script element."""
     filled = [F.coalesce(F.col(c).cast("variant"), F.lit("").cast("variant")).alias(c) for c in rows.columns]
     return rows.select(F.replace(F.to_json(F.struct(*filled)), F.lit("</"), F.lit("<\\/")).alias("json"))
+
+
+def table_cells(rows: DataFrame) -> DataFrame:
+    """``html`` of each row: the shown columns as the cells of a table row, escaped, empty ones for nulls."""
+    cells = [F.concat(F.lit("<td>"), html_escape(_shown(c)), F.lit("</td>")) for c in shown_columns(rows)]
+    return rows.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))

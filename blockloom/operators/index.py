@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.text import thresholds_text
+from blockloom.operators.ranking import ranked
 
 
 def tier_name(tier: Column) -> Column:
@@ -26,12 +27,12 @@ def by_type(records: DataFrame) -> DataFrame:
 
 def tier_order(records: DataFrame, tie: list[str]) -> DataFrame:
     """Records with ``rn``, their place in their tier by name."""
-    return records.withColumn("tier", F.coalesce("tier", F.lit(0))).withColumn("rn", F.row_number().over(Window.partitionBy("tier").orderBy(F.coalesce("name", F.lit("")), *tie)))
+    return ranked(records.withColumn("tier", F.coalesce("tier", F.lit(0))), [F.coalesce("name", F.lit("")), *tie], within=("tier",))
 
 
 def type_order(records: DataFrame, tie: list[str]) -> DataFrame:
     """Records with ``rn``, their place in their type by tier and name."""
-    return records.withColumn("adversary_type", kind_key()).withColumn("rn", F.row_number().over(Window.partitionBy("adversary_type").orderBy(F.coalesce("tier", F.lit(0)), F.coalesce("name", F.lit("")), *tie)))
+    return ranked(records.withColumn("adversary_type", kind_key()), [F.coalesce("tier", F.lit(0)), F.coalesce("name", F.lit("")), *tie], within=("adversary_type",))
 
 
 def _dash(value: Column) -> Column:
@@ -88,7 +89,8 @@ def type_index(adversaries: DataFrame, title: str = "Adversaries by Type") -> Da
 def listing(records: DataFrame, order: list[str]) -> DataFrame:
     """``rn, name, tier, type, issue_count`` as the console lists them."""
     tier = F.concat(F.lit("Tier "), F.when(F.coalesce("tier", F.lit(0)) != 0, F.col("tier").cast("string")).otherwise("?"))
-    return records.select(F.row_number().over(Window.orderBy(*order)).alias("rn"), "name", tier.alias("tier"), F.coalesce(F.nullif("adversary_type", F.lit("")), F.lit("Unknown")).alias("type"), F.size("issues").alias("issue_count"))
+    read = dict.fromkeys([*order, "name", "tier", "adversary_type", "issues"])
+    return ranked(records.select(*read), order).select("rn", "name", tier.alias("tier"), F.coalesce(F.nullif("adversary_type", F.lit("")), F.lit("Unknown")).alias("type"), F.size("issues").alias("issue_count"))
 
 
 def tier_type_cube(records: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions import vocabulary as V
 from blockloom.functions.regex import has
+from blockloom.operators.ranking import ranked
 
 
 def _messages(*checks: tuple[Column, str]) -> Column:
@@ -62,7 +63,8 @@ def validation_report(records: DataFrame, order: list[str]) -> DataFrame:
     failing = records.where(F.size("issues") > 0)
     head = F.concat(F.lit("## "), F.coalesce(F.nullif("name", F.lit("")), F.lit("UNNAMED")))
     lines = F.concat(F.array(head), F.transform("issues", lambda m: F.concat(F.lit("- "), m)), F.array(F.lit("")))
-    return failing.select(F.row_number().over(Window.orderBy(*order)).alias("rn"), F.array_join(lines, "\n").alias("entry"))
+    read = dict.fromkeys([*order, "name", "issues"])
+    return ranked(failing.select(*read), order).select("rn", F.array_join(lines, "\n").alias("entry"))
 
 
 def report_summary(records: DataFrame) -> DataFrame:

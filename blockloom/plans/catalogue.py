@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import text as T
 from blockloom.functions import vocabulary as V
-from blockloom.operators import blocks, browse, catalog, index, layout, render, validate
+from blockloom.operators import blocks, browse, catalog, index, layout, ranking, render, validate
 from blockloom.operators.markdown import parse_markdown
 from blockloom.operators.normalize import normalized
 from blockloom.operators.records import Parsed, parse_lines
@@ -51,13 +51,14 @@ def _parsed(spark: SparkSession, sf_dir: str, head: str = S.HEAD) -> Parsed:
 
 @query("SELECT tier, row_number() OVER (PARTITION BY tier ORDER BY name) AS rn, name, n_features FROM good")
 def q_tier_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.tier_order(_parsed(spark, sf_dir).adversaries, ["page", "block"])
-    return rows.select("tier", "rn", "name", F.size("features").alias("n_features"))
+    rows = _parsed(spark, sf_dir).adversaries.select("page", "block", "tier", "name", F.size("features").alias("n_features"))
+    return index.tier_order(rows, ["page", "block"]).select("tier", "rn", "name", "n_features")
 
 
 @query("SELECT type AS adversary_type, row_number() OVER (PARTITION BY type ORDER BY tier, name) AS rn, tier, name FROM good")
 def q_type_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.type_order(_parsed(spark, sf_dir).adversaries, ["page", "block"]).select("adversary_type", "rn", "tier", "name")
+    rows = _parsed(spark, sf_dir).adversaries.select("page", "block", "adversary_type", "tier", "name")
+    return index.type_order(rows, ["page", "block"]).select("adversary_type", "rn", "tier", "name")
 
 
 @query("""SELECT k AS page, name, tier, type AS adversary_type, 'Item seen in ' || lower(name) AS description, 'Wait, watch' AS motives, difficulty, minor AS threshold_minor, major AS threshold_major,
@@ -155,6 +156,18 @@ def q_normalize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.normalize_summary(normalized(settled(_readable_files(spark, sf_dir))))
 
 
+@query("SELECT k AS page, k % 23 <> 0 AND k % 2 = 1 AND k % 3 = 0 AS source_added, CASE WHEN k % 2 = 0 THEN 'Hope and Fear' WHEN k % 23 <> 0 AND k % 3 = 0 THEN 'Atlas' END AS source_name FROM synth")
+def q_sources_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record read back from its page; those without a source get one whose pages name them."""
+    named = S.records(spark, sf_dir).withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.lit("STRAY MOTH")))
+    files = settled(named.select(F.concat(F.lit("notes/"), F.col("page").cast("string"), F.lit(".md")).alias("path"), render.readable_adversary().alias("text")))
+    pages = S.synth(spark, sf_dir).select(F.lit(1).alias("pos"), F.lit("Atlas").alias("source"), F.col("k").alias("page"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("The "), F.lower("name"), F.lit(", seen."))).otherwise("None seen.").alias("text"))
+    log = normalized(files, pages)
+    after = parse_markdown(log.select("path", F.coalesce("new_text", F.lit("")).alias("text")).where("text <> ''").unionByName(log.where("new_text IS NULL").select("path").join(files, "path")))
+    k = lambda: F.regexp_extract("path", r"(\d+)\.md", 1).cast("int")
+    return log.select(k().alias("page"), "source_added").join(after.select(k().alias("page"), F.nullif("source_name", F.lit("")).alias("source_name")), "page")
+
+
 # --- layout -----------------------------------------------------------------------------------------------------------
 
 _WORDS = """
@@ -231,6 +244,40 @@ def q_source_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", T.source_tag(F.col("source")).alias("tag"))
 
 
+@query("SELECT CAST(p_partkey AS INT) AS k, CASE p_partkey % 4 WHEN 0 THEN 'Martial Adversaries' WHEN 1 THEN 'Hope and Fear' WHEN 2 THEN 'Set Adversaries: Environments' ELSE p_name || ' ' || CAST(p_partkey AS STRING) END AS source FROM part")
+def q_source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    file = F.when(k % 4 == 0, F.concat(F.lit("martial-Adversaries_"), n, F.lit(".pdf"))).when(k % 4 == 1, F.concat(F.lit("HF-"), n, F.lit(".md"))).when(k % 4 == 2, F.lit("Set-Adversaries-Environments.pdf")).otherwise(F.concat(F.translate("p_name", " ", "_"), F.lit("--"), n, F.lit(".v.txt")))
+    return _table(spark, sf_dir, "part").select(k.cast("int").alias("k"), F.regexp_replace(T.source_from_filename(file), r"\.v$", "").alias("source"))
+
+
+@query("""SELECT CAST(p_partkey AS INT) AS k, 3 + p_partkey % 5 AS minor, p_size AS major, p_size AS "first", CASE WHEN p_partkey % 2 = 0 THEN '2d6 phy or mag' ELSE '1d4 mag' END AS damage, 'Horde' AS base,
+   'Tier ' || CAST(p_partkey % 4 + 1 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' Solo' END AS tier_line, p_partkey % 3 = 0 AS truthy, 'Low ' || upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) AS title, '&lt;b a=&quot;' || p_name || '&quot;&gt; &amp;amp;' AS html FROM part""")
+def q_small_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    pair = T.number_pair(F.concat(F.lit("at "), (3 + k % 5).cast("string"), F.lit(" / "), size))
+    return _table(spark, sf_dir, "part").select(
+        k.cast("int").alias("k"), pair["minor"].cast("long").alias("minor"), pair["major"].cast("long").alias("major"), T.first_number(F.concat(F.lit("HP: "), size, F.lit(" of 99"))).cast("long").alias("first"),
+        T.damage_type(F.when(k % 2 == 0, "  2d6  Physical or magical ").otherwise("1d4\tMAGIC")).alias("damage"), T.base_type(F.concat(F.lit("Horde ("), size, F.lit("/HP)"))).alias("base"),
+        T.tier_line((k % 4 + 1).cast("int"), F.when(k % 3 == 0, "").otherwise("Solo")).alias("tier_line"), T.truthy(F.when(k % 6 == 0, " Yes ").when(k % 3 == 0, "1").when(k % 3 == 1, "off")).alias("truthy"),
+        T.title_of_column(F.concat(F.lit("low_"), F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("title"), T.html_escape(F.concat(F.lit('<b a="'), F.col("p_name"), F.lit('"> &amp;'))).alias("html"),
+    )
+
+
+@query(r"SELECT doc_id, md5(CASE WHEN length(text) > 100 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE text || text END) AS digest FROM documents")
+def q_repeated_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(T.without_repeated_half(F.concat("text", "text"))).alias("digest"))
+
+
+@query("SELECT CAST(p_partkey AS INT) AS page, 0 AS \"row\", 'Part ' || p_name || ' undertow' AS text FROM part UNION ALL SELECT CAST(p_partkey AS INT), 4, 'end-' FROM part")
+def q_cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word cut at a line end, over a picture's line and a page number that are left out."""
+    line = lambda i, text, style: F.struct(F.lit(i).alias("row"), text.alias("text"), F.lit(style).alias("style"))
+    made = F.array(line(0, F.concat(F.lit("Part "), F.col("p_name"), F.lit(" under-")), "BODY"), line(1, F.lit("x art"), "ART"), line(2, F.col("p_size").cast("string"), "PAGE_NUMBER"), line(3, F.lit("tow"), "BODY"), line(4, F.lit("end-"), "BODY"))
+    rows = _table(spark, sf_dir, "part").select(F.lit("s").alias("source"), F.col("p_partkey").cast("int").alias("page"), F.inline(made))
+    return layout.cleaned_lines(rows, ["source", "page"], ["row"]).select("page", "row", "text")
+
+
 # --- links and attribution ----------------------------------------------------------------------------------------------
 
 
@@ -273,7 +320,7 @@ SELECT name, arg_min(source, (pos, doc_id)) AS source, arg_min(doc_id, (pos, doc
 def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(F.replace("text", F.lit("ß"), F.lit("ss")), " "), 1, 4), " ").alias("name")).distinct()
     docs = _table(spark, sf_dir, "documents")
-    order = docs.select("source").distinct().withColumn("pos", F.row_number().over(index.Window.orderBy(F.col("source").asc_nulls_last())))
+    order = ranking.ranked(docs.select("source").distinct(), [F.col("source").asc_nulls_last()], name="pos")
     pages = docs.join(order.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("pos", "source", F.col("doc_id").alias("page"), F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"))
     return catalog.attribute(names, pages)
 
@@ -323,6 +370,32 @@ def q_complete_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.records(spark, sf_dir).agg(F.count_if(validate.complete_adversary()).alias("complete"))
 
 
+_PLACE_GAPS = """
+gaps AS (SELECT k, CASE WHEN k % 7 = 0 THEN '' ELSE name END AS name, CASE WHEN k % 5 = 1 THEN NULL ELSE tier END AS tier, CASE WHEN k % 6 = 2 THEN NULL ELSE kind END AS environment_type, CASE WHEN k % 8 = 3 THEN NULL ELSE difficulty END AS difficulty, CASE WHEN k % 9 = 4 THEN '' ELSE 'Delay' END AS impulses, k % 10 = 5 AS bare FROM places)
+"""
+
+
+def _gap_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places with values missing, as the SQL's ``gaps``."""
+    miss = lambda value, n, r, none=None: F.when(F.col("k") % n == r, F.lit(none)).otherwise(value)
+    feature = F.array(F.struct(F.lit("Gusts").alias("name")))
+    return S.places(spark, sf_dir).select(
+        F.col("k").alias("page"), miss(F.col("name"), 7, 0, "").alias("name"), miss(F.col("tier"), 5, 1).alias("tier"), miss(F.col("kind"), 6, 2).alias("environment_type"), miss(F.col("difficulty"), 8, 3).alias("difficulty"),
+        miss(F.lit("Delay"), 9, 4, "").alias("impulses"), F.when(F.col("k") % 10 == 5, F.slice(feature, 1, 0)).otherwise(feature).alias("features"),
+    )
+
+
+@query(f"""WITH {_PLACE_GAPS} SELECT k AS page, array_to_string(list_filter([CASE WHEN name = '' THEN 'Missing name' END, CASE WHEN tier IS NULL THEN 'Missing tier' END, CASE WHEN environment_type IS NULL THEN 'Missing environment type' END,
+   CASE WHEN difficulty IS NULL THEN 'Missing Difficulty' END, CASE WHEN impulses = '' THEN 'Missing Impulses' END, CASE WHEN bare THEN 'No features found' END], lambda x: x IS NOT NULL), ';') AS issues FROM gaps""")
+def q_place_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gap_places(spark, sf_dir).select("page", F.array_join(validate.place_issues(), ";").alias("issues"))
+
+
+@query(f"WITH {_PLACE_GAPS} SELECT count(*) FILTER (name <> '' AND tier IS NOT NULL AND environment_type IS NOT NULL AND difficulty IS NOT NULL AND impulses <> '') AS complete FROM gaps")
+def q_complete_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gap_places(spark, sf_dir).agg(F.count_if(validate.complete_place()).alias("complete"))
+
+
 @query(f"WITH {_RECORDS} SELECT row_number() OVER (ORDER BY k) AS rn, name, 'Tier ' || coalesce(CAST(tier AS STRING), '?') AS tier, coalesce(type, 'Unknown') AS type, len(issues)::INT AS issue_count FROM checked")
 def q_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.listing(_checked(spark, sf_dir), ["page"])
@@ -397,7 +470,14 @@ def q_numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in browse.numeric_columns(S.browse_rows(spark, sf_dir))], "column string")
 
 
-@query()
+@query("SELECT 'shown' AS list, unnest(range(11)) AS pos, unnest(['k', 'name', 'tier', 'type', 'difficulty', 'atk_bonus', 'hp', 'stress', 'low_threshold', 'high_threshold', 'damage_dice']) AS \"column\"")
+def q_table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.browse_rows(spark, sf_dir)
+    return spark.createDataFrame([("shown", i, c) for i, c in enumerate(browse.shown_columns(rows))], 'list string, pos long, `column` string')
+
+
+@query(f"""WITH {_BROWSE} SELECT '{{"k":' || CAST(k AS STRING) || ',"name":"' || name || '","tier":' || CAST(tier AS STRING) || ',"type":"' || replace(coalesce(type, ''), '</', '<\\/') || '","difficulty":' || coalesce(CAST(difficulty AS STRING), '""') || ',"atk_bonus":' || coalesce(CAST(atk_bonus AS STRING), '""')
+   || ',"hp":' || CAST(hp AS STRING) || ',"stress":' || CAST(stress AS STRING) || ',"low_threshold":' || coalesce(CAST(low_threshold AS STRING), '""') || ',"high_threshold":' || coalesce(CAST(high_threshold AS STRING), '""') || ',"damage_dice":"' || damage_dice || '","battle_points":' || CAST(k % 3 AS STRING) || '}}' AS json FROM browse""")
 def q_embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.embedded_json(S.browse_rows(spark, sf_dir))
 
@@ -421,7 +501,9 @@ def q_json_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.library(p.adversaries, p.environments).select("page", "json")
 
 
-@query()
+@query("""SELECT k AS page, '{"name":"' || name || '","tier":' || CAST(tier AS STRING) || ',"type":"' || kind || '","desc":"A windy stretch of road.","difficulty":' || CASE WHEN difficulty LIKE 'S%' THEN '"' || replace(difficulty, '"', '\\"') || '"' ELSE difficulty END
+   || ',"impulses":"Delay, divert"' || coalesce(',"potential_adversaries":"' || potential || '"', '') || ',"source":"atlas-' || CAST(k % 16 AS STRING) || '","features":[{"name":"Gusts","type":"Passive","desc":"The wind turns."'
+   || CASE n_questions WHEN 0 THEN '' WHEN 1 THEN ',"questions":["What does the wind carry?"]' ELSE ',"questions":["What does the wind carry?","Who hears it?"]' END || '},{"name":"Slide","type":"Action","desc":"Stones fall."}]}' AS json FROM places""")
 def q_json_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = parse_lines(S.styled_places(spark, sf_dir)).environments
     return e.select("page", render.library_place().alias("json"))
@@ -456,7 +538,21 @@ def q_readable_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).adversaries.select("page", render.readable_adversary().alias("text"))
 
 
-@query()
+_PLACE_HEAD = """'name: "Supplier ' || substr(name, 10) || '"' || chr(10) || 'tier: ' || CAST(tier AS STRING) || chr(10) || 'type: "' || kind || '"' || chr(10)"""
+_PLACE_DIFFICULTY = """'difficulty: ' || CASE WHEN difficulty LIKE 'S%' THEN '"' || replace(difficulty, '"', '\\"') || '"' ELSE difficulty END || chr(10)"""
+_PLACE_DRIVES = """'impulses: "Delay, divert"' || chr(10) || coalesce('potential_adversaries: "' || potential || '"' || chr(10), '')"""
+_PLACE_DESC = """'desc: "A windy stretch of road."' || chr(10)"""
+
+
+@query(f"""SELECT k AS page, '---' || chr(10) || {_PLACE_HEAD} || {_PLACE_DIFFICULTY} || {_PLACE_DRIVES} || {_PLACE_DESC} || 'source: "atlas-' || CAST(k % 16 AS STRING) || '"' || chr(10) || 'feature_count: 2' || chr(10) || '---' || chr(10)
+   || '# Supplier ' || substr(name, 10) || chr(10) || chr(10) || '```{V.FENCE}' || chr(10) || {_PLACE_HEAD} || {_PLACE_DESC} || {_PLACE_DIFFICULTY} || {_PLACE_DRIVES} || 'source: "atlas-' || CAST(k % 16 AS STRING) || ', p. ' || CAST(k AS STRING) || '"' || chr(10)
+   || 'features:' || chr(10) || '  - name: "Gusts"' || chr(10) || '    type: "Passive"' || chr(10) || '    desc: "The wind turns."' || chr(10)
+   || CASE WHEN n_questions > 0 THEN '    questions:' || chr(10) || '      - "What does the wind carry?"' || chr(10) ELSE '' END || CASE WHEN n_questions > 1 THEN '      - "Who hears it?"' || chr(10) ELSE '' END
+   || '  - name: "Slide"' || chr(10) || '    type: "Action"' || chr(10) || '    desc: "Stones fall."' || chr(10) || '```' || chr(10) AS bank,
+   '# ' || name || chr(10) || chr(10) || '***Tier ' || CAST(tier AS STRING) || ' ' || kind || '***  ' || chr(10) || '*A windy stretch of road.*  ' || chr(10) || '**Impulses:** Delay, divert' || chr(10) || chr(10) || '> **Difficulty:** ' || difficulty || '  ' || chr(10)
+   || coalesce('> **Potential Adversaries:** ' || potential || chr(10), '') || chr(10) || '## FEATURES' || chr(10) || chr(10) || '***Gusts - Passive:*** The wind turns.' || chr(10) || chr(10)
+   || CASE n_questions WHEN 0 THEN '' WHEN 1 THEN '*What does the wind carry?*' || chr(10) || chr(10) ELSE '*What does the wind carry? Who hears it?*' || chr(10) || chr(10) END
+   || '***Slide - Action:*** Stones fall.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*Source: atlas-' || CAST(k % 16 AS STRING) || ', p. ' || CAST(k AS STRING) || '*' || chr(10) AS readable FROM places""")
 def q_place_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = parse_lines(S.styled_places(spark, sf_dir)).environments
     return e.select("page", F.concat(render.place_properties(), render.bank_file(render.place_yaml())).alias("bank"), render.readable_place().alias("readable"))

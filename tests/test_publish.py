@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from blockloom.operators import browse, catalog, index, render, validate
 from blockloom.operators.markdown import parse_markdown
 from blockloom.operators.normalize import normalized
+from blockloom.operators.ranking import ranked
 from blockloom.sources import readers, sinks
 
 RECORD = """source string, page int, block int, name string, tier int, adversary_type string, description string, motives_tactics string, difficulty int, threshold_minor int, threshold_major int, thresholds_raw string,
@@ -131,3 +132,20 @@ def test_reading_pages_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.name, r.tier, r.hp) for r in spark.table("moths").collect()] == [("MOTH", 1, 3)]
+
+
+def test_next_sort():
+    assert browse.next_sort(None, "hp") == ("hp", False) and browse.next_sort(("hp", False), "hp") == ("hp", True)
+    assert browse.next_sort(("hp", True), "hp") == ("hp", False) and browse.next_sort(("hp", True), "tier") == ("tier", False)
+
+
+def test_ranked(spark):
+    rows = [(i, "ab"[i % 7 == 0], (i * 37) % 101) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, g string, v int").repartition(7)
+    got = {r.i: r.rn for r in ranked(df, ["v", "i"], within=("g",)).collect()}
+    for g in "ab":
+        wanted = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+        assert [got[r[0]] for r in wanted] == list(range(1, len(wanted) + 1))
+    got = {r.i: r.place for r in ranked(df, ["v", "i"], name="place").collect()}
+    assert [got[r[0]] for r in sorted(rows, key=lambda r: (r[2], r[0]))] == list(range(1, 501))
+    assert ranked(df.limit(0), ["v"]).count() == 0
