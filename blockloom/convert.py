@@ -1,20 +1,25 @@
 """Whole conversions: a source file to record files, index and library; a folder of Markdown normalised in place.
 
-    python -m blockloom.convert convert SOURCE -o FOLDER [--list] [--report] [--readable] [--properties] [--index] [--library FILE] [--overwrite]
-    python -m blockloom.convert normalize FOLDER [--backup] [--dry-run]
+    python -m blockloom.convert convert SOURCE -o FOLDER [--list] [--report] [--readable] [--properties] [--index] [--library FILE] [--response FILE] [--overwrite]
+    python -m blockloom.convert normalize FOLDER [--sources TEXTS] [--backup] [--dry-run]
+    python -m blockloom.convert table SHEET -o FILE [--sort COLUMN] [--descending]
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.operators import index, render
+from blockloom.operators.catalog import source_catalog
 from blockloom.operators.normalize import normalized
+from blockloom.operators.ranking import ranked
 from blockloom.operators.records import PLACE, Parsed
 from blockloom.operators.validate import adversary_issues, issue_counts, normalize_summary, place_issues, report_summary, validation_report
 from blockloom.session import settled
@@ -29,6 +34,7 @@ class Options:
     properties: bool = False
     index: bool = False
     library: str | None = None
+    response: str | None = None
     overwrite: bool = False
 
 
@@ -64,24 +70,73 @@ def convert(spark: SparkSession, p: Parsed, folder: str, options: Options) -> di
     """Writes the files of all records (and what else is asked for) and returns the counts."""
     os.makedirs(folder, exist_ok=True)
     there = [] if options.overwrite else [(f[:-3],) for f in os.listdir(folder) if f.endswith(".md")]
-    files = sinks.allocate_names(files_of(p, options), ORDER, spark.createDataFrame(there, "stem string") if there else None)
+    files = settled(sinks.allocate_names(files_of(p, options), ORDER, spark.createDataFrame(there, "stem string") if there else None))
     sinks.write_text_files(files, folder)
     if options.index:
         _write(os.path.join(folder, "Adversaries_Index.md"), [index.master_index(p.adversaries, p.environments).first().text])
     if options.library:
         _write(options.library, (line + "\n" for line in sinks.json_array(render.library(p.adversaries, p.environments), ORDER)))
+    if options.response:
+        _write(options.response, response(p, files, folder, options))
     return summary(p)
 
 
+def response(p: Parsed, files: DataFrame, folder: str, options: Options) -> Iterator[str]:
+    """The parts of one JSON object that tells of a conversion; its lists come partition by partition."""
+    counts = summary(p)
+    records, rejected = counts["adversaries"] + counts["environments"], counts["rejected"]
+    pages = ["Adversaries_Index.md"] if options.index else []
+    warnings = with_issues(p).where(F.size("issues") > 0).orderBy(*ORDER)
+    lists = {
+        "files_written": (F.concat("stem", F.lit(".md")), files.orderBy(*ORDER), pages),
+        "validation_warnings": (F.struct(F.coalesce(F.nullif("name", F.lit("")), F.lit("UNNAMED")).alias("name"), "issues"), warnings, []),
+        "unparsed_blocks": (F.col("description"), p.rejected.orderBy("source", "page", "block"), []),
+    }
+    yield json.dumps({"success": True, "adversary_count": counts["adversaries"], "environment_count": counts["environments"], "library_file": options.library})[:-1]
+    for key, (value, rows, more) in lists.items():
+        yield f', "{key}": ['
+        mark = ""
+        for item in _chained(rows.select(F.to_json(F.struct(value.alias("v"))).alias("json")), more):
+            yield mark + json.dumps(item, ensure_ascii=False)
+            mark = ", "
+        yield "]"
+    written = records + len(pages)
+    said = [
+        (True, f"{counts['adversaries']} adversaries converted."),
+        (counts["environments"], f"{counts['environments']} environments converted."),
+        (written, f"{written} files written to {folder}."),
+        (counts["with_issues"], f"{counts['with_issues']} have validation warnings."),
+        (rejected, f"{rejected} of {records + rejected} stat blocks could not be parsed."),
+    ]
+    yield f', "summary": {json.dumps(" ".join(text for there, text in said if there), ensure_ascii=False)}}}\n'
+
+
+def _chained(rows: DataFrame, more: list[str]) -> Iterator:
+    for row in rows.toLocalIterator():
+        yield json.loads(row.json).get("v")
+    yield from more
+
+
 def summary(p: Parsed) -> dict[str, int]:
     counts = issue_counts(with_issues(p)).first()
     return {"adversaries": p.adversaries.count(), "environments": p.environments.count(), "rejected": p.rejected.count(), "complete": counts.complete, "with_issues": counts.with_issues}
 
 
-def normalize(spark: SparkSession, folder: str, backup: bool = False, dry_run: bool = False) -> dict[str, int]:
-    """Rewrites the record files of a folder that are not in normal form; returns the counts."""
+def source_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, source, page, text`` of plain-text sources: known ones in the order of the catalogue, then by name."""
+    pages = readers.text_pages(spark, path)
+    known = source_catalog(spark).groupBy(F.col("display_name").alias("source")).agg(F.min("pos").alias("at"))
+    order = ranked(pages.select("source").distinct().join(known, "source", "left"), [F.col("at").asc_nulls_last(), "source"], name="pos")
+    return pages.join(order.select("source", "pos"), "source").select("pos", "source", "page", "text")
+
+
+def normalize(spark: SparkSession, folder: str, backup: bool = False, dry_run: bool = False, sources: str | None = None) -> dict[str, int]:
+    """Rewrites the record files of a folder that are not in normal form; returns the counts.
+
+    ``sources`` is a file or folder of plain texts; records without a source get the first whose pages name them.
+    """
     files = readers.record_files(readers.markdown_files(spark, folder))
-    log = settled(normalized(files.select("path", "text")))
+    log = settled(normalized(files.select("path", "text"), source_pages(spark, sources) if sources else None))
     if not dry_run:
         sinks.rewrite_files(log.where("changed").select("path", F.col("new_text").alias("text")), backup)
     return normalize_summary(log).first().asDict()
@@ -101,14 +156,25 @@ def main(args: list[str] | None = None) -> None:
     for flag in ("list", "report", "readable", "properties", "index", "overwrite"):
         one.add_argument(f"--{flag}", action="store_true")
     one.add_argument("--library")
+    one.add_argument("--response")
     two = commands.add_parser("normalize")
     two.add_argument("folder")
     two.add_argument("--backup", action="store_true")
     two.add_argument("--dry-run", action="store_true")
+    two.add_argument("--sources")
+    three = commands.add_parser("table")
+    three.add_argument("sheet")
+    three.add_argument("-o", "--output", default="table.html")
+    three.add_argument("--title", default="Adversaries")
+    three.add_argument("--sort")
+    three.add_argument("--descending", action="store_true")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("blockloom").getOrCreate()
     if a.command == "normalize":
-        print(normalize(spark, a.folder, a.backup, a.dry_run))
+        print(normalize(spark, a.folder, a.backup, a.dry_run, a.sources))
+        return
+    if a.command == "table":
+        _write(a.output, (line + "\n" for line in sinks.html_table(readers.sheet(spark, a.sheet), a.title, a.sort, a.descending)))
         return
     p = read(spark, a.source)
     if a.list:
@@ -119,7 +185,7 @@ def main(args: list[str] | None = None) -> None:
         for r in validation_report(with_issues(p), ORDER).orderBy("rn").toLocalIterator():
             print(r.entry)
     else:
-        print(convert(spark, p, a.output, Options(a.readable, a.properties, a.index, a.library, a.overwrite)))
+        print(convert(spark, p, a.output, Options(a.readable, a.properties, a.index, a.library, a.response, a.overwrite)))
     for r in p.rejected.orderBy("source", "page", "block").limit(5).collect():
         print(f"not parsed: {r.description}")
 

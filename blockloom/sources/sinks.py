@@ -112,6 +112,27 @@ def json_array(entries: DataFrame, order: list[str]) -> Iterator[str]:
     yield "]"
 
 
+def html_table(rows: DataFrame, title: str, column: str | None = None, descending: bool = False) -> Iterator[str]:
+    """The lines of a page with a filter box for each column and one table; rows come partition by partition.
+
+    With ``column`` the rows are sorted by it, empty cells last; else they come in their own order.
+    """
+    import html
+
+    from blockloom.operators import browse
+
+    names = browse.shown_columns(rows)
+    filters = set(browse.filter_columns(rows))
+    yield f'<!DOCTYPE html>\n<html lang="en">\n<head><meta charset="utf-8"><title>{html.escape(title)}</title></head>\n<body>\n<h1>{html.escape(title)}</h1>\n<table>'
+    yield "<thead><tr>" + "".join(f"<th>{html.escape(c.replace('_', ' ').title())}</th>" for c in names) + "</tr>"
+    yield "<tr>" + "".join(f'<th><input name="{html.escape(c)}"></th>' if c in filters else "<th></th>" for c in names) + "</tr></thead>\n<tbody>"
+    body = browse.sorted_rows(rows, column, descending) if column else rows
+    cells = browse.table_cells(body.orderBy("rn").drop("rn") if column else body)
+    for row in cells.toLocalIterator():
+        yield row.html
+    yield "</tbody>\n</table>\n</body>\n</html>"
+
+
 def rewrite_files(changes: DataFrame, backup: bool = False) -> int:
     """Writes ``text`` to ``path`` for every row (only changed files are rows), keeping the old file if asked."""
     n = 0
