@@ -51,13 +51,13 @@ def _parsed(spark: SparkSession, sf_dir: str, head: str = S.HEAD) -> Parsed:
 
 @query("SELECT tier, row_number() OVER (PARTITION BY tier ORDER BY name) AS rn, name, n_features FROM good")
 def q_tier_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _parsed(spark, sf_dir).adversaries.select("page", "block", "tier", "name", F.size("features").alias("n_features"))
+    rows = settled(_parsed(spark, sf_dir).adversaries.select("page", "block", "tier", "name", F.size("features").alias("n_features")))
     return index.tier_order(rows, ["page", "block"]).select("tier", "rn", "name", "n_features")
 
 
 @query("SELECT type AS adversary_type, row_number() OVER (PARTITION BY type ORDER BY tier, name) AS rn, tier, name FROM good")
 def q_type_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _parsed(spark, sf_dir).adversaries.select("page", "block", "adversary_type", "tier", "name")
+    rows = settled(_parsed(spark, sf_dir).adversaries.select("page", "block", "adversary_type", "tier", "name"))
     return index.type_order(rows, ["page", "block"]).select("adversary_type", "rn", "tier", "name")
 
 
