@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import table
+from blockloom.llm.conversations import repair
 from blockloom.llm.decontaminate import find_benchmark
 from blockloom.llm.embedding_dup import near_vectors
 from blockloom.llm.language import identify, train
@@ -86,5 +87,32 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_source_mix": op3_source_mix, "op4_feistel_shards": op4_feistel_shards, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_toxicity_neighbours": op6_toxicity_neighbours, "op7_licence_rules": op7_licence_rules, "op8_personal_data": op8_personal_data, "op9_language_fusion": op9_language_fusion, "op10_benchmark_decontamination": op10_benchmark_decontamination}
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the contract's damage; ``times`` is 0 for a row that it drops, 2 for one that it repeats."""
+    known = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *known)) % 20
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    role = F.when(kind == 4, "user").otherwise(role)
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("times"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")), times=F.col("times"))
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_source_mix": op3_source_mix,
+    "op4_feistel_shards": op4_feistel_shards,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_toxicity_neighbours": op6_toxicity_neighbours,
+    "op7_licence_rules": op7_licence_rules,
+    "op8_personal_data": op8_personal_data,
+    "op9_language_fusion": op9_language_fusion,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+}
 ORACLE_SQL: dict[str, str] = {"op7_licence_rules": licence_sql()}
