@@ -10,6 +10,7 @@ from blockloom.llm.conversations import repair
 from blockloom.llm.decontaminate import find_benchmark
 from blockloom.llm.embedding_dup import near_vectors
 from blockloom.llm.language import identify, train
+from blockloom.llm.lexical_search import search_sql, top_documents
 from blockloom.llm.licences import licence_sql, licences
 from blockloom.llm.mixing import mix
 from blockloom.llm.near_dup import near_duplicates
@@ -102,6 +103,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")), times=F.col("times"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -114,5 +119,6 @@ QUERIES = {
     "op9_language_fusion": op9_language_fusion,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_search": op12_lexical_search,
 }
-ORACLE_SQL: dict[str, str] = {"op7_licence_rules": licence_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_licence_rules": licence_sql(), "op12_lexical_search": search_sql()}
