@@ -17,6 +17,7 @@ from blockloom.llm.near_dup import near_duplicates
 from blockloom.llm.pii import KINDS, personal_data
 from blockloom.llm.pii import train as train_pii
 from blockloom.llm.sharding import shard_rows
+from blockloom.llm.substring_dup import repeats_sql, without_repeats
 from blockloom.llm.token_count import token_counts
 from blockloom.llm.toxicity import fit, fold, toxicity
 
@@ -107,6 +108,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -120,5 +125,6 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
+    "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op7_licence_rules": licence_sql(), "op12_lexical_search": search_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_licence_rules": licence_sql(), "op12_lexical_search": search_sql(), "op13_substring_dedup": repeats_sql()}
