@@ -27,8 +27,10 @@ BITS = 16
 #: Training documents of each language; weight of a trigram; strength of the smoothing.
 SAMPLE_DOCS, TEMPER, SMOOTH = 1000, 1 / 3, 5.0
 PRIOR_UNKNOWN = 0.02
-_DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)")
+_OPENS = re.compile(r"<(?:(script|style)\b|!--)?", re.I)
+_CLOSES = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style")}
+_TAG = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\slang\s*+=\s*+[\"']?([A-Za-z]+)", re.I)
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -45,13 +47,44 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def visible(page: str | None) -> str:
-    """The text of an HTML page without tags, scripts and styles."""
-    return _html.unescape(_DROP.sub(" ", page)) if page else ""
+    """The text of an HTML page without tags, scripts, styles and comments; what is not closed ends no earlier tag.
+
+    One pass from each opening to its end: a kind of end that was once not found is not looked for again.
+    """
+    if not page:
+        return ""
+    out, at, found = [], 0, _OPENS.search(page)
+    missing: set[str] = set()
+    while found:
+        name, end = (found[1] or found[0]).lower(), -1
+        if name in _CLOSES and name not in missing:
+            closed = _CLOSES[name].search(page, found.end())
+            end = closed.end() if closed else -1
+        elif name == "<!--" and name not in missing:
+            end = page.find("-->", found.end()) + 3
+            end = -1 if end == 2 else end
+        if end < 0:
+            missing.add(name)
+            end = page.find(">", found.start() + 1) + 1
+            if not end:
+                break
+        out += page[at : found.start()], " "
+        at = end
+        found = _OPENS.search(page, at)
+    out.append(page[at:])
+    return _html.unescape("".join(out))
 
 
 def declared_in(page: str | None) -> str | None:
-    found = _DECLARED.search(page) if page else None
-    return found[1].lower() if found else None
+    """The language that the page's first ``html`` tag with a language declares."""
+    tag = _TAG.search(page) if page else None
+    while tag:
+        end = page.find(">", tag.end())
+        end = len(page) if end < 0 else end
+        if found := _LANG.search(page, tag.end(), end):
+            return found[1].lower()
+        tag = _TAG.search(page, end)
+    return None
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:

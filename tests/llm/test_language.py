@@ -1,4 +1,8 @@
+import html
 import math
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -30,8 +34,8 @@ def brute(model):
     prior = np.log([(1 - L.PRIOR_UNKNOWN) / (n - 1)] * (n - 1) + [L.PRIOR_UNKNOWN])
     norm = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
     rows = []
-    for i, url, html in ROWS:
-        grams, said = L.trigrams(L.visible(html)), L.declared_in(html)
+    for i, url, source in ROWS:
+        grams, said = L.trigrams(L.visible(source)), L.declared_in(source)
         rows.append([i, logs[grams].sum(0) * L.TEMPER, len(grams), *L._host(url), said if said in names else "other" if said else "none"])
     seen = [r for r in rows if r[2]]
     p = [norm(r[1] + prior) for r in seen]
@@ -86,6 +90,28 @@ def test_every_declared_language_is_a_class(spark):
     assert {r.doc_id: r.language for r in L.identify(pages, (names, logs)).collect()} == {k: f"l{k:02}" for k in (0, 17, 65, 89)}
 
 
+OLD_DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+OLD_LANG = re.compile(r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)")
+
+
+def test_one_pass_reads_pages_as_plain_patterns_do():
+    rng = random.Random(1)
+    parts = ["<script>", "</script>", "</SCRIPT >", "<style", "</style>", "<!--", "-->", "<p>", "<", ">", "a b", "<html lang='en'>", "<html x", "lang=de", " lang = fr>", "\n", "<scripts>"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        said = OLD_LANG.search(text)
+        assert L.visible(text) == html.unescape(OLD_DROP.sub(" ", text))
+        assert L.declared_in(text) == (said[1].lower() if said else None)
+
+
+@pytest.mark.parametrize("run", ["<", "<!--", "<script ", "<html ", "<html lang ", "</script ", "<style>", "<html a> ", "&", "中", "a", "0", "<a>"])
+def test_a_megabyte_of_anything_takes_linear_time(run):
+    text = run * (1_000_000 // len(run))
+    began = time.process_time()
+    L.trigrams(L.visible(text))
+    assert L.declared_in(text) is None and time.process_time() - began < 10
+
+
 def test_odd_rows(spark, docs_of, model):
     got = L.identify(docs_of(ODD), model).collect()
     assert len(got) == len(ODD) and [r.language for r in got if r.doc_id in (1, 2)] == [L.UNKNOWN] * 2
