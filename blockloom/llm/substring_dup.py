@@ -34,8 +34,10 @@ from blockloom.llm.common import U64, mix64, texts_of, written
 WINDOW, GRAM = 20, 10
 #: Bytes of text in a chunk, bytes hashed at once, anchors in a bucket and stretches in a block.
 CHUNK_BYTES, SLICE, BUCKET, BLOCK = 12_000_000, 1 << 20, 1 << 22, 100_000
-#: Places of an anchor past which its stretches go by window.
-HOT_PLACES = 8192
+#: Places of an anchor past which its stretches go by window; documents with repeats whose spans are put together.
+HOT_PLACES, PART = 8192, 20_000
+#: The bits of a word's hash by which stretches are compared, word by word.
+WORD_BITS = U64((1 << 48) - 1)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
 _BYTE = np.where(_SEPARATOR, U64(0), mix64(np.arange(256, dtype=np.uint64) + U64(0x51ED270B)) | U64(1))
@@ -88,6 +90,11 @@ def _shifted(x: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def _doubled(x: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of twice ``length`` words from those of ``length``."""
+    return x + _shifted(x, length) * U64(pow(_STEP, 7 * length, 1 << 64))
+
+
 class Windows:
     """The windows of some texts, given their words' hashes, in runs of neighbours that have one anchor.
 
@@ -98,13 +105,9 @@ class Windows:
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         n = len(words)
         self.words, self.counts, self.base = words, counts, np.concatenate(([0], np.cumsum(counts)))
-        runs, length = [words], 1
-        while length < 16:
-            last = runs[-1]
-            runs.append(last + _shifted(last, length) * U64(pow(_STEP, 7 * length, 1 << 64)))
-            length *= 2
-        self.sixteen = runs[4]
-        low = mix64(runs[3] + _shifted(runs[1], 8) * U64(pow(_STEP, 56, 1 << 64)))
+        self.two = _doubled(words, 1)
+        self.eight = _doubled(_doubled(self.two, 2), 4)
+        low = mix64(self.eight + _shifted(self.two, 8) * U64(pow(_STEP, 56, 1 << 64)))
         where, width, most = np.arange(n, dtype=np.int64), 1, WINDOW - GRAM + 1
         while width < most:
             by = min(width, most - width)
@@ -125,7 +128,8 @@ class Windows:
         self.value = low[self.at]
 
     def content(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return mix64(self.sixteen[at] + mix64(self.sixteen[at + length - 16] + length.astype(np.uint64)))
+        sixteen = _doubled(self.eight, 8)
+        return mix64(sixteen[at] + mix64(sixteen[at + length - 16] + length.astype(np.uint64)))
 
 
 def factors(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,12 +209,16 @@ def _nearest_smaller(values: np.ndarray) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x).tobytes()
+    """An array compressed byte by byte of its elements: first all lowest bytes, then the next."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
 
 def _unpacked(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x[8:], struct.unpack("<q", x[:8])[0], codec="zstd"), kind) if x else np.empty(0, kind)
+    if not x:
+        return np.empty(0, kind)
+    raw = pa.decompress(x[8:], struct.unpack("<q", x[:8])[0], codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType | None = None) -> pa.ListArray:
@@ -320,11 +328,29 @@ def _flags(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(doc), pa.array(hash_), *columns], ["doc", "hash", "runs", "hot"]).filter(pa.array(some))
 
 
-_PIECES = StructType(
-    [StructField("block", IntegerType()), *[StructField(c, BinaryType()) for c in ("docs", "hashes", "start", "length", "words", "which")]]
-    + [StructField("doc", LongType()), StructField("hash", LongType()), StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType()))]
-)
-_SPANS = "doc bigint, hash bigint, starts array<int>, ends array<int>"
+_SPANS = StructType([StructField("part", IntegerType()), *[StructField(c, BinaryType()) for c in ("docs", "hashes", "starts", "ends")]])
+_PIECES = StructType([StructField("block", IntegerType()), *[StructField(c, BinaryType()) for c in ("start", "length", "words", "which")], *_SPANS.fields])
+_MERGED = "doc bigint, hash bigint, starts array<int>, ends array<int>"
+
+
+def _spans(doc: np.ndarray, hash_: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Spans packed by the part of their document, a row for each part that has some."""
+    part = (mix64(doc.view(np.uint64) + U64(1)) % U64(parts)).astype(np.int64)
+    order = np.lexsort((start, hash_, doc, part))
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(ends)):
+        mine = order[ends[k] : ends[k + 1]]
+        rows.append((int(k), *map(_packed, (doc[mine], hash_[mine], start[mine].astype(np.int32), end[mine].astype(np.int32)))))
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4), strict=True)], _SPANS.names)
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """Each document of a part with its spans, joined where they touch."""
+    kinds = (np.int64, np.int64, np.int32, np.int32)
+    doc, hash_, start, end = (np.concatenate([_unpacked(x, t) for x in rows.column(c).to_pylist()]).astype(np.int64) for c, t in zip(("docs", "hashes", "starts", "ends"), kinds, strict=True))
+    return pa.table(_span_rows(doc, hash_, start, end), ["doc", "hash", "starts", "ends"])
 
 
 def _span_rows(doc: np.ndarray, hash_: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
@@ -344,7 +370,7 @@ def _span_rows(doc: np.ndarray, hash_: np.ndarray, start: np.ndarray, end: np.nd
     return [pa.array(doc[new], pa.int64()), pa.array(hash_[new], pa.int64()), _lists(start[head], owner[head], n), _lists(reach[last], owner[head], n)]
 
 
-def _pieces(blocks: int):
+def _pieces(blocks: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _chunks(batches):
             chunk = _Chunk(held)
@@ -371,49 +397,52 @@ def _pieces(blocks: int):
             same = (doc[order] == doc[source]) & (hash_[order] == hash_[source]) & (start[order] == start[source])
             copies = order[~same]
             if len(copies):
-                made = _span_rows(doc[copies], hash_[copies], start[copies], start[copies] + length[copies])
-                nulls = [pa.nulls(len(made[0]), t) for t in (pa.int32(), *[pa.binary()] * 6)]
-                yield pa.RecordBatch.from_arrays([*nulls, *made], _PIECES.names)
+                made = _spans(doc[copies], hash_[copies], start[copies], start[copies] + length[copies], parts)
+                nothing = [pa.nulls(made.num_rows, t) for t in (pa.int32(), *[pa.binary()] * 4)]
+                yield pa.RecordBatch.from_arrays([*nothing, *made.columns], _PIECES.names)
             block = (mix64(value[head]) % U64(blocks)).astype(np.int64)
             head = head[np.argsort(block, kind="stable")]
             ends = np.searchsorted(np.sort(block), np.arange(blocks + 1))
             for b in np.flatnonzero(np.diff(ends)):
                 mine = head[ends[b] : ends[b + 1]]
                 size = length[mine]
-                words = w.words[np.repeat(at[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                words = w.words[np.repeat(at[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())] & WORD_BITS
                 distinct, which = np.unique(words, return_inverse=True)
                 which = which.astype(np.uint16 if len(distinct) <= 65536 else np.int32)
-                row = [int(b), *map(_packed, (doc[mine], hash_[mine], start[mine].astype(np.int32), size.astype(np.uint8), distinct, which)), None, None, None, None]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), *[pa.binary()] * 6, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], _PIECES.names)
+                row = [int(b), *map(_packed, (start[mine].astype(np.int32), size.astype(np.uint8), np.diff(distinct, prepend=U64(0)), which)), None, _packed(doc[mine]), _packed(hash_[mine]), None, None]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 4), strict=True)], _PIECES.names)
 
     return run
 
 
-def _factored(rows: pa.Table) -> pa.Table:
-    """Duplicate spans of the stretches of a block."""
-    made: dict[str, list[np.ndarray]] = {c: [] for c in ("docs", "hashes", "start", "length", "words")}
-    for r in rows.to_pylist():
-        distinct = _unpacked(r["words"], np.uint64)
-        made["words"].append(distinct[_unpacked(r["which"], np.uint16 if len(distinct) <= 65536 else np.int32)])
-        for c, t in (("docs", np.int64), ("hashes", np.int64), ("start", np.int32), ("length", np.uint8)):
-            made[c].append(_unpacked(r[c], t).astype(np.int64))
-    doc, hash_, start, length, words = (np.concatenate(x) for x in made.values())
-    base = np.cumsum(length) - length
-    order = np.lexsort((start, hash_, doc))
-    new = np.ones(len(order), bool)
-    new[1:] = (doc[order][1:] != doc[order][:-1]) | (hash_[order][1:] != hash_[order][:-1]) | (start[order][1:] != start[order][:-1])
-    order = order[new]
-    size = length[order]
-    words = words[np.repeat(base[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-    piece, low, high = factors(words, size)
-    piece_at = order[piece]
-    return pa.table(_span_rows(doc[piece_at], hash_[piece_at], start[piece_at] + low, start[piece_at] + high), ["doc", "hash", "starts", "ends"])
+def _factored(parts: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Duplicate spans of the stretches of a block."""
+        made: dict[str, list[np.ndarray]] = {c: [] for c in ("docs", "hashes", "start", "length", "words")}
+        for r in rows.to_pylist():
+            distinct = np.cumsum(_unpacked(r["words"], np.uint64), dtype=np.uint64)
+            made["words"].append(distinct[_unpacked(r["which"], np.uint16 if len(distinct) <= 65536 else np.int32)])
+            for c, t in (("docs", np.int64), ("hashes", np.int64), ("start", np.int32), ("length", np.uint8)):
+                made[c].append(_unpacked(r[c], t).astype(np.int64))
+        doc, hash_, start, length, words = (np.concatenate(x) for x in made.values())
+        base = np.cumsum(length) - length
+        order = np.lexsort((start, hash_, doc))
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[order][1:] != doc[order][:-1]) | (hash_[order][1:] != hash_[order][:-1]) | (start[order][1:] != start[order][:-1])
+        order = order[new]
+        size = length[order]
+        words = words[np.repeat(base[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        piece, low, high = factors(words, size)
+        piece_at = order[piece]
+        return pa.Table.from_batches([_spans(doc[piece_at], hash_[piece_at], start[piece_at] + low, start[piece_at] + high, parts)])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, hash, starts, ends``: spans of words of a document that a window covers which also starts earlier.
+    """``doc, hash, starts, ends``: the stretches of words of a document that windows cover which also start earlier.
 
-    ``doc`` is the id (the smallest long for null) and ``hash`` that of the text. Spans of one document may overlap.
+    One row for each document that has some; ``doc`` is the id (the smallest long for null), ``hash`` that of the text.
     """
     rows = _keyed(docs, doc_id, text)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -423,12 +452,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeated = repeated.where((F.size("places") > 0) | (F.size("hot_places") > 0) | (F.size("hot_codes") > 0))
     listed = anchors.where("bucket < 0").select("chunk", "value", "place", "docs", "hashes", "runs")
     flags = written(listed.unionByName(repeated, allowMissingColumns=True).groupBy("chunk").applyInArrow(_flags, _FLAGS).dropDuplicates(["doc", "hash"]))
-    stretches = flags.agg(F.sum(F.size("runs") + 8 * F.size("hot"))).first()[0] or 0
-    blocks = 1 + stretches // BLOCK
-    pieces = written(rows.join(flags, ["doc", "hash"]).select("doc", "hash", "text", "runs", "hot").mapInArrow(_pieces(blocks), _PIECES))
-    copies = pieces.where("block IS NULL").select("doc", "hash", "starts", "ends")
-    found = pieces.where("block IS NOT NULL").drop("doc", "hash", "starts", "ends").groupBy("block").applyInArrow(_factored, _SPANS)
-    return copies.unionByName(found)
+    stretches, repeating = flags.agg(F.sum(F.size("runs") + 8 * F.size("hot")), F.count(F.lit(1))).first()
+    blocks, parts = 1 + (stretches or 0) // BLOCK, 1 + repeating // PART
+    pieces = written(rows.join(flags, ["doc", "hash"]).select("doc", "hash", "text", "runs", "hot").mapInArrow(_pieces(blocks, parts), _PIECES))
+    copies = pieces.where("block IS NULL").select(*_SPANS.names)
+    found = pieces.where("block IS NOT NULL").select("block", "start", "length", "words", "which", "docs", "hashes").groupBy("block").applyInArrow(_factored(parts), _SPANS)
+    return copies.unionByName(found).groupBy("part").applyInArrow(_merged, _MERGED)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
@@ -445,7 +474,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     input. ``spans`` are the stretches of words removed, end exclusive; ``kept`` is what stays, joined by spaces. A null
     or empty text has no words. Texts are read whole, other columns not at all; an empty table gives an empty one.
     """
-    spans = repeated_spans(docs, doc_id, text).groupBy("doc", "hash").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    spans = repeated_spans(docs, doc_id, text)
     rows = _keyed(docs, doc_id, text, F.col(f"`{doc_id}`").alias("id")).join(spans, ["doc", "hash"], "left").select("id", "text", "starts", "ends")
     fields = [StructField(doc_id, docs.schema[doc_id].dataType), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
@@ -456,16 +485,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out = []
             for value, starts, ends in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                 words = value.encode().split()
-                n, merged = len(words), []
-                for start, end in sorted(zip(starts or (), ends or (), strict=True)):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([start, end])
-                for start, end in reversed(merged):
+                n, gone = len(words), list(zip(starts or (), ends or (), strict=True))
+                for start, end in reversed(gone):
                     del words[start:end]
                 kept = b" ".join(words)
-                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in merged], kept.decode()))
+                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in gone], kept.decode()))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
             made = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds) if texts or i < 4]
             yield pa.RecordBatch.from_arrays([b.column(0), *made], schema.names)
