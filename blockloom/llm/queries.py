@@ -59,7 +59,8 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return rows.select(F.col("key").alias("doc_id"), (fold(F.col("key")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    evidence = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["key"], e["label"], F.format_number(e["cosine"], 3))), ",")
+    return rows.select(F.col("key").alias("doc_id"), (fold(F.col("key")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), evidence.alias("evidence"))
 
 
 def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
