@@ -31,6 +31,15 @@ def number(text: Column) -> Column:
     return text.try_cast("int")
 
 
+#: More items than an array can hold.
+ALL = (1 << 31) - 100
+
+
+def rest(items: Column, start: int = 2) -> Column:
+    """The items from the ``start``-th on, however many there are."""
+    return F.slice(items, start, ALL)
+
+
 def one(value: Column, use) -> Column:
     """``use(value)`` with ``value`` worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.functions.regex import found, nothing, number, one, rx, strip
+from blockloom.functions.regex import found, nothing, number, one, rest, rx, strip
 from blockloom.functions.text import clean_text, number_pair, source_of_footer
 from blockloom.operators.fields import ATTACK, FEATURE_TYPE, attack_of_parts
 
@@ -291,7 +291,7 @@ def collection_record(section: Column) -> Column:
 def parse_markdown(files: DataFrame, horde_types: bool = True) -> DataFrame:
     """One row a record of ``files`` (path, text): ``path, record_no`` and an adversary's columns."""
     cleaned = files.select("path", clean_text(F.col("text")).alias("text"))
-    sections = F.slice(F.split(F.col("text"), rx(r"^##\s+", "m"), -1), 2, 1_000_000)
+    sections = rest(F.split(F.col("text"), rx(r"^##\s+", "m"), -1))
     many = F.filter(F.transform(sections, lambda s: F.when(strip(s) != "", collection_record(s))), lambda r: r.isNotNull() & (F.coalesce(r["name"], F.lit("")) != ""))
     records = F.when(is_collection(F.col("text")), many).otherwise(F.array(single_record(F.col("text"), horde_types)))
     return cleaned.select("path", F.posexplode(records).alias("record_no", "r")).select("path", "record_no", "r.*")

@@ -17,23 +17,28 @@ def names(root):
 
 def test_works_without_the_optional_subpackage(tmp_path):
     shutil.copytree(ROOT / "blockloom", tmp_path / "blockloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    for file in ("__spark_entry__.py", "corpus_pipeline.py"):
-        shutil.copy(ROOT / file, tmp_path)
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    left = tmp_path / "corpus_pipeline.py"
+    left.write_text("from blockloom.llm.common import cut\n")
     alone = names(tmp_path)
     assert "q_tier_index" in alone and not any(n.startswith("op") or n == "pipeline" for n in alone)
     assert [n for n in names(ROOT) if n.startswith("q_")] == alone
-    (tmp_path / "corpus_pipeline.py").unlink()
+    left.unlink()
     assert names(tmp_path) == alone
 
 
 def test_an_absent_part_of_the_rest_is_not_hidden(tmp_path):
-    shutil.copytree(ROOT / "blockloom", tmp_path / "blockloom", ignore=shutil.ignore_patterns("__pycache__"))
-    for file in ("__spark_entry__.py", "corpus_pipeline.py"):
-        shutil.copy(ROOT / file, tmp_path)
-    common = tmp_path / "blockloom" / "llm" / "common.py"
-    common.write_text(common.read_text() + "\nimport a_library_that_is_not_here\n")
+    """With a stand-in for the subpackage, so that the test holds where the subpackage is gone."""
+    shutil.copytree(ROOT / "blockloom", tmp_path / "blockloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    stand_in = tmp_path / "blockloom" / "llm"
+    stand_in.mkdir()
+    (stand_in / "__init__.py").write_text("")
+    (stand_in / "queries.py").write_text("QUERIES = {'op0_nothing': None}\nORACLE_SQL = {}\n")
+    assert "op0_nothing" in names(tmp_path)
+    (stand_in / "queries.py").write_text("import a_library_that_is_not_here\n")
     assert not any(n.startswith("op") for n in names(tmp_path))
-    common.write_text("import blockloom.nothing\n")
+    (stand_in / "queries.py").write_text("import blockloom.nothing\n")
     with pytest.raises(subprocess.CalledProcessError):
         names(tmp_path)
 

@@ -22,6 +22,8 @@ CASES = {
     "no_features": [block("BARE MOTH", features="")],
     "pips": [block("PIP MOTH", body="Difficulty: 12 | Thresholds: 8/15\nHP: O O O\nStress: O O\nATK: +2 | Hook: Close | 1d8 phy\n")],
     "pips_before": [block("ODD MOTH", body="HP: 3\nDifficulty: 12 O O O\nStress:\nThresholds: 8/15\nATK: +2 | Hook: Close | 1d8 phy\n")],
+    "many_pips": [block("HUGE MOTH", body="HP: 3\nDifficulty: 12" + " O" * 150 + "\nStress:\nThresholds: 8/15\nATK: +2 | Hook: Close | 1d8 phy\n")],
+    "many_labels": [block("TOLD MOTH", body="Quick.\n" + "Impulses: x\n" * 10_050 + "Experience: Guard +2\n" + STATS)],
     "minion": [block("TINY MOTH", "Tier 1 Minion", BODY.replace("8/15", "None"))],
     "half": [block("HALF MOTH", body=BODY.replace("8/15", "5/None"))],
     "stress_none": [block("CALM MOTH", body=BODY.replace("Stress: 2", "Stress: None"))],
@@ -90,6 +92,11 @@ def test_pips(parsed):
     assert [(r.hp, r.stress) for c in ("pips", "pips_before") for r in parsed(c)] == [(3, 2), (3, 3)]
 
 
+def test_no_field_has_a_bound(parsed):
+    assert [r.stress for r in parsed("many_pips")] == [150]
+    assert [r.experience for r in parsed("many_labels") + parsed("many_labels", "rejected")] == ["Guard +2"]
+
+
 def test_thresholds(parsed):
     got = [(r.threshold_minor, r.threshold_major, r.thresholds_raw) for c in ("minion", "half") for r in parsed(c)]
     assert got == [(None, None, "None"), (5, None, "5/None")]
