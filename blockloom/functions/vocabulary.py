@@ -9,6 +9,11 @@ REACHES = ["Very Close", "Very Far", "Melee", "Close", "Far"]
 FEATURE_TYPES = ["Passive", "Action", "Reaction", "Evolution"]
 FIELD_LABELS = ["Impulses", "Motives & Tactics", "Motives and Tactics", "Motives", "Difficulty", "Thresholds", "Threshold", "Potential Adversaries", "ATK", "Attack", "Experience", "HP", "Stress"]
 SECTIONS = ["ADVERSARIES", "ENVIRONMENTS"]
+ATTACK_LABELS, STAT_LABELS, FEATURES = ["ATK", "Attack"], ["Difficulty", "Threshold", "Thresholds", "HP", "Stress"], "FEATURES"
+# First words of lines that end a description, for fighters and for places; starts of lines that end the motives.
+STOPS = ["MOTIVES", "IMPULSES", "DIFFICULTY", "THRESHOLD", "THRESHOLDS", "ATK", "FEATURES"]
+PLACE_STOPS = ["IMPULSES", "MOTIVES", "DIFFICULTY", "POTENTIAL", "FEATURES"]
+MOTIVES_STOPS = ["THRESHOLD:", "THRESHOLDS:", "ATK:", "DIFFICULTY:", "EXPERIENCE:", "FEATURES"]
 # Page furniture (each at the start of a stripped line, any case).
 FURNITURE = [r"\d+\s*$", r"Page\s+\d+", r"\d+\s+of\s+\d+", r"ADVERSARIES?\s*$", r"DAGGERHEART\s*$", r"SRD\s*$"]
 FOOTER = r"\d*\s*Chapter\s+\d+:"

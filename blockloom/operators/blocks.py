@@ -10,98 +10,79 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions import vocabulary as V
-from blockloom.functions.regex import found, has, number, strip
+from blockloom.functions.regex import has
+from blockloom.operators.linemarks import LINE, marked
+from blockloom.session import settled
 
 PAGE = ["source", "page"]
-# Small parts that patterns are put together from.
-_GAP, _DASH = r"\s+", "[-–—]"
-_BRACKETS = r"\([^)]*\)"
 
 
-def _any(words: list[str]) -> str:
-    return "(" + "|".join(words) + ")"
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """Lines with their marks, block number, the section header in force above them, and whether one closed the block.
 
-
-def _spaced(*parts: str) -> str:
-    return _GAP.join(parts)
-
-
-SECTION = "^" + _spaced("TIER", r"(\d+)", _any(V.SECTIONS)) + r"\b"
-#: What follows a section header in brackets: a level or a range of them.
-LEVELS = r"^\(" + _spaced("LEVELS?", r"\d+") + rf"(?:\s*{_DASH}\s*\d+)?\s*\)$"
-#: After the type a tier line may have a remark in brackets and an index of other pages: up to two words and a number.
-_INDEX = r"[;,]\s*(?:[A-Za-z]+[\s;,]*){0,2}:?\s*\d+\s*\.?"
-TIER_LINE = rf"^Tier{_GAP}(\d+)?\s*(?:{_BRACKETS}\s*)?{_any(V.TYPES)}(?:\s*{_BRACKETS})?\s*(?:{_INDEX})?\s*$"
-FEATURE = "^" + _spaced("(.{1,70}?)", _DASH, _any(V.FEATURE_TYPES)) + r"\s*:\s*(.*)$"
-LINE = "struct<line_no:int,text:string,style:string>"
-
-
-def marked_lines(lines: DataFrame) -> DataFrame:
-    """Lines with their section header, name start of the tier line they are, block number and whether a header closed it.
-
-    Block 0 is what stands before the first block of a page.
+    A block begins at the name above a tier line. Block 0 is what stands before the first block of a page.
     """
     w = Window.partitionBy(*PAGE).orderBy("line_no")
     upto, above, page = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*PAGE)
-    rows = lines.withColumn("i", F.row_number().over(w) - 1).withColumn("t", strip(F.col("text")))
-    header = F.when(has(F.col("t"), SECTION, "i"), F.struct(F.upper(found(F.col("t"), SECTION, 2, "i")).alias("section"), number(found(F.col("t"), SECTION, 1, "i")).alias("tier")))
-    rows = rows.withColumn("header", header)
-    heading = (F.coalesce("style", F.lit("")) == "HEADING") & F.col("header").isNull() & ~has(F.col("t"), LEVELS, "i")
-    rows = rows.withColumn("heading", heading).withColumn("before", F.lag("t").over(w))
+    rows = marked(lines).withColumn("i", F.row_number().over(w) - 1)
+    rows = rows.withColumn("heads", (F.coalesce("style", F.lit("")) == "HEADING") & F.col("header").isNull() & ~F.col("levels")).withColumn("before", F.lag("t").over(w))
     # The last line with text above, with its own predecessor; and where the run of headings above begins.
     spoken = F.last(F.when(F.col("t") != "", F.struct("i", "t", "before")), ignorenulls=True)
-    run = F.coalesce(F.last(F.when(~F.col("heading"), F.col("i")), ignorenulls=True).over(upto) + 1, F.lit(0))
-    rows = rows.withColumn("above", spoken.over(above)).withColumn("run", run)
+    run = F.coalesce(F.last(F.when(~F.col("heads"), F.col("i")), ignorenulls=True).over(upto) + 1, F.lit(0))
+    rows = rows.withColumns({"above": spoken.over(above), "run": run, "any_style": F.max(F.col("style").isNotNull()).over(page), "under": F.coalesce(F.lag("heads").over(w), F.lit(False)), "governing": F.last("header", ignorenulls=True).over(above)})
     colon = lambda c: F.coalesce(F.endswith(c, F.lit(":")), F.lit(False))
     plain = F.col("above.i") - ((F.col("above.i") >= 1) & ~colon(F.col("above.t")) & colon(F.col("above.before"))).cast("int")
-    styled = F.max(F.col("style").isNotNull()).over(page) & F.coalesce(F.lag("heading").over(w), F.lit(False))
-    start = F.when(has(F.col("t"), TIER_LINE, "i"), F.when(styled, F.lag("run").over(w)).otherwise(plain))
+    start = F.when(F.col("tier.anchor"), F.when(F.col("any_style") & F.col("under"), F.lag("run").over(w)).otherwise(plain))
     rows = rows.withColumn("start", start).withColumn("starts", F.collect_set("start").over(page))
-    rows = rows.withColumn("block", F.sum(F.array_contains("starts", F.col("i")).cast("int")).over(upto))
+    rows = rows.withColumn("opens", F.array_contains("starts", F.col("i"))).withColumn("block", F.sum(F.col("opens").cast("int")).over(upto))
     inside = Window.partitionBy(*PAGE, "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    closes = F.col("header").isNotNull() & ((F.col("block") == 0) | ~F.array_contains("starts", F.col("i")))
-    rows = rows.withColumn("closed", F.max(closes).over(inside))
-    rows = rows.withColumn("governing", F.last("header", ignorenulls=True).over(above))
-    return rows.select("source", "page", "i", "text", "t", "style", "header", "governing", "block", "closed")
+    closes = F.col("header").isNotNull() & ((F.col("block") == 0) | ~F.col("opens"))
+    return rows.withColumn("closed", F.max(closes).over(inside)).drop("above", "run", "any_style", "under", "start", "starts", "before", "heads", "opens")
 
 
-def page_state(rows: DataFrame) -> DataFrame:
+def parts_of_pages(lines: DataFrame) -> DataFrame:
+    """One row for each block of a page and for the head before the first, with its lines; written, as several steps
+    read it."""
+    rows = placed_lines(lines)
+    line = F.struct(F.col("i").alias("line_no"), "text", "style", "t", "first", "tier", "heading", "weapon", "attack")
+    spoken = F.when(F.col("t") != "", F.struct("i", "t", "heading"))
+    groups = rows.groupBy(*PAGE, "block").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("closed"), line)), lambda a, b: a["line_no"] - b["line_no"]).cast(f"array<{LINE}>").alias("lines"),
+        F.max("closed").alias("closed"),
+        F.min_by(spoken, F.when(F.col("t") != "", F.col("i"))).alias("opening"),
+        F.min("i").alias("start"),
+        F.min_by("governing", "i").alias("governing"),
+        F.max(F.when(F.col("header").isNotNull(), F.struct("i", "header"))).alias("last_header"),
+        F.max((F.col("t") != "") & ~F.col("closed")).alias("spoken"),
+    )
+    opens = has(F.col("opening.t"), r"^\p{Ll}") | F.col("opening.heading").isNotNull() | F.startswith(F.upper("opening.t"), F.lit(V.FEATURES))
+    return settled(groups.withColumn("opens", F.coalesce(opens, F.lit(False))).drop("opening"))
+
+
+def page_state(parts: DataFrame) -> DataFrame:
     """One row a page: its place in the source, how many blocks it has, and the section in force when it begins."""
-    pages = rows.groupBy(*PAGE).agg(F.max("block").alias("n_blocks"), F.max_by("header", F.when(F.col("header").isNotNull(), F.col("i"))).alias("last_header"))
+    pages = parts.groupBy(*PAGE).agg(F.max("block").alias("n_blocks"), F.max("last_header").alias("last"))
     w = Window.partitionBy("source").orderBy("page")
-    carried = F.last("last_header", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.last("last.header", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return pages.select("source", "page", "n_blocks", F.row_number().over(w).alias("nth"), carried.alias("carried"))
 
 
-def _lines(condition: Column) -> Column:
-    return F.array_sort(F.collect_list(F.when(condition, F.struct(F.col("i").alias("line_no"), "text", "style")))).cast(f"array<{LINE}>")
-
-
 def blocks(lines: DataFrame) -> DataFrame:
     """One row a block: ``source, page, block, start, section, section_tier, reaches_page_end, lines``.
 
     With it ``tail``, the lines at the head of the next page up to a section header, if the block may go on there, and
     ``bare``: that page has no block of its own, so more evidence is asked for (``opens``: its first words give it).
     """
-    rows = marked_lines(lines)
-    state = page_state(rows)
-    groups = rows.groupBy(*PAGE, "block").agg(
-        _lines(~F.col("closed")).alias("lines"),
-        F.max("closed").alias("closed"),
-        F.min_by(F.when(F.col("t") != "", F.col("t")), F.when(F.col("t") != "", F.col("i"))).alias("opening"),
-        F.min("i").alias("start"),
-        F.min_by("governing", "i").alias("governing"),
-    )
-    head = groups.where("block = 0").join(state, PAGE)
-    opens = has(F.col("opening"), r"^\p{Ll}") | has(F.col("opening"), FEATURE, "i") | F.startswith(F.upper("opening"), F.lit("FEATURES"))
-    tails = head.select("source", (F.col("nth") - 1).alias("nth"), F.col("lines").alias("tail"), (F.col("n_blocks") == 0).alias("bare"), F.coalesce(opens, F.lit(False)).alias("opens"))
-    own = groups.where("block > 0").join(state, PAGE)
+    parts = parts_of_pages(lines)
+    state = page_state(parts)
+    head = parts.where("block = 0").join(state, PAGE)
+    tails = head.select("source", (F.col("nth") - 1).alias("nth"), F.col("lines").alias("tail"), (F.col("n_blocks") == 0).alias("bare"), F.col("opens").alias("goes_on"))
+    own = parts.where("block > 0 AND spoken").join(state, PAGE)
     section = F.coalesce("governing", "carried")
     own = own.withColumn("reaches_page_end", (F.col("block") == F.col("n_blocks")) & ~F.col("closed"))
     own = own.join(tails, ["source", "nth"], "left")
     ends = F.col("reaches_page_end")
-    spoken = F.exists("lines", lambda x: strip(x["text"]) != "")
-    return own.where(spoken).select(
+    return own.select(
         "source", "page", "block", "start", "reaches_page_end", section["section"].alias("section"), section["tier"].alias("section_tier"), "lines",
-        F.when(ends, F.col("tail")).alias("tail"), F.coalesce(ends & F.col("bare"), F.lit(False)).alias("bare"), F.coalesce("opens", F.lit(False)).alias("opens"),
-    )
+        F.when(ends, F.col("tail")).alias("tail"), F.coalesce(ends & F.col("bare"), F.lit(False)).alias("bare"), F.coalesce("goes_on", F.lit(False)).alias("opens"),
+    )
