@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import vocabulary as V
+from blockloom.functions.regex import nothing, one
 from blockloom.functions.text import link_slug, search_form
+from blockloom.session import settled
 
 
 def source_catalog(spark: SparkSession) -> DataFrame:
@@ -36,21 +38,62 @@ def unlinked(names: DataFrame, slugs: DataFrame) -> DataFrame:
     return names.withColumn("slug", link_slug(F.col("name"), V.SLUG_OVERRIDES)).join(slugs, "slug", "left_anti").drop("slug")
 
 
+#: Words of a name that its hash covers; names up to which their hashes are broadcast.
+HASHED_WORDS, BROADCAST_NAMES = 8, 1_000_000
+
+
+def _run_hashes(words: Column, lengths: list[int]) -> Column:
+    """The hashes of all runs of these numbers of words; a run's is that of the run one word shorter and its last word."""
+
+    def grown(single: Column, shorter: Column, n: int) -> Column:
+        if n > max(lengths):
+            return nothing("bigint")
+        longer = F.zip_with(F.slice(shorter, 1, F.greatest(F.size(shorter) - 1, F.lit(0))), F.slice(single, n, F.greatest(F.size(single), F.lit(1))), lambda a, b: F.xxhash64(F.lit(n), a, b))
+        return one(longer, lambda g: F.concat(g if n in lengths else nothing("bigint"), grown(single, g, n + 1)))
+
+    return one(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(h if 1 in lengths else nothing("bigint"), grown(h, h, 2)))
+
+
+def _hash_of(words: Column) -> Column:
+    """The hash that a run of these words has."""
+    hashes = F.transform(words, lambda w, i: F.struct((i + 1).alias("n"), F.xxhash64(w).alias("h")))
+    start = F.lit(0).cast("long")
+    return F.aggregate(hashes, start, lambda acc, x: F.when(x["n"] == 1, x["h"]).otherwise(F.xxhash64(x["n"], acc, x["h"])))
+
+
 def attribute(names: DataFrame, pages: DataFrame) -> DataFrame:
     """``name, source, page``: the first source in order, then the first page, that has the name as whole words.
 
     ``pages`` has ``pos, source, page, text``. Normal forms are words with single spaces between, so a name stands in a
-    text as whole words exactly if it is one of the text's runs of as many words; runs of the lengths that names have
-    are joined with the names on equality. A name without letters or digits matches nothing.
+    text as whole words exactly if it is one of the text's runs of words. Runs of the lengths that names have, up to
+    ``HASHED_WORDS`` words, are compared by 64-bit hashes, each got from the run one word shorter; a longer name is
+    known by its first words. What this finds is compared as strings: the first hit of each name, and all hits of the
+    longer names. Names whose first hit was a chance match (none, in practice) are looked for again as strings.
+    A name without letters or digits matches nothing.
     """
     wanted = names.select("name", search_form(F.col("name")).alias("key")).where(F.col("key") != "").distinct()
-    keyed = wanted.withColumn("len", F.size(F.split("key", " ")))
-    # Names have few distinct lengths in words: one array of numbers.
-    lengths = [r.len for r in keyed.select("len").distinct().collect()]
-    words = pages.select("pos", "source", "page", F.split(search_form(F.col("text")), " ").alias("w"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("len")) if lengths else pages.select("pos", "source", "page", F.split("text", " ").alias("w"), F.lit(0).alias("len")).limit(0)
-    spans = words.where(F.size("w") >= F.col("len"))
-    runs = spans.select("pos", "source", "page", "len", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.array_join(F.slice("w", i, F.col("len")), " ")))).alias("key"))
-    return _first(runs.join(keyed, ["key", "len"]).select("name", "pos", "source", "page"))
+    wanted = wanted.withColumn("words", F.split("key", " ")).withColumn("long", F.size("words") > HASHED_WORDS)
+    wanted = settled(wanted.withColumn("words", F.slice("words", 1, HASHED_WORDS)).select("name", "key", "long", F.size("words").alias("len"), _hash_of(F.col("words")).alias("h")))
+    lengths, n = wanted.agg(F.collect_set("len"), F.count(F.lit(1))).first()
+    place = ["pos", "source", "page"]
+    if not n:
+        return pages.select(F.col("text").alias("name"), "source", "page").limit(0)
+    runs = pages.select(*place, F.explode(_run_hashes(F.split(search_form(F.col("text")), " "), sorted(lengths))).alias("h"))
+    few = n <= BROADCAST_NAMES
+    keys = wanted.select("name", "h", "long")
+    hits = runs.join(F.broadcast(keys) if few else keys, "h")
+    firsts = hits.where(~F.col("long")).groupBy("name").agg(F.min(F.struct("pos", "page", "source")).alias("b")).select("name", "b.*")
+    found = settled(firsts.unionByName(hits.where("long").select("name", *place).distinct()))
+    told = wanted.select("name", "key")
+    asked = found.join(told, "name")
+    sure = pages.alias("t").join(asked.alias("a"), (F.col("t.pos") == F.col("a.pos")) & (F.col("t.page") == F.col("a.page")) & F.col("t.source").eqNullSafe(F.col("a.source")))
+    holds = F.contains(F.concat(F.lit(" "), search_form(F.col("t.text")), F.lit(" ")), F.concat(F.lit(" "), F.col("a.key"), F.lit(" ")))
+    sure = settled(sure.where(holds).select("a.name", "a.pos", "a.source", "a.page"))
+    missed = found.select("name").distinct().join(wanted.where(~F.col("long")), "name").join(sure.select("name").distinct(), "name", "left_anti").select("name", "key")
+    if missed.isEmpty():
+        return _first(sure)
+    again = pages.join(F.broadcast(missed) if few else missed, F.contains(F.concat(F.lit(" "), search_form(F.col("text")), F.lit(" ")), F.concat(F.lit(" "), F.col("key"), F.lit(" "))))
+    return _first(sure.unionByName(again.select("name", *place)))
 
 
 def _first(hits: DataFrame) -> DataFrame:
