@@ -177,22 +177,27 @@ class Model:
         norm = np.linalg.norm(weights)
         return terms, weights / norm if norm else weights
 
-    def shares(self, counts: list[tuple[np.ndarray, np.ndarray]], folds: list[int] | None = None) -> Iterator[tuple[float | None, list]]:
+    def shares(self, counts: list[tuple[np.ndarray, np.ndarray]], folds: list[int] | None = None) -> list[tuple[float | None, list]]:
         """Of each document with these terms, the share of votes (null without neighbours) and its nearest examples.
 
         Examples of a document's own fold in ``folds`` do not vote.
         """
-        for at in range(0, len(counts), BATCH):
-            queries = [self.vector(c) for c in counts[at : at + BATCH]]
-            products = self.index.products(queries) if self.index else repeat(None)
-            for i, (query, known) in enumerate(zip(queries, products), at):
-                yield self._share(query, known, folds[i] if folds else None)
-
-    def _share(self, query: tuple[np.ndarray, np.ndarray], known: np.ndarray | None, own: int | None) -> tuple[float | None, list]:
-        if known is None or not len(query[0]):
-            return None, []
-        votes = self.index.votes.sum(1) if own is None else self.index.votes.sum(1) - self.index.votes[:, own]
-        at, cosine = self.index.nearest(*query, K, known, votes.sum(1))
+        told = [i for i, (terms, _) in enumerate(counts) if len(terms)] if self.index else []
+        found: list[tuple[float | None, list]] = [(None, [])] * len(counts)
+        votes = {}
+        for own in {folds[i] for i in told} if folds else {None}:
+            if self.index:
+                of = self.index.votes.sum(1) if own is None else self.index.votes.sum(1) - self.index.votes[:, own]
+                votes[own] = of, of.sum(1)
+        for at in range(0, len(told), BATCH):
+            batch = told[at : at + BATCH]
+            queries = [self.vector(counts[i]) for i in batch]
+            for i, query, known in zip(batch, queries, self.index.products(queries), strict=True):
+                found[i] = self._share(query, known, *votes[folds[i] if folds else None])
+        return found
+
+    def _share(self, query: tuple[np.ndarray, np.ndarray], known: np.ndarray, votes: np.ndarray, number: np.ndarray) -> tuple[float | None, list]:
+        at, cosine = self.index.nearest(*query, K, known, number)
         if not len(at):
             return None, []
         weight = (votes[at] * self.rates) * (NEAR / (np.maximum(0.0, 1 - cosine)[:, None] + NEAR))
@@ -300,7 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays(columns, ["key", "y", "fold", "terms", "counts"])
 
     kinds = "key string, y int, fold int, terms array<binary>, counts array<int>"
-    rows = texts.select("key", "t", "y", fold(F.col("key")).cast("int").alias("fold")).mapInArrow(counted, kinds).orderBy("key", "y", "terms").collect()
+    rows = texts.select("key", "t", "y", fold(F.col("key")).cast("int").alias("fold")).mapInArrow(counted, kinds).collect()
+    rows.sort(key=lambda r: (r.key, r.y, r.terms, r.counts))
     for r in rows:
         for w in r.terms:
             model.terms.setdefault(bytes(w), len(model.terms))
@@ -346,7 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found = shared.value.shares([shared.value.counts(words_of(t)) for t in ts], folds)
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.float64()), pa.array(ys, pa.int32())], ["share", "y"])
 
-    voted_on = texts.select("t", "y", fold(F.col("key")).cast("int").alias("fold")).mapInArrow(voted, "share double, y int").orderBy("share", "y").collect()
+    voted_on = texts.select("t", "y", fold(F.col("key")).cast("int").alias("fold")).mapInArrow(voted, "share double, y int").collect()
+    voted_on.sort(key=lambda r: (r.share is not None, r.share, r.y))
     weight = lambda r: rates[r.y]
     lone = [r for r in voted_on if r.share is None]
     told = [r for r in voted_on if r.share is not None]
