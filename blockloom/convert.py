@@ -10,10 +10,9 @@ from __future__ import annotations
 import argparse
 import json
 import os
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.operators import index, render
@@ -21,7 +20,7 @@ from blockloom.operators.catalog import source_catalog
 from blockloom.operators.normalize import normalized
 from blockloom.operators.ranking import ranked
 from blockloom.operators.records import PLACE, Parsed
-from blockloom.operators.validate import adversary_issues, issue_counts, normalize_summary, place_issues, report_summary, validation_report
+from blockloom.operators.validate import adversary_issues, normalize_summary, place_issues, report_summary, validation_report
 from blockloom.session import settled
 from blockloom.sources import readers, sinks
 
@@ -57,13 +56,13 @@ def with_issues(p: Parsed) -> DataFrame:
 
 
 def files_of(p: Parsed, options: Options) -> DataFrame:
-    """``kind_ord, source, page, block, name, text``: the file of each record."""
+    """``kind_ord, source, page, block, name, issues, text``: the file of each record."""
     a = render.readable_adversary() if options.readable else render.bank_file(render.adversary_yaml())
     e = render.readable_place() if options.readable else render.bank_file(render.place_yaml())
     if options.properties:
         a, e = F.concat(render.adversary_properties(), a), F.concat(render.place_properties(), e)
     keys = ["source", "page", "block", "name"]
-    return p.adversaries.select(F.lit(0).alias("kind_ord"), *keys, a.alias("text")).unionByName(p.environments.select(F.lit(1).alias("kind_ord"), *keys, e.alias("text")))
+    return p.adversaries.select(F.lit(0).alias("kind_ord"), *keys, adversary_issues().alias("issues"), a.alias("text")).unionByName(p.environments.select(F.lit(1).alias("kind_ord"), *keys, place_issues().alias("issues"), e.alias("text")))
 
 
 def convert(spark: SparkSession, p: Parsed, folder: str, options: Options) -> dict[str, int]:
@@ -71,35 +70,35 @@ def convert(spark: SparkSession, p: Parsed, folder: str, options: Options) -> di
     os.makedirs(folder, exist_ok=True)
     there = [] if options.overwrite else [(f[:-3],) for f in os.listdir(folder) if f.endswith(".md")]
     files = settled(sinks.allocate_names(files_of(p, options), ORDER, spark.createDataFrame(there, "stem string") if there else None))
-    sinks.write_text_files(files, folder)
+    # The counts are taken while the files are written.
+    written = Observation("written")
+    fine = F.size("issues") == 0
+    sinks.write_text_files(files.observe(written, F.count_if(F.col("kind_ord") == 0).alias("adversaries"), F.count_if(F.col("kind_ord") == 1).alias("environments"), F.count_if(fine).alias("complete"), F.count_if(~fine).alias("with_issues")), folder)
     if options.index:
-        _write(os.path.join(folder, "Adversaries_Index.md"), [index.master_index(p.adversaries, p.environments).first().text])
+        lines = index.master_index(p.adversaries, p.environments).orderBy("line_no")
+        sinks.one_file(spark, os.path.join(folder, "Adversaries_Index.md"), [sinks.Part(lines)])
     if options.library:
-        _write(options.library, (line + "\n" for line in sinks.json_array(render.library(p.adversaries, p.environments), ORDER)))
+        sinks.one_file(spark, options.library, sinks.json_array(render.library(p.adversaries, p.environments), ORDER))
+    counts = written.get | {"rejected": p.rejected.count()}
     if options.response:
-        _write(options.response, response(p, files, folder, options))
-    return summary(p)
+        sinks.one_file(spark, options.response, response(p, files, folder, options, counts))
+    return counts
 
 
-def response(p: Parsed, files: DataFrame, folder: str, options: Options) -> Iterator[str]:
-    """The parts of one JSON object that tells of a conversion; its lists come partition by partition."""
-    counts = summary(p)
+def response(p: Parsed, files: DataFrame, folder: str, options: Options, counts: dict[str, int]) -> list[str | sinks.Part]:
+    """The pieces of one JSON object that tells of a conversion."""
     records, rejected = counts["adversaries"] + counts["environments"], counts["rejected"]
     pages = ["Adversaries_Index.md"] if options.index else []
     warnings = with_issues(p).where(F.size("issues") > 0).orderBy(*ORDER)
     lists = {
-        "files_written": (F.concat("stem", F.lit(".md")), files.orderBy(*ORDER), pages),
-        "validation_warnings": (F.struct(F.coalesce(F.nullif("name", F.lit("")), F.lit("UNNAMED")).alias("name"), "issues"), warnings, []),
-        "unparsed_blocks": (F.col("description"), p.rejected.orderBy("source", "page", "block"), []),
+        "files_written": (F.concat("stem", F.lit(".md")), files.orderBy(*ORDER), records, pages),
+        "validation_warnings": (F.struct(F.coalesce(F.nullif("name", F.lit("")), F.lit("UNNAMED")).alias("name"), "issues"), warnings, counts["with_issues"], []),
+        "unparsed_blocks": (F.col("description"), p.rejected.orderBy("source", "page", "block"), rejected, []),
     }
-    yield json.dumps({"success": True, "adversary_count": counts["adversaries"], "environment_count": counts["environments"], "library_file": options.library})[:-1]
-    for key, (value, rows, more) in lists.items():
-        yield f', "{key}": ['
-        mark = ""
-        for item in _chained(rows.select(F.to_json(F.struct(value.alias("v"))).alias("json")), more):
-            yield mark + json.dumps(item, ensure_ascii=False)
-            mark = ", "
-        yield "]"
+    out: list[str | sinks.Part] = [json.dumps({"success": True, "adversary_count": counts["adversaries"], "environment_count": counts["environments"], "library_file": options.library})[:-1]]
+    for key, (value, rows, n, more) in lists.items():
+        out += [f', "{key}": [', sinks.Part(sinks.dumped(rows.select(F.to_json(F.struct(value.alias("v"))).alias("json"))), ", ")]
+        out.append((", " if n and more else "") + ", ".join(json.dumps(x, ensure_ascii=False) for x in more) + "]")
     written = records + len(pages)
     said = [
         (True, f"{counts['adversaries']} adversaries converted."),
@@ -108,18 +107,7 @@ def response(p: Parsed, files: DataFrame, folder: str, options: Options) -> Iter
         (counts["with_issues"], f"{counts['with_issues']} have validation warnings."),
         (rejected, f"{rejected} of {records + rejected} stat blocks could not be parsed."),
     ]
-    yield f', "summary": {json.dumps(" ".join(text for there, text in said if there), ensure_ascii=False)}}}\n'
-
-
-def _chained(rows: DataFrame, more: list[str]) -> Iterator:
-    for row in rows.toLocalIterator():
-        yield json.loads(row.json).get("v")
-    yield from more
-
-
-def summary(p: Parsed) -> dict[str, int]:
-    counts = issue_counts(with_issues(p)).first()
-    return {"adversaries": p.adversaries.count(), "environments": p.environments.count(), "rejected": p.rejected.count(), "complete": counts.complete, "with_issues": counts.with_issues}
+    return [*out, f', "summary": {json.dumps(" ".join(text for there, text in said if there), ensure_ascii=False)}}}\n']
 
 
 def source_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -142,11 +130,6 @@ def normalize(spark: SparkSession, folder: str, backup: bool = False, dry_run: b
     return normalize_summary(log).first().asDict()
 
 
-def _write(path: str, parts) -> None:
-    with open(path, "w", encoding="utf-8", newline="\n") as out:
-        out.writelines(parts)
-
-
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="blockloom.convert")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -174,7 +157,7 @@ def main(args: list[str] | None = None) -> None:
         print(normalize(spark, a.folder, a.backup, a.dry_run, a.sources))
         return
     if a.command == "table":
-        _write(a.output, (line + "\n" for line in sinks.html_table(readers.sheet(spark, a.sheet), a.title, a.sort, a.descending)))
+        sinks.one_file(spark, a.output, sinks.html_table(readers.sheet(spark, a.sheet), a.title, a.sort, a.descending))
         return
     p = read(spark, a.source)
     if a.list:

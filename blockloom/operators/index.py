@@ -43,47 +43,82 @@ def _row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
-def _table(records: DataFrame, row: Column, head: str, level: str) -> DataFrame:
-    """``tier, n, section``: heading and table of each tier. A tier's rows meet in one row, as its page is one text."""
-    cells = records.select(F.coalesce("tier", F.lit(0)).alias("tier"), F.struct(F.coalesce("name", F.lit("")).alias("n"), "source", "page", "block", row.alias("row")).alias("r"))
-    grouped = cells.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]), "\n").alias("rows"))
-    return grouped.select("tier", "n", F.concat(F.lit(f"{level} "), tier_name(F.col("tier")), F.lit(f"\n\n{head}\n"), "rows", F.lit("\n")).alias("section"))
+#: Places of a page's lines: its parts in order; in a group the heading, the rows, the end.
+_TITLE, _FIGHTERS, _PLACES, _SUMMARY, _TOTALS = 0, 1, 3, 5, 6
+_HEAD, _BODY, _END = range(3)
+_PLACE = ["part", "grp", "slot", "name", "source", "page", "block", "sub"]
+
+
+def _lines(rows: DataFrame, part: int, slot: int, texts: list[Column | str], group: Column | None = None, **place: Column) -> DataFrame:
+    """``rows`` as lines of a page: these texts for each, in order, at this place."""
+    at = {"name": F.lit(""), "source": F.lit(""), "page": F.lit(0), "block": F.lit(0)} | place
+    kinds = {"name": "string", "source": "string", "page": "int", "block": "int"}
+    told = F.posexplode(F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts])).alias("sub", "text")
+    return rows.select(F.lit(part).alias("part"), (F.lit("") if group is None else group.cast("string")).alias("grp"), F.lit(slot).alias("slot"), *[F.coalesce(at[c].cast(k), F.lit("" if k == "string" else 0)).alias(c) for c, k in kinds.items()], told)
+
+
+def _page(parts: list[DataFrame]) -> DataFrame:
+    """``line_no, text`` of the lines of all parts, by their places; no row is longer than a line."""
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    return ranked(lines, _PLACE, name="line_no").select("line_no", "text")
+
+
+def _by_tier_lines(records: DataFrame, row: Column, head: list[str], level: str, part: int) -> list[DataFrame]:
+    """The tables of all tiers: a heading and the column names, a line for each record, an empty line."""
+    tier = F.lpad(F.coalesce("tier", F.lit(0)).cast("string"), 12, "0")
+    keyed = records.select("*", row.alias("_row"), tier.alias("_tier"))
+    tiers = by_tier(records).withColumn("_tier", F.lpad(F.col("tier").cast("string"), 12, "0"))
+    return [
+        _lines(tiers, part, _HEAD, [F.concat(F.lit(f"{level} "), tier_name(F.col("tier"))), "", *head], F.col("_tier")),
+        _lines(keyed, part, _BODY, [F.col("_row")], F.col("_tier"), name=F.col("name"), source=F.col("source"), page=F.col("page"), block=F.col("block")),
+        _lines(tiers, part, _END, [""], F.col("_tier")),
+    ]
+
+
+def _totals(records: DataFrame, what: str, part: int) -> list[DataFrame]:
+    """How many records there are, and how many of each tier."""
+    tiers = by_tier(records).withColumn("_tier", F.lpad(F.col("tier").cast("string"), 12, "0"))
+    total = records.agg(F.count(F.lit(1)).alias("n"))
+    return [
+        _lines(total, part, _HEAD, [F.concat(F.lit(f"**Total {what}:** "), F.col("n").cast("string"))]),
+        _lines(tiers, part, _BODY, [F.concat(F.lit("- "), tier_name(F.col("tier")), F.lit(": "), F.col("n").cast("string"))], F.col("_tier")),
+    ]
 
 
 def master_index(adversaries: DataFrame, environments: DataFrame | None = None, title: str = "Adversaries Master Index") -> DataFrame:
-    """One row ``text``: the index page by tier, places after adversaries if there are any, counts at the end."""
+    """``line_no, text``: the index page by tier, places after adversaries if there are any, counts at the end."""
     thresholds = thresholds_text(F.col("threshold_minor"), F.col("threshold_major"), F.col("thresholds_raw"))
     name = F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown"))
     two = environments is not None and bool(environments.take(1))
     level = "###" if two else "##"
-    head = "| Name | Type | Difficulty | Thresholds | HP | Stress |\n|------|------|------------|------------|----|----|"
-    a = _table(adversaries, _row(name, _dash(F.col("adversary_type")), _dash(F.col("difficulty")), _dash(thresholds), _dash(F.col("hp")), _dash(F.col("stress"))), head, level).withColumn("k", F.lit(0))
-    parts = a
+    one = adversaries.sparkSession.range(1)
+    head = ["| Name | Type | Difficulty | Thresholds | HP | Stress |", "|------|------|------------|------------|----|----|"]
+    row = _row(name, _dash(F.col("adversary_type")), _dash(F.col("difficulty")), _dash(thresholds), _dash(F.col("hp")), _dash(F.col("stress")))
+    parts = [_lines(one, _TITLE, 0, [f"# {title}", "", *(["## Adversaries", ""] if two else [])]), *_by_tier_lines(adversaries, row, head, level, _FIGHTERS)]
     if two:
-        head = "| Name | Type | Difficulty | Impulses |\n|------|------|------------|----------|"
-        parts = a.unionByName(_table(environments, _row(name, _dash(F.col("environment_type")), _dash(F.col("difficulty")), _dash(F.col("impulses"))), head, level).withColumn("k", F.lit(1)))
-    item = F.struct("k", "tier", "n", "section")
-    pages = parts.agg(F.array_sort(F.collect_list(item)).alias("all"))
-    mine = lambda k: F.filter("all", lambda p: p["k"] == k)
-    sections = lambda k: F.array_join(F.transform(mine(k), lambda p: F.concat(p["section"], F.lit("\n"))), "")
-    total = lambda k: F.aggregate(mine(k), F.lit(0).cast("long"), lambda s, p: s + p["n"]).cast("string")
-    counts = lambda k: F.array_join(F.transform(mine(k), lambda p: F.concat(F.lit("\n- "), tier_name(p["tier"]), F.lit(": "), p["n"].cast("string"))), "")
-    text = [F.lit(f"# {title}\n\n")]
-    text += [F.lit("## Adversaries\n\n")] if two else []
-    text += [sections(0)]
-    text += [F.lit("## Environments\n\n"), sections(1)] if two else []
-    text += [F.lit("## Summary\n\n**Total adversaries:** "), total(0), counts(0)]
-    text += [F.lit("\n\n**Total environments:** "), total(1), counts(1)] if two else []
-    return pages.select(F.concat(*text).alias("text"))
+        head = ["| Name | Type | Difficulty | Impulses |", "|------|------|------------|----------|"]
+        row = _row(name, _dash(F.col("environment_type")), _dash(F.col("difficulty")), _dash(F.col("impulses")))
+        parts += [_lines(one, _PLACES - 1, 0, ["## Environments", ""]), *_by_tier_lines(environments, row, head, level, _PLACES)]
+    parts += [_lines(one, _SUMMARY, 0, ["## Summary", ""]), *_totals(adversaries, "adversaries", _TOTALS)]
+    if two:
+        parts += [_lines(one, _TOTALS + 1, 0, [""]), *_totals(environments, "environments", _TOTALS + 2)]
+    return _page(parts)
 
 
 def type_index(adversaries: DataFrame, title: str = "Adversaries by Type") -> DataFrame:
-    """One row ``text``: the index page by type."""
-    entry = F.concat(F.lit("- **"), F.coalesce("name", F.lit("None")), F.lit("** ("), F.when(F.coalesce("tier", F.lit(0)) != 0, F.concat(F.lit("Tier "), F.col("tier").cast("string"))).otherwise("?"), F.lit(")"))
-    rows = adversaries.select(kind_key().alias("kind"), F.struct(F.coalesce("tier", F.lit(0)).alias("t"), F.coalesce("name", F.lit("")).alias("n"), "source", "page", "block", entry.alias("e")).alias("r"))
-    groups = rows.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["e"]), "\n").alias("rows"))
-    pages = groups.agg(F.array_sort(F.collect_list(F.struct("kind", "rows"))).alias("all"))
-    return pages.select(F.concat(F.lit(f"# {title}\n\n"), F.array_join(F.transform("all", lambda g: F.concat(F.lit("## "), g["kind"], F.lit("\n\n"), g["rows"], F.lit("\n"))), "\n")).alias("text"))
+    """``line_no, text``: the index page by type."""
+    tier = F.coalesce("tier", F.lit(0))
+    entry = F.concat(F.lit("- **"), F.coalesce("name", F.lit("None")), F.lit("** ("), F.when(tier != 0, F.concat(F.lit("Tier "), F.col("tier").cast("string"))).otherwise("?"), F.lit(")"))
+    rows = adversaries.select("*", kind_key().alias("_kind"), entry.alias("_entry"), F.concat(F.lpad(tier.cast("string"), 12, "0"), F.lit(" "), F.coalesce("name", F.lit(""))).alias("_at"))
+    kinds = by_type(adversaries)
+    return _page([
+        _lines(adversaries.sparkSession.range(1), _TITLE, 0, [f"# {title}", ""]),
+        _lines(kinds, _FIGHTERS, _HEAD, [F.concat(F.lit("## "), F.col("adversary_type")), ""], F.col("adversary_type")),
+        _lines(rows, _FIGHTERS, _BODY, [F.col("_entry")], F.col("_kind"), name=F.col("_at"), source=F.col("source"), page=F.col("page"), block=F.col("block")),
+        _lines(kinds, _FIGHTERS, _END, [""], F.col("adversary_type")),
+    ])
 
 
 def listing(records: DataFrame, order: list[str]) -> DataFrame:

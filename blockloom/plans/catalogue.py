@@ -419,14 +419,16 @@ def q_tier_type_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_RECORDS}, cells AS (SELECT coalesce(tier, 0) AS t, name, k, '| ' || CASE WHEN name = '' THEN 'Unknown' ELSE name END || ' | ' || coalesce(type, '-') || ' | ' || coalesce(CAST(difficulty AS STRING), '-') || ' | '
    || CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN CAST(lo AS STRING) || '/' || CAST(hi AS STRING) ELSE coalesce(raw, '-') END || ' | ' || CAST(hp AS STRING) || ' | ' || CAST(stress AS STRING) || ' |' AS line FROM checked),
 tiers AS (SELECT t, count(*) AS n, CASE WHEN t > 0 THEN 'Tier ' || CAST(t AS STRING) ELSE 'Unknown Tier' END AS title, string_agg(line, chr(10) ORDER BY name, k) AS body FROM cells GROUP BY t)
+SELECT CAST(unnest(range(1, len(lines) + 1)) AS BIGINT) AS line_no, unnest(lines) AS text FROM (SELECT string_split(text, chr(10)) AS lines FROM (
 SELECT '# Adversaries Master Index' || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || chr(10) || '| Name | Type | Difficulty | Thresholds | HP | Stress |' || chr(10) || '|------|------|------------|------------|----|----|' || chr(10) || body || chr(10) || chr(10), '' ORDER BY t)
-  || '## Summary' || chr(10) || chr(10) || '**Total adversaries:** ' || CAST(sum(n) AS STRING) || string_agg(chr(10) || '- ' || title || ': ' || CAST(n AS STRING), '' ORDER BY t) AS text FROM tiers""")
+  || '## Summary' || chr(10) || chr(10) || '**Total adversaries:** ' || CAST(sum(n) AS STRING) || string_agg(chr(10) || '- ' || title || ': ' || CAST(n AS STRING), '' ORDER BY t) AS text FROM tiers))""")
 def q_master_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.master_index(S.records(spark, sf_dir))
 
 
 @query(f"""WITH {_RECORDS}, groups AS (SELECT coalesce(type, 'Unknown') AS kind, string_agg('- **' || name || '** (' || CASE WHEN tier IS NULL THEN '?' ELSE 'Tier ' || CAST(tier AS STRING) END || ')', chr(10) ORDER BY coalesce(tier, 0), name, k) AS body FROM checked GROUP BY 1)
-SELECT '# Adversaries by Type' || chr(10) || chr(10) || string_agg('## ' || kind || chr(10) || chr(10) || body || chr(10), chr(10) ORDER BY kind) AS text FROM groups""")
+SELECT CAST(unnest(range(1, len(lines) + 1)) AS BIGINT) AS line_no, unnest(lines) AS text FROM (SELECT string_split(text, chr(10)) AS lines FROM (
+SELECT '# Adversaries by Type' || chr(10) || chr(10) || string_agg('## ' || kind || chr(10) || chr(10) || body || chr(10), chr(10) ORDER BY kind) AS text FROM groups))""")
 def q_type_index_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.type_index(S.records(spark, sf_dir))
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,14 +51,13 @@ def test_library_json(records):
     full, bare = (json.loads(x) for x in column(records, render.library_adversary()))
     assert full["attack"] == "+2d4" and full["thresholds"] == "8/15" and full["stress"] == 0 and full["source"] == "big-bad-book"
     assert bare == {"xp": "", "source": "homebrew"}
-    lines = list(sinks.json_array(records.select("page", render.library_adversary().alias("json")), ["page"]))
-    assert [x["xp"] for x in json.loads("\n".join(lines))] == ["Guard +2", ""] and list(sinks.json_array(records.limit(0).select("page", F.lit("{}").alias("json")), ["page"])) == ["[", "]"]
 
 
 def test_index_pages(spark, records):
-    text = index.master_index(records).first().text
+    page = lambda df: "\n".join(r.text for r in df.orderBy("line_no").collect())
+    text = page(index.master_index(records))
     assert text.index("Unknown Tier") < text.index("## Tier 2") and text.endswith("**Total adversaries:** 2\n- Unknown Tier: 1\n- Tier 2: 1") and "| Unknown | - | - | - | - | - |" in text
-    assert "## Horde (10/HP)\n\n- **GREY MOTH** (Tier 2)" in index.type_index(records).first().text
+    assert "## Horde (10/HP)\n\n- **GREY MOTH** (Tier 2)" in page(index.type_index(records))
 
 
 def test_normalising_touches_only_stat_blocks(spark, records):
@@ -85,7 +85,7 @@ def test_attribution_keeps_documents_without_source(spark, tmp_path):
     from blockloom.plans import catalogue
 
     spark.createDataFrame([(1, "the grey moth of dawn", "a"), (2, "one old troll here now", None)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "grey moth of dawn x"), (2, "one old troll here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(3, "grey moth of dawn x"), (12, "one old troll here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = catalogue.QUERIES["q_attribution"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("grey moth of dawn", "a", 1), ("one old troll here", None, 2)]
 
@@ -120,6 +120,87 @@ def test_file_names(spark, tmp_path):
         sinks.inside(str(tmp_path), "../x")
 
 
+def _first_free(names, taken):
+    seen, out = set(taken), []
+    for base in names:
+        name, i = base, 1
+        while name in seen:
+            name, i = f"{base}_{i}", i + 1
+        seen.add(name)
+        out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_file_names_equal_one_by_one_allocation(spark, seed):
+    rng = random.Random(seed)
+    bases = ["A", "A_1", "A_2", "A_1_1", "A_1_1_1", "A_10", "B", "B_01", "B_1", "C_3", "C"]
+    names = [rng.choice(bases[: rng.choice([3, 6, 11])]) for _ in range(120)]
+    taken = rng.sample(["A", "A_3", "A_1_2", "B_2", "C_3", "C_3_1", "Z"], seed)
+    df = spark.createDataFrame(list(enumerate(names)), "k int, name string").repartition(5)
+    held = spark.createDataFrame([(t,) for t in taken], "stem string") if taken else None
+    got = {r.k: r.stem for r in sinks.allocate_names(df, ["k"], held).collect()}
+    assert [got[k] for k in range(120)] == _first_free(names, taken)
+
+
+def test_many_nameless_records_are_numbered_in_many_tasks(spark):
+    df = spark.range(100_000).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("name")).repartition(8)
+    named = sinks.allocate_names(df, ["k"])
+    got = named.agg(F.count_distinct("stem").alias("n"), F.max(F.when(F.col("k") == 0, F.col("stem"))).alias("a"), F.max(F.when(F.col("k") == 99_999, F.col("stem"))).alias("z")).first()
+    assert tuple(got) == (100_000, "unknown", "unknown_99999")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # Spark would put this little into one task
+    sizes = [r.n for r in sinks.allocate_keys(df, ["k"]).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 50_000
+
+
+def test_rewriting_is_all_or_nothing(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"f{i}.md").write_text(f"old {i}")
+    rows = [(f"file:{tmp_path}/f{i}.md", f"new {i}") for i in range(6)]
+    frame = spark.createDataFrame(rows, "path string, text string").repartition(4)
+    late = frame.withColumn("text", F.when(F.col("text") == "new 4", F.raise_error(F.lit("a task failed")).cast("string")).otherwise(F.col("text")))
+    nowhere = frame.unionByName(spark.createDataFrame([(f"{tmp_path}/nowhere/f9.md", "new 9")], "path string, text string"))
+    for broken, said in ((late, "a task failed"), (nowhere, "nowhere")):
+        with pytest.raises(Exception, match=said):
+            sinks.rewrite_files(broken, backup=True)
+    assert sorted(f.name for f in tmp_path.iterdir()) == [f"f{i}.md" for i in range(6)]
+    assert all((tmp_path / f"f{i}.md").read_text() == f"old {i}" for i in range(6))
+    assert sinks.rewrite_files(spark.createDataFrame(rows, "path string, text string").repartition(4), backup=True) == 6
+    assert all((tmp_path / f"f{i}.md").read_text() == f"new {i}" and (tmp_path / f"f{i}.md.bak").read_text() == f"old {i}" for i in range(6))
+    assert len(list(tmp_path.iterdir())) == 12
+    assert sinks.rewrite_files(spark.createDataFrame([], "path string, text string")) == 0
+
+
+def test_one_file_of_many_tasks(spark, tmp_path):
+    rows = spark.range(500).select(F.when(F.col("id") % 50 == 0, F.lit("")).otherwise(F.concat(F.lit("é"), F.col("id").cast("string"))).alias("text"), "id").repartitionByRange(7, "id").sortWithinPartitions("id")
+    path = tmp_path / "out.txt"
+    sinks.one_file(spark, str(path), ["<ü>\n", sinks.Part(rows, ",\n"), "\n", sinks.Part(rows.limit(0)), sinks.Part(rows.where("id = 1")), "</ü>"])
+    want = ["" if i % 50 == 0 else f"é{i}" for i in range(500)]
+    assert path.read_bytes().decode() == "<ü>\n" + ",\n".join(want) + "\né1</ü>" and [f.name for f in tmp_path.iterdir()] == ["out.txt"]
+    with pytest.raises(Exception, match="no such thing"):
+        sinks.one_file(spark, str(path), [sinks.Part(rows.withColumn("text", F.when(F.col("id") == 400, F.raise_error(F.lit("no such thing")).cast("string")).otherwise(F.col("text"))))])
+    assert path.read_text().startswith("<ü>") and [f.name for f in tmp_path.iterdir()] == ["out.txt"]
+    entries = spark.createDataFrame([(2, '{"a": "é", "b": [1, {}]}'), (1, '{"a": "x\\ny"}')], "k int, json string")
+    sinks.one_file(spark, str(path), sinks.json_array(entries, ["k"]))
+    wanted = [json.loads(r.json) for r in entries.orderBy("k").collect()]
+    assert path.read_text() == json.dumps(wanted, indent=2, ensure_ascii=False) + "\n"
+    sinks.one_file(spark, str(path), sinks.json_array(entries.limit(0), ["k"]))
+    assert json.loads(path.read_text()) == []
+
+
+def test_index_pages_are_lines(spark):
+    rows = spark.range(3000).selectExpr("concat('N', lpad(id, 5, '0')) AS name", "CAST(id % 3 AS INT) AS tier", "'Solo' AS adversary_type", "CAST(id AS INT) AS difficulty", "1 AS threshold_minor", "2 AS threshold_major", "CAST(NULL AS STRING) AS thresholds_raw", "3 AS hp", "4 AS stress", "'s' AS source", "CAST(id AS INT) AS page", "0 AS block")
+    places = rows.selectExpr("name", "tier", "'Event' AS environment_type", "CAST(difficulty AS STRING) AS difficulty", "'x' AS impulses", "source", "page", "block").limit(2)
+    lines = index.master_index(rows, places).orderBy("line_no").collect()
+    assert [r.line_no for r in lines] == list(range(1, len(lines) + 1)) and max(len(r.text) for r in lines) < 80
+    text = "\n".join(r.text for r in lines)
+    assert text.startswith("# Adversaries Master Index\n\n## Adversaries\n\n### Unknown Tier\n\n| Name | Type") and "\n\n### Tier 1\n\n| Name" in text
+    assert text.endswith("## Summary\n\n**Total adversaries:** 3000\n- Unknown Tier: 1000\n- Tier 1: 1000\n- Tier 2: 1000\n\n**Total environments:** 2\n- Unknown Tier: 1\n- Tier 1: 1")
+    none = rows.limit(0)
+    assert [r.text for r in index.master_index(none).orderBy("line_no").collect()] == ["# Adversaries Master Index", "", "## Summary", "", "**Total adversaries:** 0"]
+
+
 def test_reading_pages_and_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "my-book.txt").write_text("one\ftwo")
