@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 
 from blockloom.functions import vocabulary as V
 from blockloom.functions.text import html_escape
@@ -22,8 +25,23 @@ def _numeric(column: str) -> Column:
     return F.nullif(F.col(column).cast("string"), F.lit("")).try_cast("double")
 
 
-def predicate(filters: dict) -> Column:
-    """All filters at once; one that is not set (None or empty) holds.
+def _typed(rows: DataFrame, column: str) -> bool:
+    return isinstance(rows.schema[column].dataType, NumericType)
+
+
+def _against(rows: DataFrame, column: str, sign: str, value: float) -> Column:
+    """A comparison with a number; of a column of whole numbers with a whole number, so that it reaches the scan."""
+    if not _typed(rows, column):
+        return _COMPARE[sign](_numeric(column), F.lit(float(value)))
+    if isinstance(rows.schema[column].dataType, IntegralType):
+        if sign == "=" and value != int(value):
+            return F.lit(False)
+        value = {">=": math.ceil, "<=": math.floor, "=": int}[sign](value)
+    return _COMPARE[sign](F.col(column), F.lit(value))
+
+
+def predicate(rows: DataFrame, filters: dict) -> Column:
+    """All filters at once, as comparisons of the columns as they are; one that is not set (None or empty) holds.
 
     ``search``: part of the name. Dropdown columns: the shown value. Exact columns: a number. Range columns:
     ``(operator, number)`` with >=, <= or =. Text columns: part of the text. Case does not count; an empty cell fails a
@@ -34,30 +52,40 @@ def predicate(filters: dict) -> Column:
         if value is None or value == "":
             continue
         if column == "search":
-            parts.append(F.contains(F.lower(_shown("name")), F.lit(str(value).lower())))
+            parts.append(F.contains(F.lower("name"), F.lit(str(value).lower())))
+        elif column in V.DROPDOWNS and _typed(rows, column):
+            shown = re.fullmatch(r"-?[0-9]+", str(value)) and str(int(value)) == str(value)
+            parts.append(_against(rows, column, "=", int(value)) if shown else _shown(column) == str(value))
         elif column in V.DROPDOWNS:
-            parts.append(_shown(column) == str(value))
+            parts.append(F.col(column).cast("string") == str(value))
         elif column in V.EXACT:
-            parts.append(F.coalesce(_numeric(column) == float(value), F.lit(False)))
+            parts.append(_against(rows, column, "=", float(value)))
         elif column in V.RANGES:
             sign, bound = value
             if sign not in _COMPARE:
                 raise ValueError(f"{sign} is no comparison")
-            parts.append(F.coalesce(_COMPARE[sign](_numeric(column), F.lit(float(bound))), F.lit(False)))
+            parts.append(_against(rows, column, sign, float(bound)))
         elif column in V.TEXTS:
-            parts.append(F.contains(F.lower(_shown(column)), F.lit(str(value).lower())))
+            parts.append(F.contains(F.lower(F.col(column).cast("string")), F.lit(str(value).lower())))
         else:
             raise ValueError(f"{column} has no filter")
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def stored(rows: DataFrame, path: str, by: tuple[str, ...] = ("tier", "difficulty", "hp")) -> DataFrame:
+    """``rows`` as a Parquet table in ranges of ``by``, so that filters skip the files and row groups of other values."""
+    keys = [c for c in by if c in rows.columns]
+    (rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else rows).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def browse(rows: DataFrame, filters: dict) -> DataFrame:
-    return rows.where(predicate(filters))
+    return rows.where(predicate(rows, filters))
 
 
 def counts(rows: DataFrame, filters: dict) -> DataFrame:
     """One row ``shown, total``."""
-    return rows.agg(F.count_if(predicate(filters)).alias("shown"), F.count(F.lit(1)).alias("total"))
+    return rows.agg(F.count_if(predicate(rows, filters)).alias("shown"), F.count(F.lit(1)).alias("total"))
 
 
 def numeric_columns(rows: DataFrame) -> list[str]:
@@ -95,6 +123,15 @@ def options(rows: DataFrame) -> DataFrame:
     return long.withColumn("rn", F.row_number().over(order))
 
 
+def column_facts(rows: DataFrame) -> DataFrame:
+    """``column, pos, filter, filled, least, greatest``: the shown columns in order, whether each has a filter box, how many
+    of its cells are filled, and the first and last filled one as texts."""
+    names, boxes = shown_columns(rows), set(filter_columns(rows))
+    cell = {c: F.nullif(_shown(c), F.lit("")) for c in names}
+    found = rows.agg(*[F.struct(F.lit(i).cast("long").alias("pos"), F.lit(c).alias("column"), F.lit(c in boxes).alias("filter"), F.count(cell[c]).alias("filled"), F.min(cell[c]).alias("least"), F.max(cell[c]).alias("greatest")).alias(f"c{i}") for i, c in enumerate(names)])
+    return found.select(F.explode(F.array(*[f"c{i}" for i in range(len(names))])).alias("c")).select("c.column", "c.pos", "c.filter", "c.filled", "c.least", "c.greatest")
+
+
 def shown_columns(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c not in V.LEFT_OUT]
 

@@ -6,6 +6,8 @@ SQL reads the columns the text was made from.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from blockloom.operators.markdown import parse_markdown
 from blockloom.operators.normalize import normalized
 from blockloom.operators.records import Parsed, parse_lines
 from blockloom.plans import synth as S
-from blockloom.session import settled
+from blockloom.session import settled, shared_folder
 from blockloom.sources import sinks
 from blockloom.sources.pages import lines_from_pages
 
@@ -325,10 +327,17 @@ def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.attribute(names, pages)
 
 
-@query("SELECT file, display_name, type = 'md' AS enabled FROM (VALUES ('Menagerie_of_Mayhem-MUnderwood.md', 'Menagerie of Mayhem', 'md'), ('martialadversaries-compressed.pdf', 'Martial Adversaries', 'pdf')) v(file, display_name, type)")
+_KNOWN = ", ".join(f"({i}, '{f}', '{n}', '{t}')" for i, (f, n, t) in enumerate(V.SOURCE_CATALOG))
+
+
+@query(f"""WITH here AS (SELECT DISTINCT c_custkey % 400 AS n FROM customer WHERE c_acctbal > 5000)
+SELECT file, display_name, type = 'md' AS enabled FROM (VALUES {_KNOWN}) v(pos, file, display_name, type) WHERE pos IN (SELECT n FROM here)""")
 def q_available_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("Menagerie_of_Mayhem-MUnderwood.md",), ("martialadversaries-compressed.pdf",), ("other.md",)], "file string")
-    return catalog.available_sources(catalog.source_catalog(spark), files, pdf_reader=False).select("file", "display_name", "enabled")
+    """A folder with a file for each customer of some means: the first few numbers have the names of known sources."""
+    known = catalog.source_catalog(spark)
+    keys = _table(spark, sf_dir, "customer").where("c_acctbal > 5000").select((F.col("c_custkey") % 400).alias("n"))
+    files = keys.join(F.broadcast(known.select(F.col("pos").alias("n"), "file")), "n", "left").select(F.coalesce("file", F.concat(F.lit("file-"), F.col("n").cast("string"), F.lit(".pdf"))).alias("file"))
+    return catalog.available_sources(known, files, pdf_reader=False).select("file", "display_name", "enabled")
 
 
 # --- validation, browsing, indexes -----------------------------------------------------------------------------------
@@ -443,7 +452,9 @@ _WHERE = "contains(lower(name), 'no1') AND tier = 2 AND coalesce(atk_bonus = 1,
 
 @query(f"WITH {_BROWSE} SELECT k, name, atk_bonus, hp FROM browse WHERE {_WHERE}")
 def q_browse_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.browse(S.browse_rows(spark, sf_dir), _FILTERS).select("k", "name", "atk_bonus", "hp")
+    """The table is stored first, so that the filters reach its scan."""
+    rows = browse.stored(S.browse_rows(spark, sf_dir), f"{shared_folder(spark)}/browse-{uuid.uuid4().hex}")
+    return browse.browse(rows, _FILTERS).select("k", "name", "atk_bonus", "hp")
 
 
 @query(f"WITH {_BROWSE} SELECT count(*) FILTER ({_WHERE}) AS shown, count(*) AS total FROM browse")
@@ -472,10 +483,12 @@ def q_numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in browse.numeric_columns(S.browse_rows(spark, sf_dir))], "column string")
 
 
-@query("SELECT 'shown' AS list, unnest(range(11)) AS pos, unnest(['k', 'name', 'tier', 'type', 'difficulty', 'atk_bonus', 'hp', 'stress', 'low_threshold', 'high_threshold', 'damage_dice']) AS \"column\"")
+_FACTS = [("k", False), ("name", False), ("tier", True), ("type", True), ("difficulty", True), ("atk_bonus", True), ("hp", True), ("stress", True), ("low_threshold", True), ("high_threshold", True), ("damage_dice", True)]
+
+
+@query(f"WITH {_BROWSE} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({i} AS BIGINT) AS pos, {str(box).lower()} AS filter, count({c}) AS filled, min(CAST({c} AS STRING)) AS least, max(CAST({c} AS STRING)) AS greatest FROM browse" for i, (c, box) in enumerate(_FACTS)))
 def q_table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.browse_rows(spark, sf_dir)
-    return spark.createDataFrame([("shown", i, c) for i, c in enumerate(browse.shown_columns(rows))], 'list string, pos long, `column` string')
+    return browse.column_facts(S.browse_rows(spark, sf_dir))
 
 
 @query(f"""WITH {_BROWSE} SELECT '{{"k":' || CAST(k AS STRING) || ',"name":"' || name || '","tier":' || CAST(tier AS STRING) || ',"type":"' || replace(coalesce(type, ''), '</', '<\\/') || '","difficulty":' || coalesce(CAST(difficulty AS STRING), '""') || ',"atk_bonus":' || coalesce(CAST(atk_bonus AS STRING), '""')

@@ -22,15 +22,18 @@ def local_session(name: str = "blockloom", cores: int | None = None) -> SparkSes
     )
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder, for plans that read a costly result more than once.
-
-    Where ``spark.checkpoint.dir`` is unset, local mode gets a temporary folder and a cluster is refused.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where ``spark.checkpoint.dir`` is unset, local mode gets a temporary folder and a
+    cluster is refused."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, for plans that read a costly result more than once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

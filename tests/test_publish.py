@@ -106,6 +106,22 @@ def test_browsing(spark):
         browse.sorted_rows(rows, "damage_dice")
 
 
+def test_filters_reach_the_scan(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id AS k", "concat('n', id) AS name", "CAST(id % 4 AS INT) AS tier", "if(id % 5 = 0, NULL, CAST(id % 20 AS INT)) AS hp", "CAST(id % 3 AS DOUBLE) AS stress", "CAST(id % 7 AS STRING) AS atk_bonus", "'x' AS type")
+    table = browse.stored(rows, str(tmp_path / "t"))
+    filters = {"tier": "2", "hp": (">=", 3.5), "stress": ("<=", 1), "atk_bonus": 4, "type": "x"}
+    found = browse.browse(table, filters)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    assert all(x in pushed for x in ("EqualTo(tier,2)", "GreaterThanOrEqual(hp,4)", "LessThanOrEqual(stress,1.0)", "EqualTo(type,x)"))
+    want = [i for i in range(4000) if i % 4 == 2 and i % 5 and i % 20 >= 3.5 and i % 3 <= 1 and i % 7 == 4]
+    assert sorted(r.k for r in found.collect()) == want and tuple(browse.counts(rows, filters).first()) == (len(want), 4000)
+    assert browse.browse(rows, {"tier": "02"}).isEmpty() and browse.browse(rows, {"hp": ("=", 2.5)}).isEmpty()
+    assert {r.filled for r in browse.column_facts(table).where("column = 'hp'").collect()} == {3200}
+
+
 def test_file_names(spark, tmp_path):
     df = spark.createDataFrame([(0, "A 1"), (1, "A"), (2, "A"), (3, "B"), (4, "B"), (5, None)], "k int, name string")
     assert [r.stem for r in sinks.allocate_names(df, ["k"]).orderBy("k").collect()] == ["A_1", "A", "A_2", "B", "B_1", "unknown"]
