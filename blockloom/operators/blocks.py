@@ -73,7 +73,11 @@ def blocks(lines: DataFrame) -> DataFrame:
     With it ``tail``, the lines at the head of the next page up to a section header, if the block may go on there, and
     ``bare``: that page has no block of its own, so more evidence is asked for (``opens``: its first words give it).
     """
-    parts = parts_of_pages(lines)
+    return blocks_of(parts_of_pages(lines))
+
+
+def blocks_of(parts: DataFrame) -> DataFrame:
+    """``blocks`` of the written parts of pages."""
     state = page_state(parts)
     head = parts.where("block = 0").join(state, PAGE)
     tails = head.select("source", (F.col("nth") - 1).alias("nth"), F.col("lines").alias("tail"), (F.col("n_blocks") == 0).alias("bare"), F.col("opens").alias("goes_on"))
