@@ -1,7 +1,7 @@
 """Whole conversions: a source file to record files, index and library; a folder of Markdown normalised in place.
 
     python -m blockloom.convert convert SOURCE -o FOLDER [--list] [--report] [--readable] [--properties] [--index] [--library FILE] [--response FILE] [--overwrite]
-    python -m blockloom.convert normalize FOLDER [--sources TEXTS] [--backup] [--dry-run]
+    python -m blockloom.convert normalize FOLDER [--sources TEXTS] [--word-index FOLDER] [--backup] [--dry-run]
     python -m blockloom.convert table SHEET -o FILE [--sort COLUMN] [--descending]
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.operators import index, render
-from blockloom.operators.catalog import source_catalog
+from blockloom.operators.catalog import source_catalog, word_index, write_word_index
 from blockloom.operators.normalize import normalized
 from blockloom.operators.ranking import ranked
 from blockloom.operators.records import PLACE, Parsed
@@ -118,13 +118,19 @@ def source_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.join(order.select("source", "pos"), "source").select("pos", "source", "page", "text")
 
 
-def normalize(spark: SparkSession, folder: str, backup: bool = False, dry_run: bool = False, sources: str | None = None) -> dict[str, int]:
+def normalize(spark: SparkSession, folder: str, backup: bool = False, dry_run: bool = False, sources: str | None = None, index_at: str | None = None) -> dict[str, int]:
     """Rewrites the record files of a folder that are not in normal form; returns the counts.
 
-    ``sources`` is a file or folder of plain texts; records without a source get the first whose pages name them.
+    ``sources`` is a file or folder of plain texts; records without a source get the first whose pages name them. With
+    ``index_at`` a word index of the texts is written there once; later runs look names up in it and read no texts.
     """
     files = readers.record_files(readers.markdown_files(spark, folder))
-    log = settled(normalized(files.select("path", "text"), source_pages(spark, sources) if sources else None))
+    if index_at and not os.path.isdir(index_at) and sources:
+        write_word_index(source_pages(spark, sources), index_at)
+    if index_at:
+        log = settled(normalized(files.select("path", "text"), index=word_index(spark, index_at)))
+    else:
+        log = settled(normalized(files.select("path", "text"), source_pages(spark, sources) if sources else None))
     if not dry_run:
         sinks.rewrite_files(log.where("changed").select("path", F.col("new_text").alias("text")), backup)
     return normalize_summary(log).first().asDict()
@@ -145,6 +151,7 @@ def main(args: list[str] | None = None) -> None:
     two.add_argument("--backup", action="store_true")
     two.add_argument("--dry-run", action="store_true")
     two.add_argument("--sources")
+    two.add_argument("--word-index")
     three = commands.add_parser("table")
     three.add_argument("sheet")
     three.add_argument("-o", "--output", default="table.html")
@@ -154,7 +161,7 @@ def main(args: list[str] | None = None) -> None:
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("blockloom").getOrCreate()
     if a.command == "normalize":
-        print(normalize(spark, a.folder, a.backup, a.dry_run, a.sources))
+        print(normalize(spark, a.folder, a.backup, a.dry_run, a.sources, a.word_index))
         return
     if a.command == "table":
         sinks.one_file(spark, a.output, sinks.html_table(readers.sheet(spark, a.sheet), a.title, a.sort, a.descending))

@@ -101,6 +101,42 @@ def _first(hits: DataFrame) -> DataFrame:
     return best.select("name", "b.source", "b.page")
 
 
+INDEX = "h bigint, pos int, source string, page int, places array<int>"
+
+
+def write_word_index(pages: DataFrame, path: str) -> None:
+    """Where every word stands: a row for each word (by its hash) of each page, with its places in order.
+
+    Rows lie in ranges of the hash, so that a look-up reads the row groups of the words it asks for.
+    """
+    words = pages.select(F.col("pos").cast("int"), "source", F.col("page").cast("int"), F.posexplode(F.split(search_form(F.col("text")), " ")).alias("i", "w")).where("w <> ''")
+    rows = words.groupBy(F.xxhash64("w").alias("h"), "pos", "source", "page").agg(F.sort_array(F.collect_list("i")).alias("places"))
+    rows.repartitionByRange("h", "pos", "page").sortWithinPartitions("h", "pos", "page").write.mode("errorifexists").parquet(path)
+
+
+def word_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(path)
+
+
+def attribute_indexed(names: DataFrame, index: DataFrame) -> DataFrame:
+    """What ``attribute`` finds, from a written word index and without the texts.
+
+    A name of n words stands where its words, by 64-bit hashes, stand at n places in a row. Each name is looked for from
+    its rarest word, so frequent words are read for the pages that have it alone.
+    """
+    wanted = names.select("name", F.split(search_form(F.col("name")), " ").alias("words")).where(F.col("words") != F.array(F.lit(""))).distinct()
+    words = settled(wanted.select("name", F.size("words").alias("n"), F.posexplode("words").alias("k", "w")).select("name", "n", "k", F.xxhash64("w").alias("h")))
+    rows = settled(index.join(words.select("h").distinct(), "h"))
+    common = rows.groupBy("h").agg(F.sum(F.size("places")).alias("often"))
+    rarest = words.join(common, "h", "left").groupBy("name").agg(F.min_by(F.struct("h", "k"), F.struct(F.coalesce("often", F.lit(0)), "k")).alias("r")).select("name", "r.h", "r.k")
+    starts = rows.join(rarest, "h").select("name", "pos", "source", "page", F.explode(F.transform("places", lambda p: p - F.col("k"))).alias("start"))
+    each = starts.join(words, "name").select("name", "n", "pos", "source", "page", "start", "h", (F.col("start") + F.col("k")).alias("at"))
+    same = (F.col("e.h") == F.col("r.h")) & (F.col("e.pos") == F.col("r.pos")) & (F.col("e.page") == F.col("r.page")) & F.col("e.source").eqNullSafe(F.col("r.source"))
+    there = each.alias("e").join(rows.alias("r"), same).where(F.array_contains("r.places", F.col("e.at")))
+    whole = there.groupBy("e.name", "e.n", "e.pos", "e.source", "e.page", "e.start").agg(F.count(F.lit(1)).alias("found")).where("found = n")
+    return _first(whole)
+
+
 def fill_sources(records: DataFrame, found: DataFrame) -> DataFrame:
     """Records with the source found for their name where they have none, and whether one was added."""
     none = F.coalesce("source_name", F.lit("")) == ""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.regex import strip
-from blockloom.operators.catalog import attribute, fill_sources
+from blockloom.operators.catalog import attribute, attribute_indexed, fill_sources
 from blockloom.operators.markdown import first_records, parse_markdown
 from blockloom.operators.render import readable_adversary
 from blockloom.operators.validate import adversary_issues, core_stats, has_fence
@@ -14,16 +14,17 @@ from blockloom.operators.validate import adversary_issues, core_stats, has_fence
 LEAST_STATS = 2
 
 
-def normalized(files: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def normalized(files: DataFrame, sources: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """One row a file of ``path, text``: ``path, name, skipped, skip_reason, success, changed, source_added, issues, error, new_text``.
 
     Bank files and files with fewer than two core stats are skipped. With ``sources`` (pos, source, page, text) records
-    without a source get the first that has their name.
+    without a source get the first that has their name; ``index`` is a word index of the sources, in place of their texts.
     """
     files = files.withColumn("bank", has_fence(F.col("text")))
     records = first_records(parse_markdown(files.where(~F.col("bank")).select("path", "text")))
-    if sources is not None:
-        records = fill_sources(records, attribute(records.where(F.col("name").isNotNull()).select("name").distinct(), sources))
+    if sources is not None or index is not None:
+        names = records.where(F.col("name").isNotNull()).select("name").distinct()
+        records = fill_sources(records, attribute(names, sources) if index is None else attribute_indexed(names, index))
     else:
         records = records.withColumn("source_added", F.lit(False))
     few = core_stats() < LEAST_STATS

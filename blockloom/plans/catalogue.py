@@ -315,16 +315,33 @@ def q_unlinked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FORM = "trim(regexp_replace(regexp_replace(upper({}), '[^A-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH needles AS (SELECT DISTINCT array_to_string(string_split(replace(text, 'ß', 'ss'), ' ')[1:item_id % 9 + 1], ' ') AS name FROM benchmark),
+_ATTRIBUTED = f"""WITH needles AS (SELECT DISTINCT array_to_string(string_split(replace(text, 'ß', 'ss'), ' ')[1:item_id % 9 + 1], ' ') AS name FROM benchmark),
 keyed AS (SELECT name, {_FORM.format('name')} AS key FROM needles),
 docs AS (SELECT doc_id, source, dense_rank() OVER (ORDER BY source) AS pos, ' ' || {_FORM.format("replace(text, 'ß', 'ss')")} || ' ' AS t FROM documents)
-SELECT name, arg_min(source, (pos, doc_id)) AS source, arg_min(doc_id, (pos, doc_id)) AS page FROM keyed JOIN docs ON contains(t, ' ' || key || ' ') WHERE key <> '' GROUP BY name""")
-def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT name, arg_min(source, (pos, doc_id)) AS source, arg_min(doc_id, (pos, doc_id)) AS page FROM keyed JOIN docs ON contains(t, ' ' || key || ' ') WHERE key <> '' GROUP BY name"""
+
+
+def _named_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names of one to nine words, and the texts that may have them."""
     names = _table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(F.replace("text", F.lit("ß"), F.lit("ss")), " "), F.lit(1), (F.col("item_id") % 9 + 1).cast("int")), " ").alias("name")).distinct()
     docs = _table(spark, sf_dir, "documents")
     order = ranking.ranked(docs.select("source").distinct(), [F.col("source").asc_nulls_last()], name="pos")
     pages = docs.join(order.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("pos", "source", F.col("doc_id").alias("page"), F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"))
-    return catalog.attribute(names, pages)
+    return names, pages
+
+
+@query(_ATTRIBUTED)
+def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.attribute(*_named_sources(spark, sf_dir))
+
+
+@query(_ATTRIBUTED)
+def q_attribution_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a word index, written first."""
+    names, pages = _named_sources(spark, sf_dir)
+    path = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    catalog.write_word_index(pages, path)
+    return catalog.attribute_indexed(names, catalog.word_index(spark, path))
 
 
 _KNOWN = ", ".join(f"({i}, '{f}', '{n}', '{t}')" for i, (f, n, t) in enumerate(V.SOURCE_CATALOG))

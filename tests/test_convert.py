@@ -1,4 +1,5 @@
 import json
+import shutil
 
 from blockloom import convert as C
 from tests.test_parse import CASES, block
@@ -40,6 +41,12 @@ def test_response_and_sources(spark, tmp_path):
     (texts / "hope-and-fear.txt").write_text("x\fy\fThe Grey, Moth")
     log = C.normalize(spark, str(tmp_path / "out"), sources=str(texts))
     assert log["sources_added"] == 1 and "*Source: Hope and Fear, p. 3*" in page.read_text()
+    for _ in range(2):  # the second run has an index and no texts
+        page.write_text(page.read_text().split("\n---\n")[0] + "\n")
+        log = C.normalize(spark, str(tmp_path / "out"), sources=str(texts), index_at=str(tmp_path / "words"))
+        assert log["sources_added"] == 1 and "*Source: Hope and Fear, p. 3*" in page.read_text()
+        if texts.exists():
+            shutil.rmtree(texts)
 
 
 def test_table(spark, tmp_path):

@@ -74,6 +74,15 @@ def test_attribution(spark):
     assert sorted(map(tuple, catalog.attribute(names, pages).collect())) == [("Grey Moth", "A", 2), ("Moths", "A", 3), ("Troll", "B", 1)]
 
 
+def test_attribution_from_a_word_index(spark, tmp_path):
+    pages = spark.createDataFrame([(0, "A", 3, "the controller of GREY  MOTH's den"), (0, "A", 2, "Moth grey Grey\nMoth, again"), (1, None, 1, "troll grey grey moth of of of"), (2, "C", 1, None)], "pos int, source string, page int, text string")
+    names = spark.createDataFrame([("Grey Moth",), ("Troll",), ("???",), (None,), ("Moths",), ("of of of",), ("grey grey",), ("moth troll",)], "name string")
+    catalog.write_word_index(pages, str(tmp_path / "words"))
+    got = sorted(map(tuple, catalog.attribute_indexed(names, catalog.word_index(spark, str(tmp_path / "words"))).collect()), key=str)
+    assert got == sorted(map(tuple, catalog.attribute(names, pages).collect()), key=str)
+    assert ("of of of", None, 1) in got and ("grey grey", "A", 2) in got and len(got) == 5
+
+
 def test_attribution_of_long_names(spark):
     name = " ".join(f"word{i}" for i in range(40))
     pages = spark.createDataFrame([(0, "A", 1, f"the {name} again"), (1, None, 2, "Troll")], "pos int, source string, page int, text string")
