@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,9 +31,10 @@ def drop_furniture(text: Column) -> Column:
 
 def mend_scan_errors(text: Column) -> Column:
     """Words that extraction splits, spelt-out damage types, and the three dashes as hyphens; curly quotes stay."""
-    text = sub(text, r"Diffi\s*culty", "Difficulty")
-    text = sub(text, r"fl\s*ail", "flail")
-    text = sub(sub(text, r"\bphy\s+damage\b", "phy"), r"\bmag\s+damage\b", "mag")
+    for head, tail in V.SPLIT_WORDS:
+        text = sub(text, rf"{head}\s*{tail}", head + tail)
+    for kind in V.DAMAGE_KINDS:
+        text = sub(text, rf"\b{kind}\s+damage\b", kind)
     return F.translate(text, "–—−", "---")
 
 
@@ -55,7 +56,7 @@ def clean_text(text: Column) -> Column:
 
 def damage_type(text: Column) -> Column:
     text = sub(strip(text), r"\s+", " ")
-    for old, new in (("physical", "phy"), ("magic", "mag"), ("magical", "mag")):
+    for old, new in V.DAMAGE_WORDS.items():
         text = sub(text, rf"\b{old}\b", new, "i")
     return text
 
@@ -156,14 +157,16 @@ def search_form(text: Column) -> Column:
 def source_from_filename(name: Column) -> Column:
     """A source's display name from its file name."""
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    words = F.replace(strip(sub(F.translate(stem, "-_", "  "), r"\s+", " ")), F.lit("Adversaries Environments"), F.lit("Adversaries: Environments"))
+    words = strip(sub(F.translate(stem, "-_", "  "), r"\s+", " "))
+    for plain, shown in V.SOURCE_WORDS.items():
+        words = F.replace(words, F.lit(plain), F.lit(shown))
     tight = F.replace(F.lower(words), F.lit(" "), F.lit(""))
-    return (
-        F.when(F.contains(tight, F.lit("martialadversaries")), "Martial Adversaries")
-        .when(F.contains(tight, F.lit("undeadadversaries")), "Undead Adversaries")
-        .when(F.contains(tight, F.lit("hopeandfear")) | F.startswith(tight, F.lit("hf")), "Hope and Fear")
-        .otherwise(words)
-    )
+    out = words
+    for part, shown in reversed(V.SOURCE_PARTS.items()):
+        out = F.when(F.contains(tight, F.lit(part)), shown).otherwise(out)
+    for start, shown in V.SOURCE_STARTS.items():
+        out = F.when(F.startswith(tight, F.lit(start)) & ~reduce(lambda a, b: a | b, [F.contains(tight, F.lit(x)) for x in V.SOURCE_PARTS]), shown).otherwise(out)
+    return out
 
 
 def base_type(kind: Column) -> Column:

@@ -57,3 +57,11 @@ DROPDOWNS, EXACT, RANGES, TEXTS, LEFT_OUT = ["tier", "type", "difficulty"], ["at
 NEVER_NUMERIC = ["name", "damage_dice"]
 FENCE = "daggerheart"
 SLUG_OVERRIDES = {"Outer Realms Corrupter": "outer-realms-corruptor"}
+# Words that extraction splits, damage kinds before the word damage, damage words and what stands for them.
+SPLIT_WORDS = [("Diffi", "culty"), ("fl", "ail")]
+DAMAGE_KINDS = ["phy", "mag"]
+DAMAGE_WORDS = {"physical": "phy", "magic": "mag", "magical": "mag"}
+# A source's display name by what its file name holds or begins with, spaces left out.
+SOURCE_WORDS = {"Adversaries Environments": "Adversaries: Environments"}
+SOURCE_PARTS = {"martialadversaries": "Martial Adversaries", "undeadadversaries": "Undead Adversaries", "hopeandfear": "Hope and Fear"}
+SOURCE_STARTS = {"hf": "Hope and Fear"}
