@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -346,14 +345,15 @@ def rewrite_files(changes: DataFrame, backup: bool = False) -> int:
     folders = changes.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
     mark = f".rewrite-{uuid.uuid4().hex}"
     made = [os.path.join(_local(r.folder), mark) for r in folders.collect()]
+    if not made:
+        return 0
     try:
         for folder in made:
             os.mkdir(folder)
-        with tempfile.TemporaryDirectory() as logs:
-            log = os.path.join(logs, "count")
-            changes.select("path", "text").write.format("rewritten_files").option("backup", str(backup).lower()).option("mark", mark).option("log", log).mode("append").save()
-            with open(log) as told:
-                return int(told.read())
+        log = os.path.join(made[0], "count")
+        changes.select("path", "text").write.format("rewritten_files").option("backup", str(backup).lower()).option("mark", mark).option("log", log).mode("append").save()
+        with open(log) as told:
+            return int(told.read())
     finally:
         for folder in made:
             shutil.rmtree(folder, ignore_errors=True)
