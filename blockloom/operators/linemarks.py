@@ -89,7 +89,9 @@ def weapon_line(line: Column) -> Column:
         low = F.lower(v)
         reach = F.coalesce(*[F.when(F.startswith(low, F.lit(r.lower())), F.lit(len(r))) for r in V.REACHES])
         behind = F.ltrim(F.substr(v, reach + 1))
-        damage = F.substring_index(F.regexp_replace(F.ltrim(F.substr(behind, F.lit(2))), rx(r"\s+(Thresholds?:)", "i"), "\u0001$1"), "\u0001", 1)
+        words = F.split(F.ltrim(F.substr(behind, F.lit(2))), r"\s+")
+        stop = F.array_position(F.transform(words, lambda w: F.upper(F.substring_index(w, ":", 1)).isin("THRESHOLD", "THRESHOLDS") & F.contains(w, F.lit(":"))), F.lit(True)).cast("int")
+        damage = F.array_join(F.when(stop > 1, F.slice(words, F.lit(1), stop - 1)).otherwise(words), " ")
         return F.when(F.substr(behind, F.lit(1), F.lit(1)).isin("-", "|"), F.struct(strip(F.substring_index(line, ":", 1)).alias("weapon_name"), F.substr(v, F.lit(1), reach).alias("range"), strip(damage).alias("damage")))
 
     return F.when(F.instr(line, F.lit(":")) > 1, one(F.ltrim(F.substr(line, F.instr(line, F.lit(":")) + 1)), read))
