@@ -7,6 +7,8 @@ import sys
 import unicodedata
 from functools import cache, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,13 +72,57 @@ def number_pair(text: Column) -> Column:
     return F.struct(*[number(found(text, r"(\d+)\s*/\s*(\d+)", i)).alias(n) for i, n in ((1, "minor"), (2, "major"))])
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _window_hashes(codes: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``window`` codes: of two runs half as long, and for odd lengths the last code."""
+    if window == 1:
+        return codes
+    half = _window_hashes(codes, window // 2)
+    n = len(codes) - window + 1
+    out = _mixed(half[:n], half[window // 2 : window // 2 + n])
+    return _mixed(out, codes[window - 1 :]) if window % 2 else out
+
+
+def _repeat_place(text: str | None, window: int) -> int | None:
+    """Where, from 1, the second half first has the first of the first half's stretches (each begins half a window behind
+    the one before) that it has at all. Hashes of all windows say which stretches after the first are compared as text."""
+    mid = len(text or "") // 2
+    if mid <= window:
+        return None
+    first = text.find(text[:window], mid)
+    if first >= 0:
+        return first - mid + 1
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    starts = np.arange(0, mid - window, window // 2)
+    asked, there = _window_hashes(codes[:mid], window)[starts], _window_hashes(codes[mid:], window)
+    bits = np.uint64((1 << (16 * len(starts)).bit_length()) - 1)
+    table = np.zeros(int(bits) + 1, dtype=bool)
+    table[asked & bits] = True
+    known = np.isin(asked, there[table[there & bits]])
+    places = (text.find(text[i : i + window], mid) - mid + 1 for i in starts[known].tolist())
+    return next((p for p in places if p > 0), None)
+
+
+@cache
+def _repeat_places(window: int):
+    @F.pandas_udf("int")
+    def places(texts: pd.Series) -> pd.Series:
+        return pd.Series([_repeat_place(t, window) for t in texts], dtype="Int32")
+
+    return places
+
+
 def without_repeated_half(text: Column, window: int = 100) -> Column:
-    """The text up to where its second half repeats a stretch of the first (columns read twice)."""
+    """The text up to where its second half repeats a stretch of the first (columns read twice).
+
+    Work is in proportion to the text: its windows are hashed once, in Python tasks.
+    """
     mid = F.floor(F.length(text) / 2).cast("int")
-    second = F.substr(text, mid + 1)
-    starts = F.when(mid > window, F.sequence(F.lit(1), mid - window, F.lit(window // 2))).otherwise(nothing("int"))
-    hits = F.filter(F.transform(starts, lambda i: F.instr(second, F.substr(text, i, F.lit(window)))), lambda p: p > 0)
-    cut = F.get(hits, F.lit(0))
+    cut = _repeat_places(window)(text)
     return F.when((F.length(text) < 2 * window) | cut.isNull(), text).otherwise(strip(F.substr(text, F.lit(1), mid + cut - 1)))
 
 

@@ -51,6 +51,38 @@ def test_repeated_half(spark):
     assert run(spark, T.without_repeated_half, a + a, "short") == [a, "short"]
 
 
+def test_repeated_half_takes_time_in_proportion_to_the_text(spark):
+    import random
+    import time
+
+    rng = random.Random(7)
+    plain = "".join(rng.choice("abé😀 ") for _ in range(1_000_000))
+    late = plain + "x" * 50 + plain[400_000:]
+    began = time.time()
+    assert run(spark, T.without_repeated_half, plain, late) == [plain, _by_find(late)]
+    assert time.time() - began < 30
+
+
+def _by_find(text, window=100):
+    mid = len(text) // 2
+    places = (text.find(text[i : i + window], mid) for i in range(0, mid - window, window // 2))
+    return text[: next(p for p in places if p >= 0)].strip()
+
+
+def test_repeated_half_of_any_alphabet(spark):
+    import random
+
+    from blockloom.functions.text import _repeat_place
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        window = rng.choice([2, 3, 5, 7, 10])
+        text = "".join(rng.choice("aé😀"[: rng.choice([1, 2, 3])]) for _ in range(rng.randrange(60)))
+        mid = len(text) // 2
+        places = (text.find(text[i : i + window], mid) - mid + 1 for i in range(0, mid - window, window // 2))
+        assert _repeat_place(text, window) == next((p for p in places if p > 0), None), (text, window)
+
+
 def test_names_of_every_script_decompose_as_unicode_says(spark):
     import random
     import re
