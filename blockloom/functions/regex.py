@@ -23,8 +23,12 @@ def sub(text: Column, pattern: str, replacement: str, flags: str = "") -> Column
     return F.regexp_replace(text, rx(pattern, flags), replacement)
 
 
+#: The characters that Unicode calls white space, as ``\s`` of ``rx`` matches them.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return sub(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def number(text: Column) -> Column:

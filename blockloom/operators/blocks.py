@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import vocabulary as V
 from blockloom.functions.regex import has
-from blockloom.operators.linemarks import LINE, marked
-from blockloom.session import settled
+from blockloom.operators.linemarks import LINE, marked, told
+from blockloom.session import settled, spread
 
 PAGE = ["source", "page"]
 
@@ -24,7 +24,8 @@ def placed_lines(lines: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy(*PAGE).orderBy("line_no")
     upto, above, page = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*PAGE)
-    rows = marked(lines).withColumn("i", F.row_number().over(w) - 1)
+    # Lines are numbered before they are read: windows go over narrow rows, and reading is compiled by itself.
+    rows = marked(lines.withColumn("i", F.row_number().over(w) - 1))
     rows = rows.withColumn("heads", (F.coalesce("style", F.lit("")) == "HEADING") & F.col("header").isNull() & ~F.col("levels")).withColumn("before", F.lag("t").over(w))
     # The last line with text above, with its own predecessor; and where the run of headings above begins.
     spoken = F.last(F.when(F.col("t") != "", F.struct("i", "t", "before")), ignorenulls=True)
@@ -37,7 +38,8 @@ def placed_lines(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("opens", F.array_contains("starts", F.col("i"))).withColumn("block", F.sum(F.col("opens").cast("int")).over(upto))
     inside = Window.partitionBy(*PAGE, "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     closes = F.col("header").isNotNull() & ((F.col("block") == 0) | ~F.col("opens"))
-    return rows.withColumn("closed", F.max(closes).over(inside)).drop("above", "run", "any_style", "under", "start", "starts", "before", "heads", "opens")
+    rows = rows.withColumn("closed", F.max(closes).over(inside))
+    return told(rows.drop("above", "run", "any_style", "under", "start", "starts", "before", "heads", "opens", "levels"))
 
 
 def parts_of_pages(lines: DataFrame) -> DataFrame:
@@ -81,10 +83,11 @@ def blocks_of(parts: DataFrame) -> DataFrame:
     state = page_state(parts)
     head = parts.where("block = 0").join(state, PAGE)
     tails = head.select("source", (F.col("nth") - 1).alias("nth"), F.col("lines").alias("tail"), (F.col("n_blocks") == 0).alias("bare"), F.col("opens").alias("goes_on"))
-    own = parts.where("block > 0 AND spoken").join(state, PAGE)
+    # Pages meet the heads behind them first, a row a page; the blocks, which are wide, are dealt out and joined once. Of
+    # their size Spark knows only that of the table they were made from, so a broadcast is ruled out.
+    own = spread(parts.where("block > 0 AND spoken"), *PAGE).hint("merge").join(state.join(tails, ["source", "nth"], "left"), PAGE)
     section = F.coalesce("governing", "carried")
     own = own.withColumn("reaches_page_end", (F.col("block") == F.col("n_blocks")) & ~F.col("closed"))
-    own = own.join(tails, ["source", "nth"], "left")
     ends = F.col("reaches_page_end")
     return own.select(
         "source", "page", "block", "start", "reaches_page_end", section["section"].alias("section"), section["tier"].alias("section_tier"), "lines",

@@ -111,16 +111,26 @@ def rendered_lines(words: DataFrame) -> DataFrame:
     return joined.select(*line, F.array_join(F.transform("_all", lambda p: p["_part"]), "").alias("text"), "style")
 
 
+def is_kept(style: Column, text: Column) -> Column:
+    """Whether a line is no art, page number or furniture."""
+    return ~F.coalesce(style, F.lit("")).isin("ART", "PAGE_NUMBER") & ~is_furniture(text)
+
+
+def cuts_word(before: Column, text: Column) -> Column:
+    """Whether a line goes on with a word that the end of the line before cut."""
+    return F.coalesce(F.endswith(before, F.lit("-")) & has(before, r"\w-$(?<!\n)") & has(text, r"^\w"), F.lit(False))
+
+
 def cleaned_lines(lines: DataFrame, within: list[str], order: list[str]) -> DataFrame:
     """Lines without art, page numbers and furniture, and with words that a line end cut put together again.
 
     A line joins the one before (the last that was kept) if that ends in a word character and a hyphen and it begins
     with a word character; so chains of cut words become one line.
     """
-    kept = lines.where(~F.coalesce("style", F.lit("")).isin("ART", "PAGE_NUMBER") & ~is_furniture(F.col("text")))
+    kept = lines.where(is_kept(F.col("style"), F.col("text")))
     w = Window.partitionBy(*within).orderBy(*order)
     before = F.lag("text").over(w)
-    joins = F.coalesce(has(before, r"\w-$(?<!\n)") & has(F.col("text"), r"^\w"), F.lit(False))
+    joins = cuts_word(before, F.col("text"))
     island = F.sum((~F.col("_joins")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     numbered = kept.withColumn("_joins", joins).withColumn("_island", island).withColumn("_at", F.row_number().over(w))
     more = F.lead("_joins").over(w)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import vocabulary as V
 from blockloom.functions.regex import number, one, rest, rx, strip
+from blockloom.session import once
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = "0123456789"
@@ -158,8 +159,8 @@ LINE = f"struct<line_no:int,text:string,style:string,t:string,first:string,tier:
 
 
 def marked(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``t`` (the text without outer space) and what it says: ``first, header, levels, tier, heading,
-    weapon, attack``. Each step is a column of its own, worked out once."""
+    """``lines`` with ``t`` (the text without outer space) and what blocks are found by: ``first, header, levels, tier``.
+    Each step is a column of its own, worked out once."""
     t = F.col("t")
     rows = lines.withColumn("t", strip(F.col("text"))).withColumns({"first": first_word(t), "_words": F.split(t, r"\s+", 4)})
     is_tier = (F.col("first") == "TIER") & (F.size("_words") > 1)
@@ -172,6 +173,12 @@ def marked(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("_word") != "", F.concat_ws(" ", "_word", F.coalesce(F.nullif("_before", F.lit("")), F.nullif("_more", F.lit("")))))
     anchor = known & ((F.col("_d") == "") | is_remark(F.col("_d")))
     tier = F.struct(number(F.nullif("_number", F.lit(""))).alias("tier"), kind.alias("kind"), F.col("_word").alias("word"), anchor.alias("anchor"))
+    return rows.withColumn("tier", F.when(F.col("_rest").isNotNull(), tier).cast(TIER_MARK)).drop("_words", "_rest", "_number", "_a", "_before", "_b", "_word", "_c", "_more", "_d")
+
+
+def told(lines: DataFrame) -> DataFrame:
+    """``marked`` lines with ``heading, weapon, attack``. Blocks are found without them, so they are read after lines
+    were sorted."""
+    t = F.col("t")
     body = F.when(F.startswith(F.upper(t), F.lit(V.FEATURES)), F.ltrim(F.substr(t, F.lit(len(V.FEATURES) + 1)))).otherwise(t)
-    made = {"tier": F.when(F.col("_rest").isNotNull(), tier).cast(TIER_MARK), "heading": feature_heading(body).cast(HEADING_MARK), "weapon": weapon_line(t).cast(WEAPON_MARK), "attack": attack_marks(t).cast(ATTACK_MARK)}
-    return rows.withColumns(made).drop("_words", "_rest", "_number", "_a", "_before", "_b", "_word", "_c", "_more", "_d")
+    return once(lines, {"heading": feature_heading(body).cast(HEADING_MARK), "weapon": weapon_line(t).cast(WEAPON_MARK), "attack": attack_marks(t).cast(ATTACK_MARK)})

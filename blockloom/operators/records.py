@@ -11,7 +11,7 @@ from blockloom.functions import vocabulary as V
 from blockloom.functions.text import base_type
 from blockloom.operators import fields as P
 from blockloom.operators.blocks import blocks
-from blockloom.session import settled
+from blockloom.session import once, settled
 
 ADVERSARY = ["name", "tier", "adversary_type", "description", "motives_tactics", "difficulty", "threshold_minor", "threshold_major", "thresholds_raw", "hp", "stress", "attack", "experience", "features", "source_name", "source_page"]
 PLACE = ["name", "tier", "environment_type", "description", "impulses", "difficulty", "potential_adversaries", "features", "source_name", "source_page"]
@@ -40,26 +40,16 @@ def _good_name(name: Column) -> Column:
     return (name != "") & (F.length(name) <= V.NAME_LENGTH)
 
 
-def _once(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """``rows`` with the fields, worked out once a row.
-
-    They stand in one struct with a row's number. As that is no function of the row, the optimizer leaves the struct in
-    one place, where it would otherwise repeat the fields in every filter and projection above.
-    """
-    made = rows.withColumn("_f", F.struct(*[c.alias(n) for n, c in fields.items()], F.monotonically_increasing_id().alias("_row")))
-    return made.select(*[c for c in rows.columns if c not in fields], *[F.col(f"_f.{n}").alias(n) for n in fields])
-
-
 def fields(rows: DataFrame) -> DataFrame:
     """``rows`` (with ``lines, section, section_tier``) with the fields of both kinds, and ``place``.
 
     Each stage is one selection over the columns of the stage before, so what several fields need is worked out once.
     """
     lines, t, said, place = F.col("lines"), F.col("text"), F.col("said"), F.col("place")
-    rows = _once(rows, {"text": P.block_text(lines), "name": P.name_of(lines), "_tt": P.tier_mark(lines)})
-    rows = _once(rows, {"said": P.entries(t), "place": P.is_place(P.tier_keyword(lines), t, F.col("section")), "_th": P.thresholds(t)})
+    rows = once(rows, {"text": P.block_text(lines), "name": P.name_of(lines), "_tt": P.tier_mark(lines)})
+    rows = once(rows, {"said": P.entries(t), "place": P.is_place(P.tier_keyword(lines), t, F.col("section")), "_th": P.thresholds(t)})
     stops = F.when(place, F.array(*[F.lit(x) for x in V.PLACE_STOPS])).otherwise(F.array(*[F.lit(x) for x in V.STOPS]))
-    return _once(
+    return once(
         rows,
         {
             "tier": F.coalesce("_tt.tier", "section_tier"),

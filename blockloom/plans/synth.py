@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockloom.session import spread
+
 SYNTH = """
 SELECT CAST(p_partkey AS INT) AS k,
        upper(p_name) || ' NO' || CAST(p_partkey AS STRING) AS name,
@@ -55,11 +57,11 @@ PAGE_OF = "CAST(floor(k / 5) AS INT)"
 
 
 def synth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SYNTH.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return spark.sql(SYNTH.replace("FROM part", "FROM {part}"), part=spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey"))
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PLACES.replace("FROM supplier", "FROM {supplier}"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    return spark.sql(PLACES.replace("FROM supplier", "FROM {supplier}"), supplier=spread(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey"))
 
 
 def pages(spark: SparkSession, sf_dir: str, head: str = HEAD) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "blockloom", cores: int | None = None) -> SparkSession:
@@ -33,7 +34,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` (or evenly) to all cores. A small file may hold many rows and be read by one task,
+    and what is made of them is many times their size; rows of equal keys come to one task."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder, for plans that read a costly result more than once."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def once(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """``rows`` with the fields, worked out once a row.
+
+    They stand in one struct with a row's number. As that is no function of the row, the optimizer leaves the struct in
+    one place, where it would otherwise repeat the fields in every filter and projection above.
+    """
+    made = rows.withColumn("_f", F.struct(*[c.alias(n) for n, c in fields.items()], F.monotonically_increasing_id().alias("_row")))
+    return made.select(*[c for c in rows.columns if c not in fields], *[F.col(f"_f.{n}").alias(n) for n in fields])
