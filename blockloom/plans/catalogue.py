@@ -187,12 +187,12 @@ def q_visible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_WORDS} SELECT page, ln * 3 + w AS word_no, col FROM seen, (SELECT unnest([0, 1, 2]) AS w) WHERE w < 2 OR pk % 11 <> 0")
 def q_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.columns(layout.visible_words(S.words(spark, sf_dir))).select("page", "word_no", "col")
+    return layout.columns(layout.visible_words(S.words(spark, sf_dir)).select("source", "page", "page_w", "page_h", "word_no", "x0")).select("page", "word_no", "col")
 
 
 @query(f"WITH {_WORDS} SELECT page, ln * 3 + w AS word_no, CAST(dense_rank() OVER (PARTITION BY page, col ORDER BY r) - 1 AS INT) AS \"row\" FROM seen, (SELECT unnest([0, 1, 2]) AS w) WHERE w < 2 OR pk % 11 <> 0")
 def q_line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.rows_of_words(layout.columns(layout.visible_words(S.words(spark, sf_dir)))).select("page", "word_no", "row")
+    return layout.rows_of_words(layout.visible_words(S.words(spark, sf_dir)).select("source", "page", "page_w", "page_h", "word_no", "x0", "top", "size")).select("page", "word_no", "row")
 
 
 @query(f"""WITH {_WORDS} SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY col, r) - 1 AS INT) AS line_no, 'Item ' || CAST(pk AS STRING) || CASE WHEN pk % 11 = 0 THEN '' ELSE 'x' END AS text,

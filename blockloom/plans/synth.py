@@ -116,10 +116,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every seventh order is a spread page of four columns. A word of each eleventh line lies off the page.
     """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("CAST(l_orderkey AS INT) AS page", "l_linenumber", "l_partkey")
     return spark.sql(
         """
         WITH base AS (
-          SELECT CAST(l_orderkey AS INT) AS page, CAST(l_linenumber AS INT) AS ln, CAST(min(l_partkey) AS INT) AS pk, l_orderkey % 7 = 0 AS spread FROM {lineitem} GROUP BY l_orderkey, l_linenumber),
+          SELECT page, CAST(l_linenumber AS INT) AS ln, CAST(min(l_partkey) AS INT) AS pk, page % 7 = 0 AS spread FROM {lineitem} GROUP BY page, l_linenumber),
         placed AS (
           SELECT *, CASE WHEN spread THEN ln % 4 ELSE ln % 2 END AS col, CASE WHEN spread THEN CAST(floor(ln / 4) AS INT) ELSE CAST(floor(ln / 2) AS INT) END AS row FROM base)
         SELECT 'scan' AS source, page, CASE WHEN spread THEN 1200.0D ELSE 600.0D END AS page_w, 800.0D AS page_h,
@@ -130,7 +131,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
                100.0D + row * 20 + w * 1.0D AS top, 110.0D + row * 20 + w * 1.0D AS bottom,
                CASE WHEN pk % 3 = 0 THEN 'AAAA+QuestaSlab-Italic' WHEN w = 0 THEN 'AAAA+EvelethCleanRegular' ELSE 'Plain' END AS fontname, 10.0D AS size
         FROM placed LATERAL VIEW explode(array(0, 1, 2)) t AS w""",
-        lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
+        lineitem=spread(lines, "page", rows=lines.count()),
     )
 
 

@@ -34,11 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+#: Rows that one task gets of a table dealt out by its number of rows.
+ROWS_OF_TASK = 250_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     """``df`` dealt out by ``keys`` (or evenly) to all cores. A small file may hold many rows and be read by one task,
-    and what is made of them is many times their size; rows of equal keys come to one task."""
+    and what is made of them is many times their size; rows of equal keys come to one task. Of a table of ``rows`` rows
+    a task gets no more the larger the table is."""
     spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_OF_TASK))
     return df.repartition(n, *keys)
 
 

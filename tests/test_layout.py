@@ -1,7 +1,11 @@
+import random
+
 import pytest
 
 from blockloom.operators import layout
 from blockloom.operators.blocks import blocks
+from blockloom.plans import synth as S
+from blockloom.session import ROWS_OF_TASK, spread
 from blockloom.sources.readers import WORDS, lines_from_pdf
 
 
@@ -55,3 +59,32 @@ def test_pages_without_words_are_read_as_text(spark):
     rows = [word(1, 0, "Spoken", 50, 100), ("s", 2, 600.0, 800.0, -1, "plain – text\nof a page", None, None, None, None, None, None), ("s", 3, 600.0, 800.0, -1, "", None, None, None, None, None, None)]
     got = lines_from_pdf(spark.createDataFrame(rows, WORDS)).orderBy("page", "line_no").collect()
     assert [(r.page, r.text) for r in got if r.text] == [(1, "Spoken"), (2, "plain - text"), (2, "of a page")]
+
+
+def scan(spark, n=40):
+    """Pages of many words, of which some lie in the same place, in two columns."""
+    rng = random.Random(7)
+    return spark.createDataFrame([word(p, i, rng.choice(["ab", "c-", "12", "x"]), rng.choice([40, 60, 340, 380]), rng.choice([100, 101, 103, 120, 160])) for p in range(n) for i in range(30)], WORDS)
+
+
+def test_pages_are_whole_whatever_the_batches(spark):
+    pages = scan(spark).coalesce(1)
+    key, read = "spark.sql.execution.arrow.maxRecordsPerBatch", lambda: sorted(map(str, layout.lines_from_words(pages).collect()))
+    whole, before = read(), spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert read() == whole and len({r.page for r in layout.lines_from_words(pages).collect()}) == 40
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_words_are_dealt_out_once_and_lines_once(spark, sf):
+    """Words of the tables come dealt out by page, and no step joins them again: the lines are put together, no more."""
+    plan = layout.lines_from_words(S.words(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and "Join" not in plan
+
+
+def test_a_task_gets_no_more_rows_of_a_larger_table(spark):
+    rows = spark.range(10)
+    parts = [spread(rows, "id", rows=n * ROWS_OF_TASK).rdd.getNumPartitions() for n in (100, 400)]
+    assert parts == [100, 400]
