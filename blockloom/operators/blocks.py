@@ -49,7 +49,7 @@ def parts_of_pages(lines: DataFrame) -> DataFrame:
     line = F.struct(F.col("i").alias("line_no"), "text", "style", "t", "first", "tier", "heading", "weapon", "attack")
     spoken = F.when(F.col("t") != "", F.struct("i", "t", "heading"))
     groups = rows.groupBy(*PAGE, "block").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("closed"), line)), lambda a, b: a["line_no"] - b["line_no"]).cast(f"array<{LINE}>").alias("lines"),
+        F.sort_array(F.collect_list(F.when(~F.col("closed"), line))).cast(f"array<{LINE}>").alias("lines"),
         F.max("closed").alias("closed"),
         F.min_by(spoken, F.when(F.col("t") != "", F.col("i"))).alias("opening"),
         F.min("i").alias("start"),

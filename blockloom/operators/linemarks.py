@@ -73,11 +73,15 @@ def feature_heading(line: Column) -> Column:
     def read(parts: Column) -> Column:
         kind = lambda p: F.initcap(strip(F.substring_index(p, ":", 1)))
         fits = F.transform(parts, lambda p, i: (i > 0) & F.contains(p, F.lit(":")) & kind(p).isin(V.FEATURE_TYPES))
-        place = F.array_position(fits, F.lit(True)).cast("int")
-        name = F.array_join(F.slice(parts, F.lit(1), F.greatest(place - 1, F.lit(0))), " - ")
-        told = F.element_at(parts, F.greatest(place, F.lit(1)))
-        more = F.array_join(F.concat(F.array(F.substr(told, F.instr(told, F.lit(":")) + 1)), rest(parts, F.greatest(place, F.lit(1)) + 1)), " - ")
-        return F.when((place > 0) & F.length(name).between(1, NAME_OF_FEATURE), F.struct(strip(name).alias("name"), kind(told).alias("kind"), strip(more).alias("rest")))
+
+
+        def at(place: Column) -> Column:
+            name = F.array_join(F.slice(parts, F.lit(1), F.greatest(place - 1, F.lit(0))), " - ")
+            told = F.element_at(parts, F.greatest(place, F.lit(1)))
+            more = F.array_join(F.concat(F.array(F.substr(told, F.instr(told, F.lit(":")) + 1)), rest(parts, F.greatest(place, F.lit(1)) + 1)), " - ")
+            return F.when((place > 0) & F.length(name).between(1, NAME_OF_FEATURE), F.struct(strip(name).alias("name"), kind(told).alias("kind"), strip(more).alias("rest")))
+
+        return one(F.array_position(fits, F.lit(True)).cast("int"), at)
 
     spaced = F.translate(line, "–—", "--")
     return F.when(F.contains(spaced, F.lit("-")) & F.contains(line, F.lit(":")), one(F.split(spaced, r"\s+-\s+", -1), read))
@@ -133,21 +137,30 @@ def attack_marks(line: Column) -> Column:
     def read(tails: Column) -> Column:
         # The first label is the one with most behind it; what comes later in the line is behind it as well.
         size = F.array_max(F.transform(tails, lambda t: F.length(t["whole"])))
-        first = F.get(F.filter(tails, lambda t: F.length(t["whole"]) == size), F.lit(0))
-        told = F.ltrim(first["whole"])
-        told = strip(F.when(F.startswith(told, F.lit(":")), F.substr(told, F.lit(2))).otherwise(told))
-        before = F.substr(line, F.lit(1), F.length(line) - size - first["label"])
+        first = one(size, lambda n: F.get(F.filter(tails, lambda t: F.length(t["whole"]) == n), F.lit(0)))
+
+        def payload(first: Column) -> Column:
+            told = F.ltrim(first["whole"])
+            told = strip(F.when(F.startswith(told, F.lit(":")), F.substr(told, F.lit(2))).otherwise(told))
+            before = F.substr(line, F.lit(1), F.length(line) - F.length(first["whole"]) - first["label"])
+            return F.when(F.contains(first["whole"], F.lit("|")), one(told, lambda t: F.when(F.contains(t, F.lit("|")) & weapon_line(before).isNull(), t)))
+
         given = F.filter(F.transform(F.filter(tails, lambda t: F.startswith(t["whole"], F.lit(":")) & (t["label"] == len(V.ATTACK_LABELS[0]))), lambda t: F.struct(modifier_of(F.regexp_extract(F.ltrim(F.substr(t["whole"], F.lit(2))), "^[-+−0-9d]+", 0)).alias("modifier"), F.length(t["whole"]).alias("left"))), lambda g: g["modifier"].isNotNull())
-        mark = F.get(given, F.lit(0))
-        stats = F.regexp_replace(F.upper(F.substr(line, F.lit(1), F.length(line) - mark["left"])), r"\s+:", ":")
-        beside = F.exists(F.array(*[F.lit(f"{x.upper()}:") for x in V.STAT_LABELS]), lambda x: F.contains(stats, x))
-        return F.struct(F.when(F.contains(told, F.lit("|")) & weapon_line(before).isNull(), told).alias("payload"), mark["modifier"].alias("modifier"), (mark.isNotNull() & beside).alias("on_stats"))
+
+        def made(mark: Column) -> Column:
+            stats = F.regexp_replace(F.upper(F.substr(line, F.lit(1), F.length(line) - mark["left"])), r"\s+:", ":")
+            beside = one(stats, lambda s: F.exists(F.array(*[F.lit(f"{x.upper()}:") for x in V.STAT_LABELS]), lambda x: F.contains(s, x)))
+            return F.struct(one(first, payload).alias("payload"), mark["modifier"].alias("modifier"), (mark.isNotNull() & beside).alias("on_stats"))
+
+        return one(F.get(given, F.lit(0)), made)
 
     def whole(label: int) -> object:
         return lambda t: F.struct(t.alias("whole"), F.lit(len(V.ATTACK_LABELS[label])).alias("label"))
 
     tails = F.concat(F.transform(short, whole(0)), F.transform(long, whole(1)))
-    return F.when(F.contains(F.upper(line), F.lit("AT")), one(F.filter(tails, lambda t: t["whole"].isNotNull()), lambda t: F.when(F.size(t) > 0, read(t))))
+    # Letters of any case are matched, and the Kelvin sign is a k that has no other capital.
+    named = one(F.upper(line), lambda u: F.contains(u, F.lit("ATK")) | F.contains(u, F.lit("ATTACK")) | F.contains(u, F.lit("\u212a")))
+    return F.when(F.contains(F.upper(line), F.lit("AT")) & named, one(F.filter(tails, lambda t: t["whole"].isNotNull()), lambda t: F.when(F.size(t) > 0, read(t))))
 
 
 #: The marks of a line, as they go with it into its block.
@@ -162,7 +175,7 @@ def marked(lines: DataFrame) -> DataFrame:
     """``lines`` with ``t`` (the text without outer space) and what blocks are found by: ``first, header, levels, tier``.
     Each step is a column of its own, worked out once."""
     t = F.col("t")
-    rows = lines.withColumn("t", strip(F.col("text"))).withColumns({"first": first_word(t), "_words": F.split(t, r"\s+", 4)})
+    rows = lines.withColumn("t", strip(F.col("text"))).withColumn("first", first_word(t)).withColumn("_words", F.when(F.col("first") == "TIER", F.split(t, r"\s+", 4)))
     is_tier = (F.col("first") == "TIER") & (F.size("_words") > 1)
     rows = rows.withColumns({"header": section_header(F.col("_words")), "levels": is_level_range(t), "_rest": F.when(is_tier, F.ltrim(F.substr(t, F.lit(5))))})
     rows = rows.withColumn("_number", F.regexp_extract("_rest", "^[0-9]+", 0)).withColumn("_a", _behind(F.col("_rest"), F.col("_number")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from blockloom.functions import text as T
 from blockloom.functions.regex import strip, sub
 from blockloom.operators.layout import cleaned_lines
+from blockloom.operators.linemarks import attack_marks, feature_heading
 from blockloom.plans import synth as S
 from blockloom.sources.pages import lines_from_pages
 
@@ -32,3 +33,13 @@ def test_strip_takes_what_unicode_calls_space(spark):
     rows = spark.createDataFrame(codes, "c int, v string")
     wrong = rows.where(strip(F.col("v")) != sub(F.col("v"), r"^\s+|\s+$", ""))
     assert not wrong.collect()
+
+
+def test_what_a_line_needs_twice_is_worked_out_once(spark):
+    """Inside lambdas nothing is shared by itself, so what is read in several places must be bound."""
+    line = spark.createDataFrame([("Edge - Passive: It cuts",), ("ATK: +2 | Hook: Far | 1d6 phy",), ("atK: +1 | Claw: Melee | 1d4 mag",), ("Item seen at dusk",)], "t string")
+    heading, attack = (line.select(f(F.col("t")).alias("m")) for f in (feature_heading, attack_marks))
+    plan = [str(df._jdf.queryExecution().analyzed()) for df in (heading, attack)]
+    assert plan[0].count("initcap(") <= 2 and plan[1].count("^[-+−0-9d]+") <= 1
+    assert [r.m and r.m.name for r in heading.collect()] == ["Edge", None, None, None]
+    assert [r.m and (r.m.payload, r.m.modifier) for r in attack.collect()] == [None, ("+2 | Hook: Far | 1d6 phy", "+2"), ("+1 | Claw: Melee | 1d4 mag", "+1"), None]
