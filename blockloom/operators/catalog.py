@@ -104,14 +104,20 @@ def _first(hits: DataFrame) -> DataFrame:
 INDEX = "h bigint, pos int, source string, page int, places array<int>"
 
 
+def index_rows(pages: DataFrame) -> DataFrame:
+    """The rows of the word index, in ranges of the hash and the page."""
+    words = pages.select(F.col("pos").cast("int"), "source", F.col("page").cast("int"), F.posexplode(F.split(search_form(F.col("text")), " ")).alias("i", "w")).where("w <> ''")
+    # Ranges of words and pages also hold all places of a word in a page, so places are put together behind one shuffle.
+    ranges = words.select(F.xxhash64("w").alias("h"), "pos", "source", "page", "i").repartitionByRange("h", "pos", "page")
+    return ranges.groupBy("h", "pos", "source", "page").agg(F.sort_array(F.collect_list("i")).alias("places"))
+
+
 def write_word_index(pages: DataFrame, path: str) -> None:
     """Where every word stands: a row for each word (by its hash) of each page, with its places in order.
 
     Rows lie in ranges of the hash, so that a look-up reads the row groups of the words it asks for.
     """
-    words = pages.select(F.col("pos").cast("int"), "source", F.col("page").cast("int"), F.posexplode(F.split(search_form(F.col("text")), " ")).alias("i", "w")).where("w <> ''")
-    rows = words.groupBy(F.xxhash64("w").alias("h"), "pos", "source", "page").agg(F.sort_array(F.collect_list("i")).alias("places"))
-    rows.repartitionByRange("h", "pos", "page").sortWithinPartitions("h", "pos", "page").write.mode("errorifexists").parquet(path)
+    index_rows(pages).sortWithinPartitions("h", "pos", "page").write.mode("errorifexists").parquet(path)
 
 
 def word_index(spark: SparkSession, path: str) -> DataFrame:

@@ -326,6 +326,8 @@ def _named_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     names = _table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(F.replace("text", F.lit("ß"), F.lit("ss")), " "), F.lit(1), (F.col("item_id") % 9 + 1).cast("int")), " ").alias("name")).distinct()
     docs = _table(spark, sf_dir, "documents")
     order = ranking.ranked(docs.select("source").distinct(), [F.col("source").asc_nulls_last()], name="pos")
+    # Joined by shuffle, all texts of a source would come to one task.
+    order = F.broadcast(order) if order.count() <= catalog.BROADCAST_NAMES else order
     pages = docs.join(order.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("pos", "source", F.col("doc_id").alias("page"), F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"))
     return names, pages
 

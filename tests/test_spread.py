@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import text as T
 from blockloom.functions.regex import strip, sub
+from blockloom.operators.catalog import index_rows
 from blockloom.operators.layout import cleaned_lines
 from blockloom.operators.linemarks import attack_marks, feature_heading
 from blockloom.plans import synth as S
@@ -43,3 +44,10 @@ def test_what_a_line_needs_twice_is_worked_out_once(spark):
     assert plan[0].count("initcap(") <= 2 and plan[1].count("^[-+−0-9d]+") <= 1
     assert [r.m and r.m.name for r in heading.collect()] == ["Edge", None, None, None]
     assert [r.m and (r.m.payload, r.m.modifier) for r in attack.collect()] == [None, ("+2 | Hook: Far | 1d6 phy", "+2"), ("+1 | Claw: Melee | 1d4 mag", "+1"), None]
+
+
+def test_the_word_index_is_made_behind_one_shuffle(spark):
+    pages = spark.createDataFrame([(1, "s", 1, "a b a"), (1, "s", 2, "b")], "pos int, source string, page int, text string")
+    rows = index_rows(pages)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((r.page, r.places) for r in rows.collect()) == [(1, [0, 2]), (1, [1]), (2, [0])]
